@@ -4,7 +4,7 @@
    within the batch only the first is sent on; the others are known to repeat, so a hot window costs a row a batch.
 2. Windows are dealt by the hash's leading bits over as many buckets as the corpus needs, packed as arrays: a bucket
    holds some ten megabytes at any corpus size. A bucket counts its hashes and marks all but the first occurrence.
-3. Marks return to their documents by id, merge into maximal intervals, and the words they cover go.
+3. Marks return by groups of documents, merge into maximal intervals for each, and the words they cover go.
 
 Words are compared by 64-bit hashes of 64-bit word hashes; at n windows about n*n / 2**65 accidental matches are to be
 expected (none at a billion, some at 10**10; each would remove one wrong window).
@@ -13,6 +13,7 @@ expected (none at a billion, some at 10**10; each would remove one wrong window)
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ BATCH, BUCKET = 4 << 20, 8 << 20
 _STEP = 0xD1342543DE82EF95
 
 _MARKS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
-_FOUND = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("starts", pa.binary())])
+_GROUPS = pa.schema([("team", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary())])
 
 
 def _window_codes(code: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,76 +82,113 @@ def _hash_batches(width: int, buckets: int):
     return run
 
 
-def _docs(did, th, doc, at) -> tuple[bytes, bytes, bytes]:
-    """Documents, starts (as steps within a document) and starts a document: small numbers, which shuffles compress."""
+def _docs(did, th, doc, at, kind="<i4") -> tuple[bytes, bytes, bytes]:
+    """Documents, starts (as steps within a document) and starts a document: small numbers, which shuffles compress.
+    The documents come in order."""
     cut = common.starts_of(doc)
-    step = np.diff(at, prepend=0).astype(np.int32)
+    step = np.diff(at, prepend=0)
     step[cut[:-1]] = at[cut[:-1]]
     which = doc[cut[:-1]]
-    return np.stack([did[which], th[which]]).tobytes(), _thin(step), _thin(np.diff(cut))
+    return th[which].astype(kind).tobytes() + _thin(np.diff(did[which], prepend=0)), _thin(step), _thin(np.diff(cut))
 
 
 def _thin(x: np.ndarray) -> bytes:
-    """Bytes below 255 as they are, others as 255 and four bytes, kept apart."""
+    """Bytes below 255 as they are; others as 255, with eight bytes kept apart."""
     x = x.astype(np.int64)
-    small = np.where(x < 255, x, 255).astype(np.uint8)
-    return len(x).to_bytes(4, "little") + small.tobytes() + x[x >= 255].astype("<i4").tobytes()
+    small = np.where((x >= 0) & (x < 255), x, 255).astype(np.uint8)
+    return len(x).to_bytes(4, "little") + small.tobytes() + x[small == 255].astype("<i8").tobytes()
 
 
 def _wide(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:4], "little")
     x = np.frombuffer(b, np.uint8, n, 4).astype(np.int64)
-    x[x == 255] = np.frombuffer(b, "<i4", -1, 4 + n)
+    x[x == 255] = np.frombuffer(b, "<i8", -1, 4 + n)
     return x
 
 
-def _undocs(docs: bytes, marks: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    did, th = np.frombuffer(docs, np.int64).reshape(2, -1)
+def _undocs(docs: bytes, marks: bytes, counts: bytes, kind="<i4") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, step = _wide(counts), _wide(marks)
+    th, did = np.frombuffer(docs, kind, len(n)).astype(np.int64), np.cumsum(_wide(docs[np.dtype(kind).itemsize * len(n) :]))
     at = np.cumsum(step)
     begin = np.cumsum(n) - n
     at -= np.repeat(at[begin] - step[begin], n)
     return np.repeat(did, n), np.repeat(th, n), at
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _buckets(batches):
-        did, th, at, code = t
-        if code is not None:
-            order = np.lexsort((at, did, code))
-            did, th, at, code = did[order], th[order], at[order], code[order]
-            head = common.starts_of(code)[:-1]
-            group = np.repeat(head, np.diff(np.append(head, len(code))))
-            keep = (did != did[group]) | (at != at[group])
-            did, th, at = did[keep], th[keep], at[keep]
-        if len(did):
-            yield from _found(did, th, at)
+def _count_buckets(teams: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for did, th, at, code in _buckets(batches):
+            if code is not None:
+                order = np.lexsort((at, did, code))
+                did, th, at, code = did[order], th[order], at[order], code[order]
+                head = common.starts_of(code)[:-1]
+                group = np.repeat(head, np.diff(np.append(head, len(code))))
+                keep = (did != did[group]) | (at != at[group])
+                did, th, at = did[keep], th[keep], at[keep]
+            if len(did):
+                yield _teamed(did, th, at, teams)
+
+    return run
+
+
+def _teamed(did, th, at, teams: int, kind="<i4") -> pa.RecordBatch:
+    """Marks packed for each team of documents."""
+    team = (tokens.mix(did.view(np.uint64)) % np.uint64(teams)).astype(np.int64)
+    order = np.lexsort((at, th, did, team))
+    did, th, at, team = did[order], th[order], at[order], team[order]
+    cut = common.starts_of(team)
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        d, h = did[a:b], th[a:b]
+        doc = np.cumsum(np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) - 1
+        first = common.starts_of(doc)[:-1]
+        rows.append((int(team[a]), *_docs(d[first], h[first], doc, at[a:b], kind)))
+    return _pack(_GROUPS, rows)
+
+
+def gathered(kind: str = "<i4"):
+    """The marks of each document of a team, whose rows arrive together."""
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int32() if kind == "<i4" else pa.int64()), ("starts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for team, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if team != now and parts:
+                    yield from _found(schema, *map(np.concatenate, zip(*parts, strict=True)))
+                    parts = []
+                now = team
+                parts.append(_undocs(*packed, kind))
+        if parts:
+            yield from _found(schema, *map(np.concatenate, zip(*parts, strict=True)))
+
+    return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]):
+def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4"):
     """What each bucket holds; rows arrive sorted by bucket, and those of one bucket are decoded together."""
     now, parts = None, []
     for batch in batches:
         for bucket, docs, marks, counts, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket < 0:
-                yield *_undocs(docs, marks, counts), None
+                yield *_undocs(docs, marks, counts, kind), None
                 continue
             if bucket != now and parts:
                 yield tuple(map(np.concatenate, zip(*parts, strict=True)))
                 parts = []
             now = bucket
-            parts.append((*_undocs(docs, marks, counts), np.frombuffer(codes, np.uint64)))
+            parts.append((*_undocs(docs, marks, counts, kind), np.frombuffer(codes, np.uint64)))
     if parts:
         yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def _found(did, th, at) -> Iterator[pa.RecordBatch]:
+def _found(schema, did, th, at) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((at, th, did))
     did, th, at = did[order], th[order], at[order].astype("<i4")
     cut = common.starts_of(did, th)
     rows = [(int(did[i]), int(th[i]), at[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     for i in range(0, len(rows), 4096):
-        yield _pack(_FOUND, rows[i : i + 4096])
+        yield _pack(schema, rows[i : i + 4096])
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -171,7 +209,7 @@ def _remove(width: int, text: bool):
             rows = []
             for doc_id, raw, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 word = (raw or "").encode().split()
-                spans = intervals(np.concatenate([np.frombuffer(s, "<i4") for s in starts]), width) if starts else []
+                spans = intervals(np.frombuffer(starts, "<i4"), width) if starts else []
                 kept, last = [], 0
                 for a, b in spans:
                     kept += word[last:a]
@@ -197,14 +235,17 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text: bool = True, buck
     rows that are equal get equal results. Texts below width words are never touched; an empty table gives no rows.
     Other columns are ignored.
     """
-    d = docs.select("doc_id", common.row_id().alias("did"), F.xxhash64("text").alias("th"), "text")
+    d = docs.select("doc_id", common.row_id().alias("did"), F.hash("text").alias("th"), "text")
     if buckets is None:
         size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(16, -(-size // BUCKET))
-    n = common.partitions(docs)
+    teams = 16 * math.isqrt(buckets)
     marks = d.select("did", "th", "text").mapInArrow(_hash_batches(width, buckets), "bucket int, docs binary, marks binary, counts binary, codes binary")
-    found = marks.repartition(max(n, min(buckets, 100_000)), F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket").mapInArrow(_count_buckets, "did long, th long, starts binary")
-    found = found.groupBy("did", "th").agg(F.collect_list("starts").alias("starts"))  # bounded by the document's own length
+    # a bucket is a partition, up to a bound on partitions
+    parts = min(buckets, 50_000)
+    found = marks.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_count_buckets(teams), "team int, docs binary, marks binary, counts binary")
+    parts = min(teams, 50_000)
+    found = found.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(gathered(), "did long, th int, starts binary")
     both = d.join(found, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts")
     return both.mapInArrow(_remove(width, text), "doc_id long, n_words long, n_removed long, n_spans long, kept string")
 

@@ -59,6 +59,15 @@ def words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[n
 
     plain: A-Z count as a-z and words are runs of letters and digits (all bytes from 128 on are letters).
     """
+    if len(data) > 1 << 20 and len(offsets) > 2:  # a text at a time at least: what is held does not grow with the batch
+        cut = [0]
+        while cut[-1] < len(offsets) - 1:
+            cut.append(max(cut[-1] + 1, int(np.searchsorted(offsets, offsets[cut[-1]] + (1 << 20), side="right")) - 1))
+        parts = [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], plain) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        start = np.concatenate([p[0] + offsets[a] for p, a in zip(parts, cut, strict=False)])
+        first = np.concatenate([*(p[3][:-1] + n for p, n in zip(parts, before, strict=False)), before[-1:]])
+        return start, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), first
     solid = np.zeros(len(data) + 2, np.int8)
     if plain:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
