@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, mixing, pii, secrets, simhash, substrings, toxicity, urlfilter
+from . import decontamination, embeddings, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_embeddings": embeddings.op3_embeddings,
     "op4_pii": pii.op4_pii,
+    "op5_suffix_array": suffixes.op5_suffix_array,
     "op6_substrings": substrings.op6_substrings,
     "op7_simhash": simhash.op7_simhash,
     "op8_mixing": mixing.op8_mixing,
