@@ -52,22 +52,31 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(have[: len(x) - n + 1], have[n - width : n - width + len(x) - n + 1]) if n > width else have
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of the chosen substrings; texts end a byte before the next begins."""
+def minimizers(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, place, hash) of the chosen substrings; texts end a byte before the next begins.
+
+    Strings are looked at chunk by chunk, whatever texts they are of, so memory does not grow with the texts.
+    """
     span = WIDTH - GRAM + 1
-    if len(data) < WIDTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    last = offsets[1:] - 1
-    end = np.repeat(last, np.diff(offsets))
-    grams = np.arange(len(data) - GRAM + 1)
-    code = tokens.mix(tokens.spans_hash(data.astype(np.uint64) + np.uint64(1), grams, GRAM, _STEP)) >> np.uint64(1)
-    code[grams + GRAM > end[: len(grams)]] = _NONE
-    low = _slide(code, span, np.minimum)
-    low[np.arange(len(low)) + WIDTH > end[: len(low)]] = 0
-    padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-    at = np.flatnonzero((_slide(padded, span, np.maximum) == code) & (code != _NONE))
+    places, codes = [], []
+    for a in range(0, len(data) - WIDTH + 1, chunk):
+        own = data[a : a + chunk + WIDTH - 1]
+        lo, hi = np.searchsorted(offsets, [a, a + len(own)], side="right")
+        edge = np.clip(np.concatenate([[a], offsets[lo:hi], [a + len(own)]]), a, a + len(own)) - a
+        last = np.concatenate([offsets[lo:hi], [offsets[min(hi, len(offsets) - 1)]]]) - 1 - a
+        end = np.repeat(last, np.diff(edge))
+        grams = np.arange(len(own) - GRAM + 1)
+        code = tokens.mix(tokens.spans_hash(own.astype(np.uint64) + np.uint64(1), grams, GRAM, _STEP)) >> np.uint64(1)
+        code[grams + GRAM > end[: len(grams)]] = _NONE
+        low = _slide(code, span, np.minimum)
+        low[np.arange(len(low)) + WIDTH > end[: len(low)]] = 0
+        padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
+        at = np.flatnonzero((_slide(padded, span, np.maximum) == code) & (code != _NONE))
+        places.append(at + a)
+        codes.append(code[at])
+    at, first = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_index=True)
     doc = np.searchsorted(offsets, at, side="right") - 1
-    return doc, at - offsets[doc], code[at]
+    return doc, at - offsets[doc], np.concatenate([np.zeros(0, np.uint64), *codes])[first]
 
 
 def _mark_batches(buckets: int, teams: int):
@@ -176,22 +185,38 @@ class Batch:
         return np.flatnonzero((self.turn != 0) & (self.left >= length))
 
 
-def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each distinct key in sorted order, number of each row's key in that order)."""
+def _digest(keys: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(keys[0]), np.uint64)
-    for k in keys:
-        h = tokens.mix(h * np.uint64(0x9E3779B97F4A7C15) + k)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    order = np.lexsort(tuple(k[first] for k in reversed(keys)))
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return first[order], place[inverse]
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = tokens.mix(h * np.uint64(0x9E3779B97F4A7C15) + k)
+    return h
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by group, where each group begins, and the number of each row's group, for groups of equal h."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
+
+
+def _distinct(keys: list[np.ndarray], part) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct key, sorted by its range part(occurrences); number of each row's key in that order)."""
+    order, new, which = _groups(_digest(keys))
+    first = order[new]
+    sent = np.argsort(part(first), kind="stable")
+    place = np.empty_like(sent)
+    place[sent] = np.arange(len(sent))
+    return first[sent], place[which]
 
 
-def _triples(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _triples(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     at = b.samples(NAME)
     keys = [b.word(at + 8 * j) for j in range(3)]
-    first, inverse = _distinct(*keys)
+    first, inverse = _distinct(keys, lambda rows: np.searchsorted(ranges, keys[0][rows], side="right"))
     return at, first, inverse, keys
 
 
@@ -212,11 +237,10 @@ def _rank(columns: int):
         for part, rows in _by_part(batches):
             sent = [np.frombuffer(k, np.uint64).reshape(columns, -1) for _, k in rows]
             keys = np.concatenate(sent, axis=1)
-            order = np.lexsort(keys[::-1])
-            keys = keys[:, order]
-            new = np.append(False, (keys[:, 1:] != keys[:, :-1]).any(0)) if keys.shape[1] else np.zeros(0, bool)
-            rank = np.empty(len(order), "<u4")
-            rank[order] = np.cumsum(new)
+            order, new, which = _groups(_digest(list(keys)))
+            place = np.empty(len(new), "<u4")
+            place[np.lexsort(keys[::-1, order[new]])] = np.arange(len(new))
+            rank = place[which]
             at = 0
             for (bid, _), s in zip(rows, sent, strict=True):
                 yield _pack(_RANKS, [(bid, part, rank[at : at + s.shape[1]].tobytes())])
@@ -248,8 +272,7 @@ def _cuts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             b = Batch(meta, data)
-            _, first, _, keys = _triples(b)
-            w = keys[0][first]
+            w = np.sort(b.word(np.flatnonzero(b.left >= WIDTH)))
             w = w[np.linspace(0, len(w) - 1, CUTS).astype(int)] if len(w) else w
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["cuts"])
 
@@ -258,7 +281,7 @@ def _send_triples(ranges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, first, _, keys = _triples(Batch(meta, data))
+                _, first, _, keys = _triples(Batch(meta, data), ranges)
                 out = _send(bid, np.searchsorted(ranges, keys[0][first], side="right"), [k[first] for k in keys])
                 if out:
                     yield out
@@ -266,41 +289,43 @@ def _send_triples(ranges: np.ndarray):
     return run
 
 
-def _pairs(b: Batch, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    at, _, inverse, _ = _triples(b)
+def _pairs(b: Batch, ranges: np.ndarray, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    at, _, inverse, _ = _triples(b, ranges)
     name = np.zeros(len(b.piece), np.uint64)
     name[at] = _names(replies)[inverse]
     at = b.samples(2 * NAME)
     keys = [name[at], name[at + NAME]]
-    first, inverse = _distinct(*keys)
+    first, inverse = _distinct(keys, lambda rows: keys[0][rows] >> np.uint64(32))
     return at, first, inverse, keys
 
 
-def _send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for bid, meta, data, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            _, first, _, keys = _pairs(Batch(meta, data), names)
-            out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys])
-            if out:
-                yield out
+def _send_pairs(ranges: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bid, meta, data, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, first, _, keys = _pairs(Batch(meta, data), ranges, names)
+                out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys])
+                if out:
+                    yield out
+
+    return run
 
 
 def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
     """All whole strings: places, number of each one's distinct string; and for each distinct string, in the order in
-    which they are sent (by range, turn and document), its place, range and smallest document."""
+    which they are sent (by range and smallest document), a place of it, its range and its smallest document."""
     at = np.flatnonzero(b.left >= WIDTH)
+    if not len(at):
+        return at, at, at, at, at
     h = tokens.mix(tokens.spans_hash(b.data.astype(np.uint64) + np.uint64(1), at, WIDTH, _STEP))
-    order = np.lexsort((b.did[b.piece[at]], h))
-    new = np.append(True, h[order][1:] != h[order][:-1]) if len(at) else np.zeros(0, bool)
-    string = np.empty(len(at), np.int64)
-    string[order] = np.cumsum(new) - 1
+    order, new, which = _groups(h)
+    did = np.minimum.reduceat(b.did[b.piece[at[order]]], new)
     head = at[order[new]]
     part = np.searchsorted(ranges, b.word(head), side="right")
-    did = b.did[b.piece[head]]
-    sent = np.lexsort((did, b.turn[head], part))
+    sent = np.lexsort((did, part))  # stable: then by hash
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
-    return at, place[string] if len(at) else string, head[sent], part[sent], did[sent]
+    return at, place[which], head[sent], part[sent], did[sent]
 
 
 def _send_suffixes(ranges: np.ndarray):
@@ -308,7 +333,7 @@ def _send_suffixes(ranges: np.ndarray):
         for batch in batches:
             for bid, meta, data, names, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = Batch(meta, data)
-                at, _, inverse, _ = _pairs(b, names)
+                at, _, inverse, _ = _pairs(b, ranges, names)
                 name = np.zeros(len(b.piece) + 3, np.uint64)
                 name[at] = _names(pairs)[inverse]
                 _, _, head, part, did = _strings(b, ranges)
@@ -349,37 +374,29 @@ _SHARED = np.array([[0, 0, 1], [0, 0, 2], [1, 2, 1]])
 
 
 def merged(turn, x, y, b0, b1, b48, b49) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes by their prefixes, and where in that order a new prefix begins."""
+    """The order of suffixes by their prefixes, and where in that order a new prefix begins.
+
+    A name takes 48 bits (a range below 2**16 and a rank in it), so a comparison by two bytes and a name is one number.
+    """
     n = len(turn)
-    ranks = np.full((3, n), -1)
+    b0, b1, b48, b49 = (b.astype(np.uint64) for b in (b0, b1, b48, b49))
+    s = np.uint64
     # turns 0 and 1 compare by a byte, the successor's name, a byte; 0 and 2 by two bytes and a name; 1 and 2 by their own names
-    sides = ((turn != 2, (b0, x, b49)), (turn != 1, (b0, b1, y)), (turn != 0, (np.where(turn == 1, y, x), b48, b49)))
-    for k, (which, keys) in enumerate(sides):
-        own = np.flatnonzero(which)
-        keys = [key[own] for key in keys]
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(own), bool)
-        for key in keys:
-            new[1:] |= key[order][1:] != key[order][:-1]
-        ranks[k, own[order]] = np.cumsum(new)
-    sorted_ = []
-    for c, k in ((0, 0), (1, 0), (2, 1)):
-        own = np.flatnonzero(turn == c)
-        sorted_.append(own[np.argsort(ranks[k, own], kind="stable")])
+    keys = [b0 << s(56) | x << s(8) | b49, b0 << s(56) | b1 << s(48) | y, np.where(turn == 1, y, x) << s(16) | b48 << s(8) | b49]
+    rows = [(own := np.flatnonzero(turn == c))[np.argsort(keys[k][own])] for c, k in ((0, 0), (1, 0), (2, 1))]
     place = np.empty(n, np.int64)
     for c in range(3):
-        own = sorted_[c]
-        at = np.arange(len(own))
+        at = np.arange(len(rows[c]))
         for o in range(3):
             if o != c:  # ties go by turn
-                k = _SHARED[c, o]
-                at = at + np.searchsorted(ranks[k, sorted_[o]], ranks[k, own], side="right" if o < c else "left")
-        place[own] = at
+                k = keys[_SHARED[c, o]]
+                at = at + np.searchsorted(k[rows[o]], k[rows[c]], side="right" if o < c else "left")
+        place[rows[c]] = at
     order = np.empty(n, np.int64)
     order[place] = np.arange(n)
     a, b = order[:-1], order[1:]
-    k = _SHARED[turn[a], turn[b]]
-    return order, np.append(True, ranks[k, a] != ranks[k, b]) if n else np.zeros(0, bool)
+    same = np.choose(_SHARED[turn[a], turn[b]], [k[a] == k[b] for k in keys])
+    return order, np.append(True, ~same) if n else np.zeros(0, bool)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +486,7 @@ def repeats(batches: DataFrame, size: int) -> DataFrame:
     names = common.durable(_numbered(sent, parts, _rank(3), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
-    sent = _answers(batches, names, "names").select("bid", "meta", "data", "names").mapInArrow(_send_pairs, "part int, bid long, keys binary")
+    sent = _answers(batches, names, "names").select("bid", "meta", "data", "names").mapInArrow(_send_pairs(ranges), "part int, bid long, keys binary")
     pairs = common.durable(_numbered(sent, parts, _rank(2), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
