@@ -20,7 +20,7 @@ from . import common, totals
 #: n-gram lengths, bits of the feature hash, smoothing of the counts, features that stay, strength of the ridge.
 GRAMS, BITS, ALPHA, FEATURES, RIDGE = (3, 4, 5), 18, 1.0, 30_000, 1.0
 #: The bound on the regression's sample: labelled rows of each class, by a hash of their id.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Labels are sent to all tasks up to this many rows (16 MB); beyond it they are joined by a shuffle.
 SENT_LABELS = 1_000_000
 BATCH = 2 << 20
@@ -94,16 +94,24 @@ def _sampled(wanted: np.ndarray):
     return run
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-penalised logistic regression over sparse rows, by limited-memory BFGS."""
-    n = len(y)
-    sign = 2 * y - 1
+def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. A row lists the features it
+    has; scale is the value that each then takes. Rows are gone through some at a time, so that only they are held."""
+    size, sign = len(scale), 2 * y - 1
+    block = 256
+    parts = [(a, np.concatenate([np.zeros(0, "<i4"), *rows[a : a + block]]), np.array([len(r) for r in rows[a : a + block]])) for a in range(0, len(rows), block)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = sign * (np.bincount(row, value * w[col], n) + w[-1])
-        slope = -sign / (1 + np.exp(np.clip(margin, -500, 500)))
-        g = np.append(np.bincount(col, value * slope[row], size) + ridge * w[:-1], slope.sum())
-        return float(np.logaddexp(0, -margin).sum() + ridge / 2 * (w[:-1] @ w[:-1])), g
+        total, g, u = 0.0, np.zeros(size + 1), w[:-1] * scale
+        for a, col, n in parts:
+            own = np.repeat(np.arange(len(n)), n)
+            margin = sign[a : a + block] * (np.bincount(own, u[col], len(n)) + w[-1])
+            slope = -sign[a : a + block] / (1 + np.exp(np.clip(margin, -500, 500)))
+            g[:-1] += np.bincount(col, slope[own], size)
+            g[-1] += slope.sum()
+            total += float(np.logaddexp(0, -margin).sum())
+        g[:-1] = g[:-1] * scale + ridge * w[:-1]
+        return total + ridge / 2 * float(w[:-1] @ w[:-1]), g
 
     w = np.zeros(size + 1)
     f, g = loss(w)
@@ -203,22 +211,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled(wanted), "fold int, toxic int, features binary").collect()
     rows.sort(key=lambda r: (r["fold"], r["toxic"], bytes(r["features"])))
     y, check = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] == 1 for r in rows])
-    f = [np.frombuffer(r["features"], "<i4") for r in rows]
     place = np.cumsum(wanted) - 1
-
-    def sparse(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [f[i] for i in np.flatnonzero(which)]
-        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, "<i4"), *own])
-
-    row, col = sparse(~check)
-    w, b = logistic(row, place[col], ratio[col], y[~check], int(wanted.sum()), ridge)
+    f = [place[np.frombuffer(r["features"], "<i4")].astype("<i4") for r in rows]
+    del rows
+    w, b = logistic([f[i] for i in np.flatnonzero(~check)], ratio[wanted], y[~check], ridge)
     b += float(np.log(n1 / n0) - np.log(y[~check].sum() / (~check & (y == 0)).sum()))  # from the sample's rate to that of all
+    w = w * ratio[wanted]
     weight = np.zeros(1 << BITS)
-    weight[wanted] = w * ratio[wanted]
+    weight[wanted] = w
     a, c = 1.0, 0.0
     if 0 < y[check].sum() < check.sum():
-        row, col = sparse(check)
-        z = np.bincount(row, weight[col], int(check.sum())) + b
+        z = np.array([w[f[i]].sum() for i in np.flatnonzero(check)]) + b
         known = np.array([size[True, int(v)] for v in y[check]]) / np.where(y[check] > 0, y[check].sum(), (1 - y[check]).sum())
         a, c = calibration(z, y[check], known)
     return Model(a * weight, a * b + c)
