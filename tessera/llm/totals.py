@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -36,9 +35,7 @@ def total(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray |
 
     schema = "slice int, part binary"
     rows = df.mapInArrow(parts, schema).repartition(min(slices, common.partitions(df)), "slice").mapInArrow(sums, schema)
-    rows = rows.groupBy("slice").agg(F.collect_list("part").alias("part")).collect()
     out = np.zeros(size, kind)
-    for r in rows:
-        for p in r["part"]:
-            out[edge[r["slice"]] : edge[r["slice"] + 1]] += np.frombuffer(p, kind)
+    for r in rows.collect():
+        out[edge[r["slice"]] : edge[r["slice"] + 1]] += np.frombuffer(r["part"], kind)
     return out
