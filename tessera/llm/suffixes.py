@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from . import common, substrings, tokens
 from .substrings import _pack, _thin, _wide
 
-WIDTH, NAME, GRAM = 50, 24, 24
+WIDTH, NAME, GRAM = 50, 24, 36
+#: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
+ANCHOR = 64
 #: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket or range should stand for.
 HASHED, BATCH, BUCKET = 2 << 20, 2 << 20, 8 << 20
 #: Bound on the batches from which the ranges are cut, and numbers taken of each.
@@ -136,23 +138,38 @@ _PIECES = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("th", pa.int64()
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of a text that marked substrings, or strings around them, cover."""
+    """The parts of a text that marked substrings, or strings around them, cover, cut at anchors among the marked.
+
+    A piece overlaps the next by a byte less than a string, so that each string lies in one piece, by where it starts.
+    """
     for batch in batches:
         rows = []
         for did, th, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            data = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
-            at = np.unique(np.frombuffer(starts, "<i4"))
-            code = tokens.mix(tokens.spans_hash(data, at.astype(np.int64), GRAM, _STEP)).view(np.int64)
+            data = np.frombuffer(raw, np.uint8)
+            at = np.unique(np.frombuffer(starts, "<i4")).astype(np.int64)
+            code = np.concatenate([_codes(data, p) for p in np.split(at, np.arange(8192, len(at), 8192))])
             far = np.flatnonzero(np.diff(at) > 2 * WIDTH - GRAM) + 1
             for own, codes in zip(np.split(at, far), np.split(code, far), strict=True):
                 a, b = max(0, int(own[0]) + GRAM - WIDTH), min(len(raw), int(own[-1]) + WIDTH)
-                if b - a >= WIDTH:
-                    rows.append((int(codes.min()), did, th, a, raw[a:b]))
+                anchor = np.flatnonzero(codes % np.uint64(ANCHOR) == 0)
+                cut = [a, *own[anchor].tolist(), b - WIDTH + 1]
+                keys = [codes.min(), *codes[anchor]]
+                for s, e, k in zip(cut[:-1], cut[1:], keys, strict=True):
+                    if e > s:
+                        rows.append((int(k >> np.uint64(1)), did, th, s, raw[s : e + WIDTH - 1]))
         for i in range(0, len(rows), 1024):
             yield _pack(_PIECES, rows[i : i + 1024])
 
 
+def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the substrings at these places, in order of place."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    own = data[at[0] : at[-1] + GRAM].astype(np.uint64) + np.uint64(1)
+    return tokens.mix(tokens.spans_hash(own, at - at[0], GRAM, _STEP))
+
+
 _BATCHES = pa.schema([("bid", pa.int64()), ("meta", pa.binary()), ("data", pa.binary())])
 
 
@@ -224,18 +241,45 @@ _SENT = pa.schema([("part", pa.int32()), ("bid", pa.int64()), ("keys", pa.binary
 _RANKS = pa.schema([("bid", pa.int64()), ("part", pa.int32()), ("ranks", pa.binary())])
 
 
-def _send(bid: int, part: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch | None:
+def _send(bid: int, part: np.ndarray, keys: list[np.ndarray], pack) -> pa.RecordBatch | None:
     cut = common.starts_of(part)
-    rows = [(int(part[a]), bid, np.stack([k[a:b] for k in keys]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rows = [(int(part[a]), bid, pack([k[a:b] for k in keys])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return _pack(_SENT, rows) if rows else None
 
 
-def _rank(columns: int):
+def _pack_triples(keys: list[np.ndarray]) -> bytes:
+    return np.stack(keys).tobytes()
+
+
+def _unpack_triples(part: int, row: bytes) -> np.ndarray:
+    return np.frombuffer(row, np.uint64).reshape(3, -1)
+
+
+def _split(name: np.ndarray) -> tuple[bytes, bytes]:
+    return (name >> np.uint64(32)).astype("<u2").tobytes(), (name & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _join(part: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    return part.astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64)
+
+
+def _pack_pairs(keys: list[np.ndarray]) -> bytes:
+    """Without the first name's range, which is the range that the pair is sent to."""
+    return b"".join([_split(keys[0])[1], *_split(keys[1])])
+
+
+def _unpack_pairs(part: int, row: bytes) -> np.ndarray:
+    n = len(row) // 10
+    first, high, low = np.frombuffer(row, "<u4", n), np.frombuffer(row, "<u2", n, 4 * n), np.frombuffer(row, "<u4", n, 6 * n)
+    return np.stack([_join(np.full(n, part), first), _join(high, low)])
+
+
+def _rank(unpack):
     """Ranks of the distinct keys of a range, for each batch in the order in which it sent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            sent = [np.frombuffer(k, np.uint64).reshape(columns, -1) for _, k in rows]
+            sent = [unpack(part, k) for _, k in rows]
             keys = np.concatenate(sent, axis=1)
             order, new, which = _groups(_digest(list(keys)))
             place = np.empty(len(new), "<u4")
@@ -282,7 +326,7 @@ def _send_triples(ranges: np.ndarray):
         for batch in batches:
             for bid, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, first, _, keys = _triples(Batch(meta, data), ranges)
-                out = _send(bid, np.searchsorted(ranges, keys[0][first], side="right"), [k[first] for k in keys])
+                out = _send(bid, np.searchsorted(ranges, keys[0][first], side="right"), [k[first] for k in keys], _pack_triples)
                 if out:
                     yield out
 
@@ -304,7 +348,7 @@ def _send_pairs(ranges: np.ndarray):
         for batch in batches:
             for bid, meta, data, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, first, _, keys = _pairs(Batch(meta, data), ranges, names)
-                out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys])
+                out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys], _pack_pairs)
                 if out:
                     yield out
 
@@ -351,22 +395,18 @@ def _send_suffixes(ranges: np.ndarray):
 
 
 def _suffix_row(turn, x, y, ends, did) -> bytes:
-    low = np.uint64(0xFFFFFFFF)
-    parts = [len(turn).to_bytes(4, "little"), turn.astype(np.uint8).tobytes()]
-    for v in (x, y):
-        parts += [(v >> np.uint64(32)).astype("<u4").tobytes(), (v & low).astype("<u4").tobytes()]
+    parts = [len(turn).to_bytes(4, "little"), turn.astype(np.uint8).tobytes(), *_split(x), *_split(y)]
     return b"".join([*parts, *(z.tobytes() for z in ends), _thin(np.diff(did, prepend=0))])
 
 
 def _suffix_columns(row: bytes) -> list[np.ndarray]:
     n, at = int.from_bytes(row[:4], "little"), 4
     out = []
-    for kind in ("u1", "<u4", "<u4", "<u4", "<u4", "u1", "u1", "u1", "u1"):
+    for kind in ("u1", "<u2", "<u4", "<u2", "<u4", "u1", "u1", "u1", "u1"):
         out.append(np.frombuffer(row, kind, n, at))
         at += n * np.dtype(kind).itemsize
     turn, xp, xr, yp, yr, *ends = out
-    join = lambda p, r: p.astype(np.uint64) << np.uint64(32) | r
-    return [turn, join(xp, xr), join(yp, yr), *ends, np.cumsum(_wide(row[at:]))]
+    return [turn, _join(xp, xr), _join(yp, yr), *ends, np.cumsum(_wide(row[at:]))]
 
 
 #: Of two turns, which comparison both have: 0 by the successor, 1 by the one after it, 2 by the place itself.
@@ -483,11 +523,11 @@ def repeats(batches: DataFrame, size: int) -> DataFrame:
     parts = len(ranges) + 1
     spark = batches.sparkSession
     sent = batches.mapInArrow(_send_triples(ranges), "part int, bid long, keys binary")
-    names = common.durable(_numbered(sent, parts, _rank(3), "bid long, part int, ranks binary"))
+    names = common.durable(_numbered(sent, parts, _rank(_unpack_triples), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
     sent = _answers(batches, names, "names").select("bid", "meta", "data", "names").mapInArrow(_send_pairs(ranges), "part int, bid long, keys binary")
-    pairs = common.durable(_numbered(sent, parts, _rank(2), "bid long, part int, ranks binary"))
+    pairs = common.durable(_numbered(sent, parts, _rank(_unpack_pairs), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
     both = _answers(_answers(batches, names, "names"), pairs, "pairs").select("bid", "meta", "data", "names", "pairs")
