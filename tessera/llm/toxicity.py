@@ -19,6 +19,8 @@ from . import common, totals
 
 #: n-gram lengths, bits of the feature hash, smoothing of the counts, features that stay, strength of the ridge.
 GRAMS, BITS, ALPHA, FEATURES, RIDGE = (3, 4, 5), 18, 1.0, 30_000, 1.0
+#: A feature's log-count ratio must be this far from zero: n-grams that are about as common in both classes only cost.
+RATIO = 0.7
 #: The bound on the regression's sample: labelled rows of each class, by a hash of their id.
 SAMPLE = 2000
 #: Labels are sent to all tasks up to this many rows (16 MB); beyond it they are joined by a shuffle.
@@ -197,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     q, p = (rate[0] + ALPHA) / (n0 + 2 * ALPHA), (rate[1] + ALPHA) / (n1 + 2 * ALPHA)
     ratio = np.log(p / q)
     sure = np.abs(ratio) / np.sqrt(1 / (rate[0] + ALPHA) + 1 / (rate[1] + ALPHA))
-    sure[rate.sum(0) == 0] = 0
+    sure[(rate.sum(0) == 0) | (np.abs(ratio) < RATIO)] = 0
     wanted = np.zeros(1 << BITS, bool)
     wanted[np.argsort(-sure, kind="stable")[:features]] = True
     wanted &= sure > 0
