@@ -35,7 +35,7 @@ WIDTH, NAME, GRAM = 50, 24, 36
 #: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
 ANCHOR = 64
 #: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket or range should stand for.
-HASHED, BATCH, BUCKET = 2 << 20, 2 << 20, 8 << 20
+HASHED, BATCH, BUCKET = 1 << 20, 1 << 20, 4 << 20
 #: Bound on the batches from which the ranges are cut, and numbers taken of each.
 SAMPLED, CUTS = 2000, 64
 _STEP = 0xA0761D6478BD642F
@@ -188,11 +188,12 @@ class Batch:
         self.did, self.th, self.off, size = np.frombuffer(meta, "<i8").reshape(4, -1)
         self.data = np.frombuffer(data + bytes(8), np.uint8)
         n = int(size.sum())
-        begin = np.cumsum(size) - size
-        self.piece = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(n) - np.repeat(begin, size)
-        self.left = np.repeat(size, size) - self.place
-        self.turn = self.place % 3
+        size = size.astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        self.piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.place = np.arange(n, dtype=np.int32) - begin[self.piece]
+        self.left = size[self.piece] - self.place
+        self.turn = (self.place % 3).astype(np.int8)
 
     def word(self, at: np.ndarray) -> np.ndarray:
         """Eight bytes from each place, as a number that orders like them."""
@@ -224,7 +225,7 @@ def _distinct(keys: list[np.ndarray], part) -> tuple[np.ndarray, np.ndarray]:
     """(an occurrence of each distinct key, sorted by its range part(occurrences); number of each row's key in that order)."""
     order, new, which = _groups(_digest(keys))
     first = order[new]
-    sent = np.argsort(part(first), kind="stable")
+    sent = np.argsort(part(first).astype(np.uint16), kind="stable")
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return first[sent], place[which]
@@ -366,7 +367,8 @@ def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
     did = np.minimum.reduceat(b.did[b.piece[at[order]]], new)
     head = at[order[new]]
     part = np.searchsorted(ranges, b.word(head), side="right")
-    sent = np.lexsort((did, part))  # stable: then by hash
+    _, rank = np.unique(did, return_inverse=True)
+    sent = np.argsort(part.astype(np.uint64) << np.uint64(48) | rank.astype(np.uint64) << np.uint64(28) | np.arange(len(part), dtype=np.uint64))
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return at, place[which], head[sent], part[sent], did[sent]
@@ -496,7 +498,7 @@ def _answers(batches: DataFrame, replies: DataFrame, name: str) -> DataFrame:
 
 
 def pieces(docs: DataFrame, size: int) -> DataFrame:
-    """What could repeat, as (bid, meta, data): some two megabytes of pieces a row."""
+    """What could repeat, as (bid, meta, data): about a megabyte of pieces a row."""
     buckets = max(16, -(-size // BUCKET))
     teams = 16 * math.isqrt(buckets)
     marks = docs.mapInArrow(_mark_batches(buckets, teams), "bucket int, docs binary, marks binary, counts binary, codes binary")
