@@ -516,11 +516,11 @@ def pieces(docs: DataFrame, size: int) -> DataFrame:
 
 def repeats(batches: DataFrame, size: int) -> DataFrame:
     """(did, th, starts): the intervals of each document that repeats of earlier documents cover, by pieces."""
-    n = batches.count()
+    n, held = batches.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
     some = batches.where(F.pmod(F.xxhash64("bid"), F.lit(1 << 20)) < int(min(1.0, SAMPLED / max(1, n)) * (1 << 20)))
     cuts = [np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(_cuts_of, "cuts binary").collect()]
     cuts = np.sort(np.concatenate([np.zeros(0, np.uint64), *cuts]))
-    parts = max(16, min(50_000, n))
+    parts = max(16, min(50_000, (held or 0) // BATCH))
     ranges = np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]]) if len(cuts) else cuts
     parts = len(ranges) + 1
     spark = batches.sparkSession
