@@ -92,14 +92,13 @@ def _mark_batches(buckets: int, teams: int):
             doc, at, code = minimizers(*tokens.buffer(t["text"]))
             if not len(code):
                 continue
-            order = np.argsort(code, kind="stable")
+            order = np.argsort(code)
             doc, at, code = doc[order], at[order], code[order]
             cut = common.starts_of(code)
             size = np.diff(cut)
-            first, final = np.repeat(doc[cut[:-1]], size), np.repeat(doc[cut[1:] - 1], size)
-            many = first != final  # known to repeat: marked here, and two speak for all
-            send = ~many
-            send[cut[:-1]] = send[cut[1:] - 1] = True
+            first, final = (np.repeat(f.reduceat(doc, cut[:-1]), size) for f in (np.minimum, np.maximum))
+            many = first != final  # known to repeat: marked here, and two documents speak for all
+            send = (doc == first) | (doc == final)
             rows = []
             if many.any():
                 o = np.flatnonzero(many)
@@ -122,11 +121,9 @@ def _mark_buckets(teams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for did, th, at, code in substrings._buckets(batches, "<i8"):
             if code is not None:
-                order = np.lexsort((th, code))
-                did, th, at, code = did[order], th[order], at[order], code[order]
-                cut = common.starts_of(code)
-                size = np.diff(cut)
-                keep = np.repeat(th[cut[:-1]] != th[cut[1:] - 1], size)
+                order = np.argsort(code)
+                cut = common.starts_of(code[order])
+                keep = order[np.repeat(np.minimum.reduceat(th[order], cut[:-1]) != np.maximum.reduceat(th[order], cut[:-1]), np.diff(cut))]
                 did, th, at = did[keep], th[keep], at[keep]
             if len(did):
                 yield substrings._teamed(did, th, at, teams, "<i8")
@@ -508,6 +505,7 @@ def pieces(docs: DataFrame, size: int) -> DataFrame:
     marks = marks.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(substrings.gathered("<i8"), "did long, th long, starts binary")
     heads = docs.groupBy("th").agg(F.min("did").alias("did"))
     marks = common.durable(marks.join(heads, ["did", "th"], "left_semi"))
+    common.release(docs.sparkSession)
     found = docs.join(marks, ["did", "th"]).select("did", "th", "text", "starts").mapInArrow(_cut_pieces, "key long, did long, th long, off long, piece binary")
     # pieces with a chosen substring in common lie together; a large group of them may be split
     found = found.hint("rebalance", max(2, common.partitions(docs)), "key").sortWithinPartitions("key", "did", "off").drop("key")
