@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, substrings, tokens
-from .substrings import _pack, _thin, _wide
+from .substrings import _pack
 
 WIDTH, NAME, GRAM = 50, 24, 36
 #: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
@@ -253,23 +253,22 @@ def _unpack_triples(part: int, row: bytes) -> np.ndarray:
     return np.frombuffer(row, np.uint64).reshape(3, -1)
 
 
-def _split(name: np.ndarray) -> tuple[bytes, bytes]:
-    return (name >> np.uint64(32)).astype("<u2").tobytes(), (name & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones: the high bytes of small numbers are runs of zeros, which compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _join(part: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    return part.astype(np.uint64) << np.uint64(32) | rank.astype(np.uint64)
+def _unplanes(b: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
 
 
 def _pack_pairs(keys: list[np.ndarray]) -> bytes:
-    """Without the first name's range, which is the range that the pair is sent to."""
-    return b"".join([_split(keys[0])[1], *_split(keys[1])])
+    return b"".join(map(_planes, keys))
 
 
 def _unpack_pairs(part: int, row: bytes) -> np.ndarray:
-    n = len(row) // 10
-    first, high, low = np.frombuffer(row, "<u4", n), np.frombuffer(row, "<u2", n, 4 * n), np.frombuffer(row, "<u4", n, 6 * n)
-    return np.stack([_join(np.full(n, part), first), _join(high, low)])
+    n = len(row) // 16
+    return np.stack([_unplanes(row, n), _unplanes(row, n, 8 * n)])
 
 
 def _rank(unpack):
@@ -394,18 +393,15 @@ def _send_suffixes(ranges: np.ndarray):
 
 
 def _suffix_row(turn, x, y, ends, did) -> bytes:
-    parts = [len(turn).to_bytes(4, "little"), turn.astype(np.uint8).tobytes(), *_split(x), *_split(y)]
-    return b"".join([*parts, *(z.tobytes() for z in ends), _thin(np.diff(did, prepend=0))])
+    parts = [len(turn).to_bytes(4, "little"), turn.astype(np.uint8).tobytes(), *(z.tobytes() for z in ends)]
+    return b"".join([*parts, _planes(x), _planes(y), _planes(np.diff(did, prepend=0))])
 
 
 def _suffix_columns(row: bytes) -> list[np.ndarray]:
-    n, at = int.from_bytes(row[:4], "little"), 4
-    out = []
-    for kind in ("u1", "<u2", "<u4", "<u2", "<u4", "u1", "u1", "u1", "u1"):
-        out.append(np.frombuffer(row, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    turn, xp, xr, yp, yr, *ends = out
-    return [turn, _join(xp, xr), _join(yp, yr), *ends, np.cumsum(_wide(row[at:]))]
+    n = int.from_bytes(row[:4], "little")
+    turn, b0, b1, b48, b49 = (np.frombuffer(row, np.uint8, n, 4 + n * k) for k in range(5))
+    x, y, step = (_unplanes(row, n, 4 + 5 * n + 8 * n * k) for k in range(3))
+    return [turn, x, y, b0, b1, b48, b49, np.cumsum(step.view(np.int64))]
 
 
 #: Of two turns, which comparison both have: 0 by the successor, 1 by the one after it, 2 by the place itself.
