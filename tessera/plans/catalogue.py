@@ -523,3 +523,111 @@ def logistic_drivers(s: SparkSession, d: str) -> DataFrame:
     j = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     j = j.select(F.col("quality").cast("double").alias("good"), "lang", F.log1p("n_chars").alias("size"), F.lit(1.0).alias("w"))
     return measure.logistic_drivers(j, "good ~ lang + size", "w")
+
+
+# --- labels, lookups, rules
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' ELSE 'other' END AS material, coalesce(nullif(p_brand, 'Brand#11'), 'unknown') AS brand, coalesce(p_size / nullif(p_size % 5, 0), 0)::DOUBLE AS guarded,
+floor((p_retailprice / 7) * 1000) / 1000 AS floored FROM part""")
+def null_and_zero_rules(s: SparkSession, d: str) -> DataFrame:
+    p, rest = t(s, d, "part"), F.col("p_size") % 5
+    brand = F.coalesce(F.nullif(F.col("p_brand"), F.lit("Brand#11")), F.lit("unknown"))
+    return p.select("p_partkey", F.when(F.col("p_type").contains("STEEL"), "steel").otherwise("other").alias("material"), brand.alias("brand"), C.guarded_ratio(F.col("p_size").cast("double"), rest).alias("guarded"), C.floor3(F.col("p_retailprice") / 7).alias("floored"))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS label, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INTEGER AS mi, last_day(o_orderdate)::DATE AS month_end,
+(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS published FROM orders""")
+def calendar_scalars(s: SparkSession, d: str) -> DataFrame:
+    o = F.col("o_orderdate")
+    return t(s, d, "orders").select("o_orderkey", C.quarter_label(o).alias("label"), C.month_index(o).alias("mi"), F.last_day(F.to_date(o)).alias("month_end"), F.add_months(F.trunc(F.to_date(o), "MM"), 1).alias("published"))
+
+
+@query("""SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'ambiguous' END AS verdict, count(*)::BIGINT AS n FROM orders GROUP BY ALL""")
+def lookup_map(s: SparkSession, d: str) -> DataFrame:
+    names = F.create_map(F.lit("F"), F.lit("final"), F.lit("O"), F.lit("open"))
+    return t(s, d, "orders").groupBy("o_orderpriority", F.coalesce(F.try_element_at(names, F.col("o_orderstatus")), F.lit("ambiguous")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT event_type, {_DAY} AS day, count(*)::BIGINT AS n FROM events GROUP BY ALL), x AS (SELECT DISTINCT event_type FROM c), y AS (SELECT DISTINCT day FROM c)
+SELECT x.event_type, y.day, coalesce(c.n, 0)::BIGINT AS n FROM x CROSS JOIN y LEFT JOIN c USING (event_type, day)""")
+def dense_pivot(s: SparkSession, d: str) -> DataFrame:
+    c = daily(s, d)
+    return windows.dense(c.select("event_type").distinct(), c.select("day").distinct()).join(c, ["event_type", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(f"""WITH d AS ({_DAILY}), b AS (SELECT event_type, day, n FROM d WHERE n > (SELECT 1.15 * avg(n) FROM d)), t AS (SELECT * FROM (SELECT 'spike' AS kind, event_type AS subject, n::VARCHAR AS detail FROM b ORDER BY n DESC, event_type, day LIMIT 10))
+SELECT * FROM t UNION ALL SELECT 'busy_user', user_id::VARCHAR, count(*)::VARCHAR FROM events GROUP BY user_id HAVING count(*) >= 80""")
+def anomaly_union(s: SparkSession, d: str) -> DataFrame:
+    x = daily(s, d)
+    top = x.crossJoin(x.agg(F.avg("n").alias("m"))).where(F.col("n") > 1.15 * F.col("m")).orderBy(F.desc("n"), "event_type", "day").limit(10)
+    top = top.select(F.lit("spike").alias("kind"), F.col("event_type").alias("subject"), F.col("n").cast("string").alias("detail"))
+    busy = t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 80")
+    return top.unionByName(busy.select(F.lit("busy_user").alias("kind"), F.col("user_id").cast("string").alias("subject"), F.col("n").cast("string").alias("detail")))
+
+
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS token, p_brand FROM part), c AS (SELECT p_brand, token, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, token) AS r FROM w GROUP BY p_brand, token)
+SELECT p_brand, token, n FROM c WHERE r <= 3""")
+def token_attribution(s: SparkSession, d: str) -> DataFrame:
+    c = t(s, d, "part").select("p_brand", F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9]+)"))).alias("token")).groupBy("p_brand", "token").agg(F.count("*").alias("n"))
+    return c.withColumn("r", F.row_number().over(W.partitionBy("p_brand").orderBy(F.desc("n"), "token"))).where("r <= 3").drop("r")
+
+
+@query("""WITH p AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[\\s\\-_]+'), lambda x: x <> '') AS w, lower(p_name) AS n FROM part)
+SELECT p_partkey, round(CASE WHEN contains(n, 'red widget') THEN greatest(0.95, ((CASE WHEN list_contains(w, 'red') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(w, 'widget') THEN 1 ELSE 0 END)) / 2.0)
+ELSE ((CASE WHEN list_contains(w, 'red') THEN 1 ELSE 0 END) + (CASE WHEN list_contains(w, 'widget') THEN 1 ELSE 0 END)) / 2.0 END, 3)::DOUBLE AS score FROM p""")
+def title_match(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "part").select("p_partkey", C.title_score(F.lit("red widget"), F.col("p_name")).alias("score"))
+
+
+@query(f"""WITH f AS (SELECT o_custkey, min({_Q}) AS cohort FROM orders GROUP BY 1), c AS (SELECT cohort, c_mktsegment AS seg, count(*) AS n FROM f JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+g AS (SELECT q.cohort, s.seg, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT cohort FROM c) q CROSS JOIN (SELECT DISTINCT seg FROM c) s LEFT JOIN c USING (cohort, seg)),
+h AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY cohort)::DOUBLE AS share FROM g), m AS (SELECT *, avg(share) OVER (PARTITION BY seg ORDER BY cohort ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM h)
+SELECT cohort, round(sum(abs(share - before)), 8) AS distance FROM m WHERE before IS NOT NULL GROUP BY cohort""")
+def composition_shift(s: SparkSession, d: str) -> DataFrame:
+    f = orders_q(s, d).groupBy("o_custkey").agg(F.min("qi").alias("cohort")).join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    c = f.groupBy("cohort", F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
+    g = windows.dense(c.select("seg").distinct(), c.select("cohort").distinct()).join(c, ["cohort", "seg"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    g = g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("cohort"))).withColumn("before", windows.trailing(F.avg("share"), ["seg"], ["cohort"], 3))
+    return g.where("before is not null").groupBy("cohort").agg(F.round(F.sum(F.abs(F.col("share") - F.col("before"))), 8).alias("distance"))
+
+
+@query(f"""WITH p AS (SELECT c_mktsegment AS seg, o_custkey, {_Q} AS qi, sum(o_totalprice::DECIMAL(18,2)) AS rev FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+k AS (SELECT seg, qi, sum(rev)::DOUBLE AS revenue, count(*)::BIGINT AS actives FROM p GROUP BY ALL), a AS (SELECT p.seg, p.qi, count(*) AS adds FROM p LEFT JOIN p b ON p.o_custkey = b.o_custkey AND b.qi = p.qi - 1 WHERE b.qi IS NULL GROUP BY ALL),
+l AS (SELECT b.seg, b.qi + 1 AS qi, count(*) AS churned FROM p b LEFT JOIN p ON p.o_custkey = b.o_custkey AND p.qi = b.qi + 1 WHERE p.qi IS NULL GROUP BY ALL)
+SELECT k.seg, k.qi, 10.0 * revenue AS revenue, 10 * actives AS actives, (10 * coalesce(adds, 0))::BIGINT AS gross_adds, (10 * coalesce(churned, 0))::BIGINT AS churned, revenue / actives AS arpu FROM k LEFT JOIN a USING (seg, qi) LEFT JOIN l USING (seg, qi)""")
+def panel_kpis(s: SparkSession, d: str) -> DataFrame:
+    """Weighted indicators of a panel of customers (uniform weight 10): revenue, actives, gross adds, churned, revenue per active."""
+    p = orders_q(s, d).groupBy("o_custkey", "qi").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("rev"))
+    w = W.partitionBy("o_custkey").orderBy("qi")
+    p = p.withColumn("new", F.coalesce(F.lag("qi").over(w) != F.col("qi") - 1, F.lit(True))).withColumn("last", F.coalesce(F.lead("qi").over(w) != F.col("qi") + 1, F.lit(True)))
+    p = p.join(t(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg")), F.col("o_custkey") == F.col("c_custkey"))
+    k = p.groupBy("seg", "qi").agg(F.sum("rev").cast("double").alias("r"), F.count("*").alias("a"), F.count_if("new").alias("new"))
+    gone = p.where("last").groupBy("seg", (F.col("qi") + 1).alias("qi")).agg(F.count("*").alias("gone"))
+    k = k.join(gone, ["seg", "qi"], "left")
+    return k.select("seg", "qi", (10.0 * F.col("r")).alias("revenue"), (10 * F.col("a")).alias("actives"), (10 * F.col("new")).alias("gross_adds"), (10 * F.coalesce("gone", F.lit(0))).alias("churned"), (F.col("r") / F.col("a")).alias("arpu"))
+
+
+@query(f"""WITH e AS (SELECT user_id, {_DAY} AS day, event_type, value::DECIMAL(18,2) AS v FROM events), w AS (SELECT user_id % 10 AS g, sum(CASE WHEN day >= DATE '2024-01-15' AND day < DATE '2024-01-20' AND event_type <> 'click' THEN v ELSE 0 END)::DOUBLE AS win,
+sum(CASE WHEN day < DATE '2024-01-15' AND event_type = 'click' THEN v ELSE 0 END)::DOUBLE AS slice, sum(CASE WHEN day < DATE '2024-01-15' THEN v ELSE 0 END)::DOUBLE AS base FROM e GROUP BY 1),
+s AS (SELECT *, least(greatest(CASE WHEN base > 0 THEN slice / base ELSE 0.0 END, 0.0), 0.8) AS share FROM w) SELECT g, round(share, 8) AS share, round(win * share / (1 - share), 6) AS added FROM s""")
+def outage_reconstruction(s: SparkSession, d: str) -> DataFrame:
+    """What a slice that was dark for five days would have added, by its share of the days before, at most 0.8."""
+    e = t(s, d, "events").select((F.col("user_id") % 10).alias("g"), F.to_date("ts").alias("day"), "event_type", F.col("value").cast("decimal(18,2)").alias("v"))
+    before, dark = F.col("day") < "2024-01-15", (F.col("day") >= "2024-01-15") & (F.col("day") < "2024-01-20")
+    part = lambda c: F.sum(F.when(c, F.col("v")).otherwise(0)).cast("double")
+    g = e.groupBy("g").agg(part(dark & (F.col("event_type") != "click")).alias("win"), part(before & (F.col("event_type") == "click")).alias("slice"), part(before).alias("base"))
+    share = F.least(F.greatest(C.guarded_ratio(F.col("slice"), F.col("base")), F.lit(0.0)), F.lit(0.8))
+    return g.select("g", F.round(share, 8).alias("share"), F.round(F.col("win") * share / (1 - share), 6).alias("added"))
+
+
+@query(f"""WITH {_UD}, m AS (SELECT user_id, day, n - (lag(n) OVER w + lag(n, 2) OVER w) / 2.0 AS delta FROM g WINDOW w AS (PARTITION BY user_id ORDER BY day)), x AS (SELECT user_id, min(day) AS d0 FROM g WHERE n >= 6 GROUP BY user_id)
+SELECT x.user_id, d0, min(m.day) FILTER (WHERE delta >= 2) AS detected, coalesce(date_diff('day', min(m.day) FILTER (WHERE delta >= 2), d0), 0)::INTEGER AS lead_days FROM x JOIN m ON x.user_id = m.user_id AND m.day BETWEEN d0 - 4 AND d0 + 4 GROUP BY x.user_id, d0""")
+def event_study(s: SparkSession, d: str) -> DataFrame:
+    """First rise within four days of a user's first busy day."""
+    g = user_days(s, d)
+    m = g.withColumn("delta", F.col("n") - windows.both_before("n", ["user_id"], ["day"])).select("user_id", "day", "delta")
+    x = g.where("n >= 6").groupBy("user_id").agg(F.min("day").alias("d0"))
+    near = x.join(m, "user_id").where(F.col("day").between(F.date_sub("d0", 4), F.date_add("d0", 4)))
+    out = near.groupBy("user_id", "d0").agg(F.min(F.when(F.col("delta") >= 2, F.col("day"))).alias("detected"))
+    return out.withColumn("lead_days", F.coalesce(F.datediff("d0", "detected"), F.lit(0)))
