@@ -622,7 +622,7 @@ def outage_reconstruction(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_UD}, m AS (SELECT user_id, day, n - (lag(n) OVER w + lag(n, 2) OVER w) / 2.0 AS delta FROM g WINDOW w AS (PARTITION BY user_id ORDER BY day)), x AS (SELECT user_id, min(day) AS d0 FROM g WHERE n >= 6 GROUP BY user_id)
-SELECT x.user_id, d0, min(m.day) FILTER (WHERE delta >= 2) AS detected, coalesce(date_diff('day', min(m.day) FILTER (WHERE delta >= 2), d0), 0)::INTEGER AS lead_days FROM x JOIN m ON x.user_id = m.user_id AND m.day BETWEEN d0 - 4 AND d0 + 4 GROUP BY x.user_id, d0""")
+SELECT x.user_id, d0, coalesce(strftime(min(m.day) FILTER (WHERE delta >= 2), '%Y-%m-%d'), 'none') AS detected, coalesce(date_diff('day', min(m.day) FILTER (WHERE delta >= 2), d0), 0)::INTEGER AS lead_days FROM x JOIN m ON x.user_id = m.user_id AND m.day BETWEEN d0 - 4 AND d0 + 4 GROUP BY x.user_id, d0""")
 def event_study(s: SparkSession, d: str) -> DataFrame:
     """First rise within four days of a user's first busy day."""
     g = user_days(s, d)
@@ -630,4 +630,4 @@ def event_study(s: SparkSession, d: str) -> DataFrame:
     x = g.where("n >= 6").groupBy("user_id").agg(F.min("day").alias("d0"))
     near = x.join(m, "user_id").where(F.col("day").between(F.date_sub("d0", 4), F.date_add("d0", 4)))
     out = near.groupBy("user_id", "d0").agg(F.min(F.when(F.col("delta") >= 2, F.col("day"))).alias("detected"))
-    return out.withColumn("lead_days", F.coalesce(F.datediff("d0", "detected"), F.lit(0)))
+    return out.withColumn("lead_days", F.coalesce(F.datediff("d0", "detected"), F.lit(0))).withColumn("detected", F.coalesce(F.date_format("detected", "yyyy-MM-dd"), F.lit("none")))
