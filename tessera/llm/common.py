@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are durable and whose frames are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1.5)  # the cleaner works in the background
 
 
 def partitions(df: DataFrame) -> int:

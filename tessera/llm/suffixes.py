@@ -35,7 +35,7 @@ WIDTH, NAME, GRAM = 50, 24, 36
 #: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
 ANCHOR = 64
 #: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket or range should stand for.
-HASHED, BATCH, BUCKET = 1 << 20, 1 << 20, 4 << 20
+HASHED, BATCH, BUCKET = 2 << 20, 1 << 20, 6 << 20
 #: Bound on the batches from which the ranges are cut, and numbers taken of each.
 SAMPLED, CUTS = 2000, 64
 _STEP = 0xA0761D6478BD642F
