@@ -78,3 +78,47 @@ def greedy_match(events: DataFrame, flags: DataFrame, by: list[str], k: int) ->
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", event_period long, flag_period long"
     right = flags.select(*by, "period").toDF(*[f"{b}_" for b in by], "period")  # own names: both sides may come of one frame
     return events.select(*by, "period").groupBy(*by).cogroup(right.groupBy(*[f"{b}_" for b in by])).applyInPandas(run, schema)
+
+
+def tag_tail(cores: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(core, vendor_guess, category_guess, confidence, new_vendor_flag) of distinct cores against (vendor, alias, category).
+
+    Every alias is compared, as a tail has no common block; the alias list is a dictionary, the cores are distinct, and
+    the best of each core is kept before rows are shuffled. Below the threshold a core is a new vendor of a category
+    guessed from its words.
+    """
+    pairs = cores.select("core").where("core <> ''").distinct().crossJoin(vendors.select("vendor", "alias", "category"))
+    best = pairs.withColumn("s", similarity("core", "alias")).groupBy("core").agg(F.min_by(F.struct("s", "vendor", "category"), F.struct(-F.col("s"), "vendor", "alias")).alias("b"))
+    known = F.col("b.s") >= TAIL
+    return best.select("core", F.when(known, F.col("b.vendor")).otherwise("").alias("vendor_guess"), F.when(known, F.col("b.category")).otherwise(C.category(F.col("core"))).alias("category_guess"),
+                       F.round("b.s", 3).alias("confidence"), (~known).cast("int").alias("new_vendor_flag"))
+
+
+def covered_once(sent: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """Keys that a tagger left out or returned more than once; empty for a complete answer."""
+    n = tags.groupBy(key).agg(F.count("*").alias("n_returned"))
+    return sent.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n_returned", F.lit(0)).alias("n_returned")).where("n_returned <> 1")
+
+
+def merge_tags(resolved: DataFrame, tags: DataFrame) -> DataFrame:
+    """Adds final_vendor, final_method and new_vendor_flag: settled rows stay, the tail follows the tagger, a candidate
+    under review outlives a tagger that abstains, and a row that the tagger dropped says so."""
+    j = resolved.join(tags.select("core", "vendor_guess", F.col("new_vendor_flag").alias("_new"), F.lit(True).alias("_tagged")), "core", "left")
+    tail, review = F.col("method").isin("review", "unmatched"), F.col("method") == "review"
+    guessed = F.col("vendor_guess") != ""
+    method = (
+        F.when(~tail, F.col("method")).when(F.col("_tagged").isNull(), "tagger_dropped").when(guessed & review, "tagger_review").when(guessed, "tagger_tail")
+        .when(review, "review_unconfirmed").otherwise("new_vendor_candidate")
+    )
+    j = j.withColumn("final_method", method)
+    vendor = F.when(F.col("final_method").isin("tagger_review", "tagger_tail"), F.col("vendor_guess")).when(F.col("final_method").isin("tagger_dropped", "new_vendor_candidate"), "").otherwise(F.col("vendor"))
+    flag = F.when(F.col("final_method").isin("tagger_review", "tagger_tail", "new_vendor_candidate"), F.col("_new")).otherwise(0)
+    return j.withColumn("final_vendor", vendor).withColumn("new_vendor_flag", flag).drop("vendor_guess", "_new", "_tagged")
+
+
+def method_precision(df: DataFrame, method: str, assigned: str, truth: str) -> DataFrame:
+    """Per method: assigned rows, right ones, precision, and rows whose truth is null (no known vendor) but that got one."""
+    got = df.where(F.coalesce(F.col(assigned).cast("string"), F.lit("")) != "")
+    right = F.coalesce(F.col(assigned) == F.col(truth), F.lit(False))
+    g = got.groupBy(method).agg(F.count("*").alias("n"), F.count_if(right).alias("n_correct"), F.count_if(F.col(truth).isNull()).alias("n_false_merges"))
+    return g.withColumn("precision", F.col("n_correct") / F.col("n"))

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import boards
 from tessera.functions import columns as C
-from tessera.operators import panel, quality, reconcile, resolve, windows
+from tessera.operators import panel, quality, reconcile, resolve, signals, windows
 from tessera.plans import catalogue
-from tessera.sources import files
+from tessera.plans import signals as _more  # noqa: F401 (its queries join the catalogue)
+from tessera.sources import files, filings, postings
 from tessera.streaming import monitors
 
 
@@ -134,3 +136,79 @@ def test_streaming_monitor(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["k"], r["n"], r["total"]) for r in spark.table("closed").collect()] == [("a", 2, 3.0)]
+
+
+def test_boards(spark):
+    cases = {
+        "https://boards.greenhouse.io/acme/jobs/1": ("greenhouse", "acme"), "https://boards-api.greenhouse.io/v1/boards/acme/jobs": ("greenhouse", "acme"), "https://boards.greenhouse.io/embed/job_board?for=acme": ("greenhouse", "acme"),
+        "https://jobs.lever.co/acme/1-2": ("lever", "acme"), "https://api.lever.co/v0/postings/acme?mode=json": ("lever", "acme"), "https://api.ashbyhq.com/posting-api/job-board/Acme": ("ashby", "Acme"),
+        "https://jobs.smartrecruiters.com/Acme/1": ("smartrecruiters", "Acme"), "https://example.com/acme": (None, None), "https://jobs.lever.co/": (None, None), "no url": (None, None),
+    }
+    for url, want in cases.items():
+        assert tuple(one(spark, boards.board(F.col("u")), u=url)) == want, url
+    html = '<title>T</title><h1>Jobs <b>now</b></h1><a href="/jobs/1">One</a><a href="/jobs/1">Again</a><a href="/about">No</a><a href="/careers"></a> work from home'
+    got = one(spark, boards.page(F.col("h")), h=html)
+    assert (got["title"], got["workplace"], [tuple(x) for x in got["links"]]) == ("Jobs now", "remote", [("One", "/jobs/1")])
+
+
+def test_filings(spark):
+    edgar = '{"facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"form": "10-K", "fp": "FY", "start": "2023-01-01", "end": "2023-12-31", "val": 10, "filed": "2024-02-01"},' \
+            '{"form": "10-K", "fp": "FY", "start": "2023-10-01", "end": "2023-12-31", "val": 3, "filed": "2024-03-01"}, {"form": "10-Q", "fp": "Q3", "end": "2023-09-30", "val": 4, "filed": "2024-03-01"}]}},' \
+            '"RevenueFromContractWithCustomerExcludingAssessedTax": {"units": {"USD": [{"form": "10-K", "fp": "FY", "start": "2023-01-01", "end": "2023-12-31", "val": 11, "filed": "2024-02-01"}]}}, "Other": {"units": {"stones": []}}}}}'
+    polygon = '{"results": [{"timeframe": "annual", "fiscal_year": "2023", "end_date": "2023-12-31", "financials": {"income_statement": {"revenues": {"value": 2, "unit": "%s"}}}}]}'
+    rows = [("edgar", "acme", edgar), ("fmp", "acme", '{"income_statement": [{"period": "FY", "calendarYear": "2023", "date": "2023-12-31", "revenue": 10.5, "epsdiluted": 1.5}]}'), ("polygon", "acme", polygon % "millions of USD")]
+    of = lambda rows: {(r["source"], r["metric"]): (r["value"], r["unit"], r["period"]) for r in filings.canonical(spark.createDataFrame(rows, "source string, ticker string, payload string")).collect()}
+    assert of(rows) == {("edgar", "revenue"): (10.0, "USD", "FY2023"), ("fmp", "revenue"): (10.5, "USD", "FY2023"), ("fmp", "eps_diluted"): (1.5, "USD/share", "FY2023"), ("polygon", "revenue"): (2e6, "USD", "FY2023")}
+    with pytest.raises(Exception, match="no rule for unit"):
+        of([("polygon", "acme", polygon % "stones")])
+
+
+def test_postings(spark):
+    rows = [
+        ("greenhouse", "a", '{"jobs": [{"id": 1, "title": "Data Engineer", "location": {"name": "Remote"}, "departments": [{"name": "Eng"}], "absolute_url": "u"}]}'),
+        ("lever", "b", '[{"id": "x", "text": "Chef", "categories": {"location": "Rome", "team": "Food"}, "workplaceType": "onsite", "createdAt": 1704067200000, "applyUrl": "v"}, {"text": "Cook", "createdAt": "never"}]'),
+        ("ashby", "c", '{"jobs": [{"id": "y", "title": "Baker", "location": "Oslo", "isRemote": true}]}'),
+        ("smartrecruiters", "d", '{"content": [{"id": "z", "name": "Data engineer II", "location": {"city": "Bern", "country": "ch"}}]}'),
+        ("lever", "broken", "not json"),
+    ]
+    p = postings.postings(spark.createDataFrame(rows, "platform string, token string, payload string")).cache()
+    got = {r["title"]: r for r in p.collect()}
+    assert set(got) == {"Data Engineer", "Chef", "Cook", "Baker", "Data engineer II"}
+    assert got["Data Engineer"]["workplace"] == got["Baker"]["workplace"] == "remote" and got["Chef"]["workplace"] == "onsite" and got["Cook"]["workplace"] == "unknown"
+    assert (got["Chef"]["posted_at"], got["Chef"]["department"], got["Chef"]["url"], got["Cook"]["posted_at"]) == ("2024-01-01", "Food", "v", None)
+    assert got["Data engineer II"]["location"] == "Bern, ch" and got["Data engineer II"]["url"].endswith("/d/z")
+    assert sorted(r["token"] for r in postings.matching(p, "data eng").collect()) == ["a", "d"]
+    assert postings.best_title(p, "data engineer").count() == 2
+
+
+def test_coverage_and_composite(spark):
+    cols = "v int, q int, seg string, jobs_tracked boolean, jobs_n int, web_months int, spend_presence string, cliff boolean, jobs_growth double, web_growth double, spend_growth double"
+    rows = [
+        (1, 1, "s", True, 3, 1, "present", False, 0.1, 0.2, 0.3), (1, 2, "s", True, 0, 0, "absent", False, None, None, None), (1, 3, "s", True, 0, 0, "absent", False, None, None, None),
+        (2, 1, "s", False, 0, 1, "present", False, None, 0.1, 0.5), (2, 2, "s", True, 1, 0, "thin", True, 0.2, None, None), (2, 3, "s", True, 1, 1, "absent", True, 0.2, 0.1, None),
+    ]
+    d = signals.coverage(spark.createDataFrame(rows, cols), ["v"], ["q"])
+    got = {(r["v"], r["q"]): (r["tier"], r["tier_reason"]) for r in d.collect()}
+    assert got == {(1, 1): ("A", "full"), (1, 2): ("C", "post_shutdown_dark"), (1, 3): ("C", "no_spend_channel"), (2, 1): ("B", "untracked_jobs"), (2, 2): ("C", "below_traffic_floor"), (2, 3): ("B", "coverage_cliff")}
+    c = {(r["v"], r["q"]): r["composite"] for r in signals.composite(d, ["seg", "q"]).collect()}
+    assert c[1, 2] == 50.0 and c[1, 1] == pytest.approx(0.35 * 100 + 0.2 * 100 + 0.45 * 50) and c[2, 2] == 75.0
+    f = signals.flags(spark.createDataFrame([(1, n, x) for n, x in enumerate((40.0, 40.0, 60.0, 30.0, 30.0))], "v int, q int, composite double"), ["v"], ["q"])
+    assert [(r["accel_flag"], r["stall_flag"]) for r in f.orderBy("q").collect()] == [(False, False), (False, False), (True, False), (False, True), (False, True)]
+    s = {r["threshold"]: (r["n_accel"], r["n_stall"]) for r in signals.sensitivity(f.drop("delta"), ["v"], ["q"]).collect()}
+    assert s == {10.0: (1, 2), 15.0: (1, 2), 20.0: (1, 1)}
+
+
+def test_own_horizon_hides_late_facts(spark):
+    df = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 1, 2, 5.0), ("a", 1, 3, 7.0), ("a", 2, 2, 1.0)], "k string, p int, seen int, x double")
+    got = {r["p"]: tuple(r)[2:] for r in signals.at_own_horizon(df, ["k"], "p", "seen", "x").collect()}
+    assert got == {1: (1, 0, 10.0, 0.0), 2: (1, 2, 1.0, 15.0), 3: (0, 1, 0.0, 1.0)}
+
+
+def test_tail_tags(spark):
+    vendors = spark.createDataFrame([("Acme", "ACME TOOLS", "Security")], "vendor string, alias string, category string")
+    found = spark.createDataFrame([("A", "exact", 1.0, "Acme"), ("ACME TOOLZ", "review", 0.8, "Acme"), ("ACNE TOLS", "unmatched", 0.1, None), ("QQ CLOUD", "unmatched", 0.0, None), ("PY DATA", "review", 0.79, "Acme"), ("LOST", "unmatched", 0.0, None)], "core string, method string, score double, vendor string")
+    tags = resolve.tag_tail(found.where("method in ('review', 'unmatched') and core <> 'LOST'"), vendors)
+    got = {r["core"]: (r["final_method"], r["final_vendor"], r["new_vendor_flag"]) for r in resolve.merge_tags(found, tags).collect()}
+    assert got == {"A": ("exact", "Acme", 0), "ACME TOOLZ": ("tagger_review", "Acme", 0), "ACNE TOLS": ("tagger_tail", "Acme", 0), "QQ CLOUD": ("new_vendor_candidate", "", 1), "PY DATA": ("review_unconfirmed", "Acme", 0), "LOST": ("tagger_dropped", "", 0)}
+    assert {r["core"]: r["category_guess"] for r in tags.collect()}["QQ CLOUD"] == "Cloud Infrastructure"
+    assert [r["core"] for r in resolve.covered_once(found.where("method <> 'exact'"), tags, "core").collect()] == ["LOST"]
