@@ -167,7 +167,16 @@ def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tokens.mix(tokens.spans_hash(own, at - at[0], GRAM, _STEP))
 
 
-_BATCHES = pa.schema([("bid", pa.int64()), ("meta", pa.binary()), ("data", pa.binary())])
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed bytes behind their length: checkpoints keep rows as they are, and shuffles compress without entropy coding."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True)
+
+
+_BATCHES = pa.schema([("bid", pa.int64()), ("size", pa.int64()), ("meta", pa.binary()), ("data", pa.binary())])
 
 
 def _gather_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +184,7 @@ def _gather_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for turn, t in enumerate(common.by_bytes(batches, "piece", BATCH)):
         pieces = t["piece"].to_pylist()
         meta = np.stack([t["did"].to_numpy(), t["th"].to_numpy(), t["off"].to_numpy(), np.array([len(p) for p in pieces])])
-        yield _pack(_BATCHES, [(base + turn, meta.astype("<i8").tobytes(), b"".join(pieces))])
+        yield _pack(_BATCHES, [(base + turn, int(meta[3].sum()), _squeezed(meta.astype("<i8").tobytes()), _squeezed(b"".join(pieces)))])
 
 
 class Batch:
@@ -192,6 +201,10 @@ class Batch:
         self.left = size[self.piece] - self.place
         self.turn = (self.place % 3).astype(np.int8)
 
+    @classmethod
+    def of(cls, meta: bytes, data: bytes) -> Batch:
+        return cls(_unsqueezed(meta), _unsqueezed(data))
+
     def word(self, at: np.ndarray) -> np.ndarray:
         """Eight bytes from each place, as a number that orders like them."""
         return np.ndarray((len(self.data) - 7,), ">u8", self.data, strides=(1,))[at].astype(np.uint64)
@@ -218,20 +231,24 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), which
 
 
-def _distinct(keys: list[np.ndarray], part) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each distinct key, sorted by its range part(occurrences); number of each row's key in that order)."""
+def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct key, by their first numbers; the place in that order of each row's key).
+
+    Ranges are ranges of first numbers, so the order is one of ranges too. Neighbours are alike, as their ranks will be,
+    and compress well. Ties go by hash, so that every executor finds the same order.
+    """
     order, new, which = _groups(_digest(keys))
     first = order[new]
-    sent = np.argsort(part(first).astype(np.uint16), kind="stable")
+    sent = np.argsort(keys[0][first], kind="stable")
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return first[sent], place[which]
 
 
-def _triples(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _triples(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     at = b.samples(NAME)
     keys = [b.word(at + 8 * j) for j in range(3)]
-    first, inverse = _distinct(keys, lambda rows: np.searchsorted(ranges, keys[0][rows], side="right"))
+    first, inverse = _distinct(keys)
     return at, first, inverse, keys
 
 
@@ -246,29 +263,46 @@ def _send(bid: int, part: np.ndarray, keys: list[np.ndarray], pack) -> pa.Record
 
 
 def _pack_triples(keys: list[np.ndarray]) -> bytes:
-    return np.stack(keys).tobytes()
+    """Bytes of text in order, a row each."""
+    return _squeezed(np.stack(keys, axis=1).astype(">u8").tobytes())
 
 
 def _unpack_triples(part: int, row: bytes) -> np.ndarray:
-    return np.frombuffer(row, np.uint64).reshape(3, -1)
+    return np.frombuffer(_unsqueezed(row), ">u8").reshape(-1, 3).T.astype(np.uint64)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
     """First all lowest bytes, then all next ones: the high bytes of small numbers are runs of zeros, which compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unplanes(b: bytes, n: int, at: int = 0) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+def _unplanes(b: bytes, n: int, at: int = 0, width: int = 8) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8, width * n, at).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
 def _pack_pairs(keys: list[np.ndarray]) -> bytes:
-    return b"".join(map(_planes, keys))
+    return _squeezed(_planes(np.diff(keys[0], prepend=np.uint64(0))) + _planes(keys[1]))
 
 
 def _unpack_pairs(part: int, row: bytes) -> np.ndarray:
-    n = len(row) // 16
-    return np.stack([_unplanes(row, n), _unplanes(row, n, 8 * n)])
+    raw = _unsqueezed(row)
+    n = len(raw) // 16
+    return np.stack([np.cumsum(_unplanes(raw, n)), _unplanes(raw, n, 8 * n)])
+
+
+def _pack_ranks(rank: np.ndarray) -> bytes:
+    """Steps from rank to rank, small ones either way: keys come nearly in order."""
+    step = np.diff(rank.astype(np.int64), prepend=0)
+    return _squeezed(_planes((step << 1) ^ (step >> 63), 5))
+
+
+def _unpack_ranks(row: bytes) -> np.ndarray:
+    raw = _unsqueezed(row)
+    n = len(raw) // 5
+    step = _unplanes(raw, n, 0, 5)
+    return np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64))
 
 
 def _rank(unpack):
@@ -284,7 +318,7 @@ def _rank(unpack):
             rank = place[which]
             at = 0
             for (bid, _), s in zip(rows, sent, strict=True):
-                yield _pack(_RANKS, [(bid, part, rank[at : at + s.shape[1]].tobytes())])
+                yield _pack(_RANKS, [(bid, part, _pack_ranks(rank[at : at + s.shape[1]]))])
                 at += s.shape[1]
 
     return run
@@ -306,13 +340,13 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 def _names(replies) -> np.ndarray:
     """Names of a batch's distinct keys, in order: range and rank in it."""
     parts = sorted((r["part"], r["ranks"]) for r in replies or [])
-    return np.concatenate([np.zeros(0, np.uint64), *((np.uint64(p) << np.uint64(32)) | np.frombuffer(r, "<u4") for p, r in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *((np.uint64(p) << np.uint64(32)) | _unpack_ranks(r).astype(np.uint64) for p, r in parts)])
 
 
 def _cuts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            b = Batch(meta, data)
+            b = Batch.of(meta, data)
             w = np.sort(b.word(np.flatnonzero(b.left >= WIDTH)))
             w = w[np.linspace(0, len(w) - 1, CUTS).astype(int)] if len(w) else w
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["cuts"])
@@ -322,7 +356,7 @@ def _send_triples(ranges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, first, _, keys = _triples(Batch(meta, data), ranges)
+                _, first, _, keys = _triples(Batch.of(meta, data))
                 out = _send(bid, np.searchsorted(ranges, keys[0][first], side="right"), [k[first] for k in keys], _pack_triples)
                 if out:
                     yield out
@@ -330,26 +364,23 @@ def _send_triples(ranges: np.ndarray):
     return run
 
 
-def _pairs(b: Batch, ranges: np.ndarray, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    at, _, inverse, _ = _triples(b, ranges)
+def _pairs(b: Batch, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    at, _, inverse, _ = _triples(b)
     name = np.zeros(len(b.piece), np.uint64)
     name[at] = _names(replies)[inverse]
     at = b.samples(2 * NAME)
     keys = [name[at], name[at + NAME]]
-    first, inverse = _distinct(keys, lambda rows: keys[0][rows] >> np.uint64(32))
+    first, inverse = _distinct(keys)
     return at, first, inverse, keys
 
 
-def _send_pairs(ranges: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bid, meta, data, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, first, _, keys = _pairs(Batch(meta, data), ranges, names)
-                out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys], _pack_pairs)
-                if out:
-                    yield out
-
-    return run
+def _send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bid, meta, data, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            _, first, _, keys = _pairs(Batch.of(meta, data), names)
+            out = _send(bid, (keys[0][first] >> np.uint64(32)).astype(np.int64), [k[first] for k in keys], _pack_pairs)
+            if out:
+                yield out
 
 
 def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -374,8 +405,8 @@ def _send_suffixes(ranges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, meta, data, names, pairs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = Batch(meta, data)
-                at, _, inverse, _ = _pairs(b, ranges, names)
+                b = Batch.of(meta, data)
+                at, _, inverse, _ = _pairs(b, names)
                 name = np.zeros(len(b.piece) + 3, np.uint64)
                 name[at] = _names(pairs)[inverse]
                 _, _, head, part, did = _strings(b, ranges)
@@ -394,10 +425,11 @@ def _send_suffixes(ranges: np.ndarray):
 
 def _suffix_row(turn, x, y, ends, did) -> bytes:
     parts = [len(turn).to_bytes(4, "little"), turn.astype(np.uint8).tobytes(), *(z.tobytes() for z in ends)]
-    return b"".join([*parts, _planes(x), _planes(y), _planes(np.diff(did, prepend=0))])
+    return _squeezed(b"".join([*parts, _planes(x), _planes(y), _planes(np.diff(did, prepend=0))]))
 
 
 def _suffix_columns(row: bytes) -> list[np.ndarray]:
+    row = _unsqueezed(row)
     n = int.from_bytes(row[:4], "little")
     turn, b0, b1, b48, b49 = (np.frombuffer(row, np.uint8, n, 4 + n * k) for k in range(5))
     x, y, step = (_unplanes(row, n, 4 + 5 * n + 8 * n * k) for k in range(3))
@@ -456,7 +488,7 @@ def _repeats(ranges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, meta, data, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = Batch(meta, data)
+                b = Batch.of(meta, data)
                 at, string, _, part, low = _strings(b, ranges)
                 late = np.zeros(len(part), bool)
                 for r in replies or []:
@@ -505,12 +537,13 @@ def pieces(docs: DataFrame, size: int) -> DataFrame:
     found = docs.join(marks, ["did", "th"]).select("did", "th", "text", "starts").mapInArrow(_cut_pieces, "key long, did long, th long, off long, piece binary")
     # pieces with a chosen substring in common lie together; a large group of them may be split
     found = found.hint("rebalance", max(2, common.partitions(docs)), "key").sortWithinPartitions("key", "did", "off").drop("key")
-    return common.durable(found.mapInArrow(_gather_pieces, "bid long, meta binary, data binary"))
+    return common.durable(found.mapInArrow(_gather_pieces, "bid long, size long, meta binary, data binary"))
 
 
 def repeats(batches: DataFrame, size: int) -> DataFrame:
     """(did, th, starts): the intervals of each document that repeats of earlier documents cover, by pieces."""
-    n, held = batches.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
+    n, held = batches.agg(F.count("*"), F.sum("size")).first()
+    batches = batches.drop("size")
     some = batches.where(F.pmod(F.xxhash64("bid"), F.lit(1 << 20)) < int(min(1.0, SAMPLED / max(1, n)) * (1 << 20)))
     cuts = [np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(_cuts_of, "cuts binary").collect()]
     cuts = np.sort(np.concatenate([np.zeros(0, np.uint64), *cuts]))
@@ -522,7 +555,7 @@ def repeats(batches: DataFrame, size: int) -> DataFrame:
     names = common.durable(_numbered(sent, parts, _rank(_unpack_triples), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
-    sent = _answers(batches, names, "names").select("bid", "meta", "data", "names").mapInArrow(_send_pairs(ranges), "part int, bid long, keys binary")
+    sent = _answers(batches, names, "names").select("bid", "meta", "data", "names").mapInArrow(_send_pairs, "part int, bid long, keys binary")
     pairs = common.durable(_numbered(sent, parts, _rank(_unpack_pairs), "bid long, part int, ranks binary"))
     del sent
     common.release(spark)
