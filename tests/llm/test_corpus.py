@@ -341,6 +341,31 @@ def test_decontamination_finds_paraphrases(spark):
     assert decontamination.leaks(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_decontamination_searches_large_benchmarks(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(4000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(r.randint(20, 60)) for _ in range(1500)]
+    rows, exact, changed = [], set(), set()
+    for n in range(100):
+        leak = [x if n % 2 else r.choice((x, x, x, x, r.choice(vocabulary))) for x in items[n]]
+        rows.append((n, " ".join(text(r.randint(5, 80)) + leak + text(20)), None))
+        (exact if n % 2 else changed).add((n, n))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(docs(spark, rows), bench).collect()}
+    assert exact <= got <= exact | changed and len(got & changed) >= 0.9 * len(changed)
+
+
+def test_decontamination_shared_runs():
+    r = np.random.default_rng(1)
+    code, item = r.integers(0, 2**63, 60).astype(np.uint64), r.integers(0, 2**63, 20).astype(np.uint64)
+    code[7:17], code[30:50] = item[5:15], item
+    items = [decontamination.Item(0, item.tolist(), 15, {}), decontamination.Item(1, item[4:12].tolist(), 6, {})]
+    first = np.array([0, 0, 20, 46, 60])  # the last copy reaches over the end of a text
+    got = set(decontamination.shared_runs(code, first, decontamination.seeds_of(items)))
+    assert got == {(1, 0, 7, 5, 10), (1, 1, 7, 1, 7), (2, 0, 30, 0, 16), (2, 1, 34, 0, 8)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
