@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -80,16 +81,13 @@ def proposals(text: str) -> list[tuple[int, int]]:
         s, e = m.span()
         groups = [g.span() for g in _GROUP.finditer(text, s, e)]
         lead = groups[0][0] - s
-        if len(groups) <= 12:
-            for i in range(len(groups)):
-                for j in range(i, min(len(groups), i + 6)):
-                    a, b = groups[i][0], groups[j][1]
-                    n = sum(y - x for x, y in groups[i : j + 1])
-                    if 7 <= n <= 19:
-                        out.append((a - lead if i == 0 else a - (text[a - 1] == "("), b))
-        else:  # a long table of numbers: single groups and pairs
-            for (a, b), (_, d) in zip(groups, [*groups[1:], groups[-1]], strict=True):
-                out += [(a, x) for x in {b, d} if 7 <= x - a <= 30]
+        for i in range(len(groups)):  # up to six groups from each on: linear in the length of the run
+            n = 0
+            for j in range(i, min(len(groups), i + 6)):
+                a, b = groups[i][0], groups[j][1]
+                n += b - groups[j][0]
+                if 7 <= n <= 19:
+                    out.append((a - lead if i == 0 else a - (text[a - 1] == "("), b))
     return out
 
 
@@ -181,9 +179,11 @@ def detect(texts: list[str], trees: dict[str, tuple[Boosted, float]]) -> list[tu
     sure = [base(t) for t in texts]
     rows, x = [], []
     for i, t in enumerate(texts):
-        taken = sorted((s, e) for _, s, e in sure[i])
+        taken = bytearray(len(t))  # which characters base spans cover
+        for _, s, e in sure[i]:
+            taken[s:e] = b"\1" * (e - s)
         for s, e in dict.fromkeys(proposals(t)):
-            if not any(a < e and s < b for a, b in taken):
+            if taken.find(1, s, e) < 0:
                 rows.append((i, s, e))
                 x.append(features(t, s, e))
     added: list[list] = [[] for _ in texts]
@@ -193,9 +193,12 @@ def detect(texts: list[str], trees: dict[str, tuple[Boosted, float]]) -> list[tu
         over = scores - np.array([trees[k][1] for k in KINDS])
         best = over.argmax(1)
         chosen = [(-float(scores[j, best[j]]), -(rows[j][2] - rows[j][1]), rows[j], KINDS[best[j]]) for j in np.flatnonzero(over.max(1) >= 0)]
-        for _, _, (i, s, e), k in sorted(chosen, key=lambda c: (c[2][0], c[0], c[1], c[2])):
-            if not any(a < e and s < b for _, a, b in added[i]):
-                added[i].append((k, s, e))
+        for i, of in itertools.groupby(sorted(chosen, key=lambda c: (c[2][0], c[0], c[1], c[2])), lambda c: c[2][0]):
+            taken = bytearray(len(texts[i]))
+            for _, _, (_, s, e), k in of:
+                if taken.find(1, s, e) < 0:
+                    taken[s:e] = b"\1" * (e - s)
+                    added[i].append((k, s, e))
     return [(_order(b), _order(b + a)) for b, a in zip(sure, added, strict=True)]
 
 

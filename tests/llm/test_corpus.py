@@ -264,6 +264,21 @@ def test_pii_trees_tell_kinds_apart():
         assert (p & y).sum() / max(1, p.sum()) > 0.95 and (p & y).sum() / y.sum() > 0.6
 
 
+def test_pii_finds_lists_in_one_line():
+    r = random.Random(5)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    phones = [f"({n(3)}) {n(3)}-{n(4)}" for _ in range(10)]
+    numbers = ["4" + n(14) for _ in range(10)]
+    cards = [next(d + c for c in "0123456789" if pii.luhn(d + c)) for d in numbers]
+    cards = [" ".join(d[i : i + 4] for i in range(0, 16, 4)) for d in cards]
+    for kind, made in (("phone", phones), ("card", cards)):
+        text = "call " + " ".join(made) + " now"
+        want = [(kind, at := text.index(x), at + len(x)) for x in made]
+        assert pii.detect([text], pii.model())[0][1] == want
+    row = " ".join(n(3) for _ in range(3000))
+    assert len(pii.proposals(row)) <= 6 * 3000
+
+
 def test_secrets_and_ledger(spark, tmp_path):
     def plain(t):
         low = lambda p: re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", p)
