@@ -371,6 +371,25 @@ def test_decontamination_searches_large_benchmarks(spark):
     assert exact <= got <= exact | changed and len(got & changed) >= 0.9 * len(changed)
 
 
+def test_decontamination_finds_parts(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(4000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    plain, asked, long, answer, middle = text(40), text(20), text(200), text(6), text(40)
+    bench = spark.createDataFrame([(0, " ".join(plain)), (1, " ".join(asked) + "? " + " ".join(answer)), (2, " ".join(long)), (3, " ".join(middle))], "item_id long, text string")
+    apart = lambda w: [x for n, y in enumerate(w) for x in ([y] if n % 6 else [*text(1), y])]  # noqa: E731 (no run of seven stays)
+    parts = [
+        (plain[:28], {0}), (apart(plain[:28]), {0}), (plain[-13:], {0}), (plain[-12:], set()), (long[50:150], {2}), (long[:12], set()),
+        (asked[:12], set()), (asked[:13], {1}), (apart(asked), set()), (asked[:12] + text(1) + asked[13:] + answer, {1}), (apart(asked) + answer, {1}), (middle[:12] + text(3) + middle[20:32], {3}),
+    ]
+    rows = [(n, " ".join(text(40) + w + text(40)), None) for n, (w, _) in enumerate(parts)]
+    rows += [(20, " ".join(text(40) + plain[:7]), None), (21, " ".join(plain[7:14] + text(40)), None)]  # a run ends with its text
+    got = decontamination.leaks(docs(spark, rows), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(n, i) for n, (_, want) in enumerate(parts) for i in want}
+    assert all((x["answer"] is None) == (x["item_id"] != 1) for x in got)
+    assert {x["cover"] for x in got if x["doc_id"] == 4} == {0.5}
+
+
 def test_decontamination_shared_runs():
     r = np.random.default_rng(1)
     code, item = r.integers(0, 2**63, 60).astype(np.uint64), r.integers(0, 2**63, 20).astype(np.uint64)
