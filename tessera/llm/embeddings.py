@@ -170,10 +170,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     spark = vectors.sparkSession
     n = common.partitions(vectors)
     d = vectors.select("vec_id", F.coalesce(F.col("vec_id").cast("long"), F.lit(common.NO_ID)).alias("vid"), F.col("embedding").alias("vector"), F.col("label").cast("int").alias("label"))
-    # equal vectors form a class, named by its smallest id; a hash stands for the vector in the shuffle
+    # equal vectors form a class with a number of its own, as different vectors may share an id or have none; low is its
+    # smallest id; a hash stands for the vector in the shuffle
     d = d.withColumn("h", F.sha2(F.to_json(F.struct("vector")).cast("binary"), 256))
-    classes = common.durable(d.where("label is not null and vector is not null").groupBy("label", "h").agg(F.min("vid").alias("cid"), F.count("*").alias("many"), F.min_by("vector", "vid").alias("vector")))
-    some = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vector").collect()
+    classes = d.where("label is not null and vector is not null").groupBy("label", "h").agg(F.min("vid").alias("low"), F.count("*").alias("many"), F.min_by("vector", "vid").alias("vector"))
+    classes = common.durable(classes.withColumn("cid", F.monotonically_increasing_id()))
+    some = classes.orderBy("h", "label").limit(sample).select("vector").collect()
     _, units = unit([r[0] for r in some])
     models = {}
     for dim in {len(u) for u in units if u is not None}:
@@ -200,9 +202,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 
     roots = common.components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
-    of = coded.select("label", "cid", "many").join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    of = of.select(F.col("cid"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
-    of = classes.select("label", "h", "cid").join(of, "cid").select("label", "h", "n_links", "root")
+    of = coded.select("cid", "many").join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    of = of.select("cid", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "cid").alias("part"))
+    of = classes.select("label", "h", "low", "cid").join(of, "cid")
+    lowest = common.durable(of.groupBy("part").agg(F.min("low").alias("root")))
+    of = of.join(lowest, "part").select("label", "h", "n_links", "root")
     out = d.select("vec_id", "vid", "label", "h").join(of, ["label", "h"], "left")
     root = F.coalesce("root", "vid")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(root < common.NO_ID, root).alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))

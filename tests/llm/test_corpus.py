@@ -173,6 +173,21 @@ def test_embeddings_edges(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_shared_and_null_ids(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((5, 16))
+    ids = [None, None, None, 1, 1, 1, 2, 2, None, None, 3, 1, 9, 8, None, 7, 2, None, 1, 4]
+    rows = [(i, [float(x) for x in base[n % 5] + r.standard_normal(16) * (0.01 if n < 16 else 0.3)], n % 5 % 2) for n, i in enumerate(ids)]
+    rows += [(None, rows[0][1], 0), (1, rows[0][1], 0), (None, rows[16][1], 1), (None, rows[16][1], 1), (1, rows[0][1], 1)]
+    _, units = embeddings.unit([[np.float32(c) for c in v] for _, v, _ in rows])
+    linked = lambda a, b: rows[a][2] == rows[b][2] and float(units[a] @ units[b]) >= 0.98
+    comp = reach([i for i, *_ in rows], linked)
+    n = [sum(linked(a, b) for b in range(len(rows)) if a != b) for a in range(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = as_rows(embeddings.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted(((i, k, c, i is not None and i == c) for (i, *_), k, c in zip(rows, n, comp, strict=True)), key=str)
+
+
 def test_mixing(spark, edge, none):
     got = mixing.mix(edge).collect()
     rows = edge_rows()
