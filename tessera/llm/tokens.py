@@ -1,7 +1,9 @@
 """Vectorised tokenisation: words of a whole batch of texts at once, with a 64-bit hash of each.
 
-A word is a run of bytes other than space and 0x09-0x0D. Hashes are polynomials modulo 2**64 taken from prefix sums
-(an odd base has an inverse there), then mixed; equal words have equal hashes at any place and in any batch.
+A word is a run of bytes other than space and 0x09-0x0D. Its hash is a sum over its eight-byte pieces, each mixed with
+its place in the word, so that no arrangement of letters cancels out as it can in a polynomial modulo 2**64. Equal words
+have equal hashes at any place and in any batch. Hashes of spans (windows, substrings) are polynomials of such numbers,
+taken from prefix sums (an odd base has an inverse modulo 2**64).
 """
 
 from __future__ import annotations
@@ -77,6 +79,26 @@ def words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[n
     change = np.diff(solid)
     start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     length = end - start
+    return start, length, word_hash(data, start, length), np.searchsorted(start, offsets)
+
+
+_SEED, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: the sum of its eight-byte pieces, each mixed with its place, and the length."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(mix((eight[start] & _LOW[np.minimum(length, 8)]) ^ _SEED))
+    far = np.flatnonzero(length > 8)
+    if len(far):
+        many = (length[far] - 1) // 8  # pieces after the first
+        first = np.cumsum(many) - many
+        place = np.arange(int(many.sum())) - np.repeat(first, many) + 1
+        at = np.repeat(start[far], many) + 8 * place
+        left = np.minimum(np.repeat(start[far] + length[far], many) - at, 8)
+        with np.errstate(over="ignore"):
+            out[far] += np.add.reduceat(mix(mix((eight[at] & _LOW[left]) ^ _SEED) + place.astype(np.uint64) * _PLACE), first)
     with np.errstate(over="ignore"):
-        code = mix(spans_hash(data.astype(np.uint64) + np.uint64(1), start, length) + length.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-    return start, length, code, np.searchsorted(start, offsets)
+        return mix(out + length.astype(np.uint64))
