@@ -30,11 +30,13 @@ KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, SEED, PRECISION = 6000, 17, 0.99
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A run of digits is tried from its start only: what matches from inside it matches from there too, and runs of any length
+#: then take linear time.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)+", re.I | re.A)
+_AT = re.compile(r"[\[({] ?at ?[\])}] ?", re.I | re.A)
+_HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]++)+", re.I | re.A)
 _RUN = re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 
@@ -51,18 +53,23 @@ def _digits(s: str) -> str:
     return "".join(_GROUP.findall(s))
 
 
+def _local(text: str, at: int, end: int) -> int:
+    """Where the run of characters of an address's local part begins that ends before at, not before end."""
+    while at > end and (m := text[at - 1]).isascii() and (m.isalnum() or m in "._%+-"):
+        at -= 1
+    return at
+
+
 def base(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the four formats by kind and start, leftmost and non-overlapping for each kind."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:  # the leftmost match at an @ takes the whole run of local characters before it
-        low = at
-        while low > end and (m := text[low - 1]).isascii() and (m.isalnum() or m in "._%+-"):
-            low -= 1
+        low = _local(text, at, end)
         m = _DOMAIN.match(text, at + 1) if low < at else None
         if m:
             out.append(("email", low, end := m.end()))
         at = text.find("@", max(at + 1, end))
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -74,9 +81,14 @@ def base(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[int, int]]:
     """Spans that may hold personal data; they overlap."""
     out = []
-    low = text.lower() if "at" in text or "AT" in text or "At" in text else ""
-    if any(x in low for x in ("[at", "(at", "{at", "[ at", "( at", "{ at")):
-        out += [m.span() for m in _HIDDEN.finditer(text)]
+    end = 0
+    for mark in _AT.finditer(text):  # an address in words: the local part before the mark, the domain after it
+        at = mark.start()
+        at -= at > end and text[at - 1] == " "
+        low = _local(text, at, end)
+        m = _HIDDEN_DOMAIN.match(text, mark.end()) if low < at else None
+        if m:
+            out.append((low, end := m.end()))
     for m in _RUN.finditer(text):
         s, e = m.span()
         groups = [g.span() for g in _GROUP.finditer(text, s, e)]
@@ -109,7 +121,7 @@ def features(text: str, s: int, e: int) -> list[float]:
     d = "".join(groups)
     sizes = [len(g) for g in groups] or [0]
     near = lambda c: 0 if not c else 1 if c.isdigit() else 2 if c.isalpha() else 3 if c.isspace() else 4
-    quads = len(groups) == 4 and x.count(".") == 3 and all(n <= 3 for n in sizes) and all(int(g) <= 255 for g in groups)
+    quads = len(groups) == 4 and x.count(".") == 3 and all(n <= 3 and int(g) <= 255 for n, g in zip(sizes, groups, strict=True))
     return [
         len(d), len(groups), sizes[0], sizes[-1], max(sizes), min(sizes), len(x), x.startswith("+"), "(" in x, x.count("."), x.count("-"), x.count(" "),
         13 <= len(d) <= 19 and luhn(d), quads, sum(c.isalpha() for c in x), near(before[-1:]), near(after[:1]),
