@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the hashed 3-, 4- and 5-grams of a lower-cased text, present or not. Naive Bayes counts, over all labelled
-training texts, give each its log-count ratio; the features whose ratio is most significant stay. A logistic regression
-over features scaled by their ratios, fitted on a bounded sample, gives the weights. A fifth of the labelled texts is kept
+training texts, give each its log-count ratio. A logistic regression over all features that these texts hold, each scaled
+by its ratio and fitted on a bounded sample, gives the weights. A fifth of the labelled texts is kept
 out of both; a line through their scores, at the rate of toxic texts that they have, makes scores probabilities.
 """
 
@@ -17,83 +17,60 @@ from pyspark.sql import functions as F
 
 from . import common, totals
 
-#: n-gram lengths, bits of the feature hash, smoothing of the counts, features that stay, strength of the ridge.
-GRAMS, BITS, ALPHA, FEATURES, RIDGE = (3, 4, 5), 18, 1.0, 30_000, 1.0
-#: A feature's log-count ratio must be this far from zero: n-grams that are about as common in both classes only cost.
-RATIO = 0.7
+#: n-gram lengths, bits of the feature hash, smoothing of the counts, strength of the ridge.
+GRAMS, BITS, ALPHA, RIDGE = (3, 4, 5), 18, 1.0, 1.0
 #: The bound on the regression's sample: labelled rows of each class, by a hash of their id.
 SAMPLE = 2000
 #: Labels are sent to all tasks up to this many rows (16 MB); beyond it they are joined by a shuffle.
 SENT_LABELS = 1_000_000
 BATCH = 2 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, feature) of all n-grams, n by n; a feature can repeat."""
+def grams(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The features of each text, each once. The last place of every feature is kept; an n-gram counts if it stands there."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(t) for t in low], np.int64)
-    doc = np.repeat(np.arange(len(low), dtype=np.int32), size)
+    parts = []
     with np.errstate(over="ignore"):
-        for n, base in zip(GRAMS, _BASES, strict=True):
+        h = code.copy()
+        for n in range(2, max(GRAMS) + 1):  # a longer n-gram's number goes on from that of the shorter one
             if len(code) < n:
-                continue
-            h = code[: len(code) - n + 1].copy()
-            for j in range(1, n):
-                h *= np.uint64(base)
-                h += code[j : len(code) - n + 1 + j]
-            h *= np.uint64(base)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            whole = doc[: len(h)] == doc[n - 1 :]
-            yield doc[: len(h)][whole], (h >> np.uint64(64 - BITS)).astype(np.int64)[whole]
-
-
-def distinct(doc: np.ndarray, feature: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs whose feature is wanted."""
-    keep = wanted[feature]
-    pair = np.unique(doc[keep].astype(np.int64) << BITS | feature[keep])
-    return pair >> BITS, pair & ((1 << BITS) - 1)
-
-
-def present(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of the wanted features that a text has, each once, by text."""
-    parts = [distinct(d, f, wanted) for d, f in grams(texts)]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = np.unique(np.concatenate([d << BITS | f for d, f in parts]))
-    return pair >> BITS, pair & ((1 << BITS) - 1)
+                break
+            h = h[: len(code) - n + 1] * np.uint64(_BASE)
+            h += code[n - 1 :]
+            if n in GRAMS:
+                x = h ^ np.uint64(n)
+                x *= np.uint64(0xC2B2AE3D27D4EB4F)
+                x ^= x >> np.uint64(29)
+                x *= np.uint64(0xBF58476D1CE4E5B9)
+                parts.append((n, (x >> np.uint64(64 - BITS)).astype(np.int32)))
+    last = np.zeros(1 << BITS, np.int32)
+    turn = np.arange(3 * max([len(t) for t in low], default=0), dtype=np.int32)
+    at = 0
+    for t in low:
+        f = np.concatenate([np.zeros(0, np.int32), *(x[at : at + len(t) - n + 1] for n, x in parts if len(t) >= n)])
+        last[f] = turn[: len(f)]
+        yield f[last[f] == turn[: len(f)]]
+        at += len(t)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
     """Texts with each feature, of class 0 and then of class 1, and the texts of each class."""
     out = None
-    last = np.zeros(1 << BITS, np.int64)
     for t in common.by_bytes(batches, "text", BATCH):
         out = np.zeros((2 << BITS) + 2) if out is None else out
         label = t["toxic"].to_numpy()
         out[-2:] += np.bincount(label, minlength=2)[:2]
-        all_grams = list(grams(t["text"].to_pylist()))
-        cuts = [np.searchsorted(d, np.arange(len(label) + 1)) for d, _ in all_grams]
-        for i, y in enumerate(label):
-            f = [g[c[i] : c[i + 1]] for (_, g), c in zip(all_grams, cuts, strict=True)]
-            f = np.concatenate(f) if f else np.zeros(0, np.int64)
-            turn = np.arange(len(f))
-            last[f] = turn  # the last occurrence of each feature counts
-            out[f[last[f] == turn] + (int(y) << BITS)] += 1
+        for f, y in zip(grams(t["text"].to_pylist()), label.tolist(), strict=True):
+            out[f + (y << BITS)] += 1
     return out
 
 
-def _sampled(wanted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.by_bytes(batches, "text", BATCH):
-            doc, f = present(t["text"].to_pylist(), wanted)
-            cut = np.searchsorted(doc, np.arange(t.num_rows + 1))
-            own = [f[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(t["fold"].to_pylist(), pa.int32()), pa.array(t["toxic"].to_pylist(), pa.int32()), pa.array(own, pa.binary())], names=["fold", "toxic", "features"])
-
-    return run
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in common.by_bytes(batches, "text", BATCH):
+        own = [f.astype("<i4").tobytes() for f in grams(t["text"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(t["fold"].to_pylist(), pa.int32()), pa.array(t["toxic"].to_pylist(), pa.int32()), pa.array(own, pa.binary())], names=["fold", "toxic", "features"])
 
 
 def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -178,12 +155,11 @@ class Model:
         self.weight, self.intercept = weight, intercept
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        doc, f = present(texts, self.weight != 0)
-        z = np.bincount(doc, self.weight[f], len(texts)) + self.intercept
+        z = np.array([self.weight[f].sum() for f in grams(texts)]) + self.intercept
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ridge: float = RIDGE) -> Model:
     """Learn from the labelled rows of docs that are not held out. Labels other than 0 and 1 are ignored, and of several
     labels of a document the highest counts. With no labelled row of either class every score is the rate of the other."""
     own = labels.select(F.col("doc_id").alias("_id"), "toxic", fold(F.col("doc_id")).alias("fold")).where("toxic in (0, 1) and fold > 0")
@@ -198,11 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return Model(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     q, p = (rate[0] + ALPHA) / (n0 + 2 * ALPHA), (rate[1] + ALPHA) / (n1 + 2 * ALPHA)
     ratio = np.log(p / q)
-    sure = np.abs(ratio) / np.sqrt(1 / (rate[0] + ALPHA) + 1 / (rate[1] + ALPHA))
-    sure[(rate.sum(0) == 0) | (np.abs(ratio) < RATIO)] = 0
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[np.argsort(-sure, kind="stable")[:features]] = True
-    wanted &= sure > 0
+    wanted = rate.sum(0) > 0
     order = F.md5(F.col("_id").cast("string"))
     chosen = None
     for y in (0, 1):
@@ -210,11 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             some = own.where((F.col("toxic") == y) & ((F.col("fold") == 1) == F.lit(check))).orderBy(order).limit(sample // (1 + check))
             chosen = some if chosen is None else chosen.unionByName(some)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # three times the sample's bound at most
-    rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled(wanted), "fold int, toxic int, features binary").collect()
+    rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled, "fold int, toxic int, features binary").collect()
     rows.sort(key=lambda r: (r["fold"], r["toxic"], bytes(r["features"])))
     y, check = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] == 1 for r in rows])
-    place = np.cumsum(wanted) - 1
-    f = [place[np.frombuffer(r["features"], "<i4")].astype("<i4") for r in rows]
+    place = np.where(wanted, np.cumsum(wanted) - 1, -1).astype("<i4")
+    f = [(x := place[np.frombuffer(r["features"], "<i4")])[x >= 0] for r in rows]
     del rows
     w, b = logistic([f[i] for i in np.flatnonzero(~check)], ratio[wanted], y[~check], ridge)
     b += float(np.log(n1 / n0) - np.log(y[~check].sum() / (~check & (y == 0)).sum()))  # from the sample's rate to that of all
