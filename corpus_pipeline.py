@@ -36,8 +36,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position of every document: how often and when the mix serves it."""
-    return mixing.mix(docs)
+    """doc_id, source, size, source_size, target, taken, positions of every document: how much of it the mix takes, and
+    when; range-sorted by first position."""
+    return mixing.ordered(mixing.mix(docs))
 
 
 STAGES = [
