@@ -55,16 +55,33 @@ def path(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//[^/?#\\\s]*(/[^?#\s]*)?", 1))
 
 
-def keys() -> Column:
-    """All (kind, value) under which a list could hold a URL, of the columns _host and _path."""
-    labels = F.split("_host", r"\.")
-    parents = F.when(F.col("_host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))).otherwise(F.array().cast("array<string>"))
+def keys(labels: int, steps: int) -> Column:
+    """All (kind, value) under which a list could hold a URL, of the columns _host and _path.
+
+    labels and steps: the most host labels and path steps that any entry has. Longer values match no entry, so a URL has
+    at most labels domains and labels * steps paths, however long it is.
+    """
+    none = F.array().cast("array<string>")
+    own = F.split("_host", r"\.")
+    some = F.sequence(F.lit(1), F.least(F.size(own), F.lit(max(1, labels))))
+    parents = F.when((F.col("_host") != "") & F.lit(labels > 0), F.transform(some, lambda n: F.concat_ws(".", F.slice(own, -n, n)))).otherwise(none)
     text = F.array_distinct(F.filter(F.split(F.concat("_host", "_path"), r"[^a-z0-9]+"), lambda x: x != ""))
-    steps = F.filter(F.split("_path", "/"), lambda x: x != "")
-    paths = F.flatten(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.transform(parents, lambda p: F.concat_ws("/", p, F.slice(steps, F.lit(1), n)))))
-    paths = F.when(F.size(steps) > 0, paths).otherwise(F.array().cast("array<string>"))
     of = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
-    return F.array_distinct(F.concat(of("domain", parents), of("word", text), of("path", paths)))
+    found = [of("domain", parents), of("word", text)]
+    if steps > 0:
+        deep = F.slice(F.filter(F.split("_path", "/"), lambda x: x != ""), 1, steps)
+        begins = F.when(F.size(deep) > 0, F.transform(F.sequence(F.lit(1), F.size(deep)), lambda n: F.concat_ws("/", F.slice(deep, F.lit(1), n)))).otherwise(none)
+        found.append(of("path", F.flatten(F.transform(begins, lambda x: F.transform(parents, lambda p: F.concat_ws("/", p, x))))))
+    return F.concat(*found)
+
+
+def extent(entries: DataFrame) -> tuple[int, int]:
+    """The most host labels and path steps of the entries: two numbers, whatever the list's length."""
+    host_of = F.substring_index("value", "/", 1)
+    labels = F.when(F.col("kind").isin("domain", "path"), F.size(F.split(host_of, r"\.")))
+    steps = F.when(F.col("kind") == "path", F.size(F.split("value", "/")) - 1)
+    r = entries.agg(F.max(labels), F.max(steps)).first()
+    return r[0] or 0, r[1] or 0
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, shares: int = SHARES) -> DataFrame:
@@ -80,7 +97,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, shares: int = SHARES) -> D
     c = c.withColumn("_share", F.pmod(F.xxhash64("page_id", "url"), F.lit(shares)))
     distinct = c.select("url", "_host", "_path", "fetched", "_share").distinct()
     lists = intervals(entries).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    exploded = distinct.where("fetched is not null").select("url", "fetched", "_share", F.explode(keys()).alias("k")).select("url", "fetched", "_share", "k.kind", "k.value")
+    exploded = distinct.where("fetched is not null").select("url", "fetched", "_share", F.explode(keys(*extent(entries))).alias("k")).select("url", "fetched", "_share", "k.kind", "k.value")
     holds = exploded.join(lists, ["kind", "value", "_share"]).where((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     found = holds.groupBy("url", "fetched", "_share").agg(F.count("*").alias("n"), F.min(F.struct("kind", "value")).alias("first"))
     same = F.col("c.url").eqNullSafe(F.col("f.url")) & F.col("c.fetched").eqNullSafe(F.col("f.fetched")) & (F.col("c._share") == F.col("f._share"))
@@ -91,7 +108,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, shares: int = SHARES) -> D
 
 
 def log(spark: SparkSession, rows=ENTRIES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rows], "day string, kind string, value string, active boolean").withColumn("day", F.to_date("day"))
+    if not rows:
+        return spark.createDataFrame([], "day date, kind string, value string, active boolean")
+    each = [F.struct(F.lit(d).cast("date").alias("day"), F.lit(k).alias("kind"), F.lit(v).alias("value"), F.lit(a).alias("active")) for d, k, v, a in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
