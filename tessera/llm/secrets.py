@@ -2,12 +2,14 @@
 
 Every version of a text is addressed by the SHA-256 of its content (a blob). The ledger says which rules, by name and
 version, have been run over which blob, and what they found. A scan looks only at pairs of blob and rule version that
-the ledger lacks, one copy of each blob, and joins findings back to all documents that hold the blob.
+the ledger lacks, one copy of each blob, and appends what it finds; reports join the ledger's findings back to all
+documents that hold the blob. A second scan of the same versions looks at nothing.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,9 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPANS = "array<struct<rule:string,start:int,end:int>>"
-LEDGER = f"blob string, rules array<string>, spans {SPANS}"
-#: Findings of a blob are repeated so often, for the documents that hold it to be dealt over as many tasks.
-SHARES = 8
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ ADDED = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, ("private key-----",)),
     Rule("forge_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, ("eyj",)),
+    Rule("web_token", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, ("eyj",)),
 )
 RULES = BASE + ADDED
 
@@ -69,7 +69,7 @@ def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int
     return out
 
 
-_SCHEMA = pa.schema([("blob", pa.string()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+_SCHEMA = pa.schema([("blob", pa.binary()), ("rules", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
 
 def _scan(rules: tuple[Rule, ...]):
@@ -84,46 +84,47 @@ def _scan(rules: tuple[Rule, ...]):
 
 
 def addressed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    return docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("blob"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, spans) of every document, and the ledger's new rows (blob, rules, spans).
+def unseen(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, text, todo) of the blobs for which the ledger lacks some of the rule versions todo, each blob once.
 
-    spans: array of (rule, start, end), sorted by start and then by the order of rules; empty where nothing was found.
-    Findings of rule versions that are not among rules stay in the ledger and are not reported. A null text is the empty
-    one; rows with a null doc_id are scanned and reported like others; repeated rows are reported each; an empty table
-    gives no rows and other columns are ignored.
+    A null text is the empty one. Rows with a null doc_id count like others; an empty table has no blobs.
     """
-    a = addressed(docs)
-    where = a.select("doc_id", common.row_id().alias("did"), "blob")
-    heads = where.groupBy("blob").agg(F.min("did").alias("did"))
+    a = addressed(docs).select(common.row_id().alias("did"), "blob", "text")
+    heads = a.groupBy("blob").agg(F.min("did").alias("did"))
     want = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is None:
-        todo = heads.withColumn("todo", want)
-        old = None
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = heads.join(seen, "blob", "left").select("blob", "did", F.array_except(want, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
-        old = ledger.join(heads.select("blob"), "blob", "left_semi").select("blob", F.explode("spans").alias("s"), "rules")
-        versions = dict((r.name, r.key) for r in rules)
-        current = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv])
-        old = old.where(F.array_contains("rules", current[F.col("s.rule")])).select("blob", "s")
-    texts = a.select(common.row_id().alias("did"), "blob", "text").join(todo, ["did", "blob"]).select("blob", "text", "todo")
-    new = common.durable(texts.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob"]))
-    every = new.select("blob", F.explode("spans").alias("s"))
-    every = every.unionByName(old) if old is not None else every
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))  # a row a blob and rule version
+    left = F.array_except(want, F.coalesce("seen", F.array().cast("array<string>")))
+    todo = heads.join(seen, "blob", "left").select("blob", "did", left.alias("todo")).where(F.size("todo") > 0)
+    return a.join(todo, ["did", "blob"]).select("blob", "text", "todo")
+
+
+def scanned(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's new rows (blob, rules, spans): what the rules todo find in each text."""
+    return texts.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob"])  # rows that share a doc_id and a text
+
+
+def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, blob, spans) of every document, by the ledger.
+
+    spans: array of (rule, start, end), sorted by start and then by the order of rules; empty where nothing was found.
+    Findings of rule versions that are not among rules stay in the ledger and are not reported. Repeated rows are
+    reported each. A blob that many documents hold is joined by adaptive splitting of its partition.
+    """
+    current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.key)])
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
+    every = ledger.where(F.size("spans") > 0).select("blob", "rules", F.explode("spans").alias("s")).where(F.array_contains("rules", F.try_element_at(current, F.col("s.rule"))))
     placed = F.struct(F.col("s.start").alias("start"), rank[F.col("s.rule")].alias("rank"), F.col("s.end").alias("end"), F.col("s.rule").alias("rule"))
     found = every.groupBy("blob").agg(F.array_sort(F.collect_set(placed)).alias("spans"))  # the spans of one text
-    found = found.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    out = where.withColumn("share", F.pmod("did", F.lit(SHARES))).join(found, ["blob", "share"], "left")
+    out = addressed(docs).select("doc_id", "blob").join(found, "blob", "left")
     spans = F.transform(F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,rule:string>>")), lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select("doc_id", "blob", spans.alias("spans")), new
+    return out.select("doc_id", "blob", spans.alias("spans"))
 
 
 class Ledger:
-    """A ledger kept as a Parquet folder, appended to by each scan."""
+    """A ledger kept as a Parquet folder in shared storage, appended to by each scan."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -134,19 +135,29 @@ class Ledger:
             return self.spark.read.schema(LEDGER).parquet(self.folder)
         return self.spark.createDataFrame([], LEDGER)
 
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan the pairs of blob and rule version that the ledger lacks and append them; a lost or repeated task adds
+        nothing twice, as only committed files count."""
+        scanned(unseen(docs, self.rows(), rules), rules).write.mode("append").parquet(self.folder)
+
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        found, new = scan(docs, self.rows(), rules)
-        found = common.durable(found)
-        new.write.mode("append").parquet(self.folder)
-        return found
+        """Bring the ledger up to date with docs, then report from it: (doc_id, blob, spans) as in report()."""
+        self.update(docs, rules)
+        return report(docs, self.rows(), rules)
 
 
 def _joined(spans) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan(common.table(spark, sf_dir, "documents"))
+def op10_secrets(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Secrets of every document, by way of a ledger: in a given folder, or a fresh one in the shared checkpoint folder.
+
+    Null and empty texts have none; a null doc_id is passed on; repeated rows are reported each; an empty table gives no
+    rows; other columns are ignored.
+    """
+    ledger = Ledger(spark, folder or f"{common.shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    found = ledger.scan(common.table(spark, sf_dir, "documents"))
     names = [r.name for r in BASE]
     base = F.filter("spans", lambda s: s["rule"].isin(names))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long").alias(f"n_{k}")
