@@ -209,13 +209,17 @@ def test_mixing(spark, edge, none):
     goal |= share
     for r in got:
         assert r["target"] == pytest.approx(goal[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
-        assert (r["position"] is None) == (r["taken"] == 0) and (r["position"] is None or 0 <= r["position"] <= 1)
+        assert (len(r["positions"]) == 0) == (r["taken"] == 0) and all(0 <= p <= 1 for p in r["positions"]) and r["positions"] == sorted(r["positions"])
+        assert len(r["positions"]) == (-(-r["taken"] // r["size"]) if r["taken"] else 0)
     for s in names:
         assert sum(r["taken"] for r in got if r["source"] == s) == int(goal[s])
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(edge.repartition(5)).collect()))
     assert mixing.mix(none).count() == 0
-    order = [r["position"] for r in mixing.ordered(mixing.mix(edge), 1).collect()]
-    assert order == sorted(order)
+    order = [r["positions"][0] if r["positions"] else 2.0 for r in mixing.ordered(mixing.mix(edge), 1).collect()]
+    assert order == sorted(order) and len(order) == len(rows)
+    run = mixing.servings(mixing.mix(edge), 1).collect()
+    assert [r["position"] for r in run] == sorted(r["position"] for r in run)
+    assert sum(r["words"] for r in run) == sum(r["taken"] for r in got) and len(run) == sum(len(r["positions"]) for r in got)
 
 
 def test_curriculum_inverts_its_integral(spark):
@@ -301,21 +305,32 @@ def test_secrets_and_ledger(spark, tmp_path):
         out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         return out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
 
+    def plain_all(t):
+        """Base kinds as the contract has them; the added kinds by patterns written for this test."""
+        out = plain(t)
+        out += [("private_key", *m.span()) for m in re.finditer("-----BEGIN (?:[A-Z]| )*PRIVATE KEY-----", t)]
+        out += [("forge_token", *m.span()) for m in re.finditer("gh(?:p|o|u|s|r)_[A-Za-z0-9]+", t) if m.end() - m.start() >= 40]
+        out += [("chat_token", *m.span()) for m in re.finditer("xox(?:a|b|p|r|s)-[A-Za-z0-9-]+", t) if m.end() - m.start() >= 15]
+        return out + [("web_token", *m.span()) for m in re.finditer(r"(?<![\w-])eyJ[\w-]{8,}[.]eyJ[\w-]{8,}[.][\w-]+", t, re.A)]
+
     for t in filter(None, TEXTS):
         assert secrets.find(t, secrets.BASE) == plain(t)
     rows = [(n, t, None) for n, t in enumerate(TEXTS)] + [(None, TEXTS[5], None), (4, TEXTS[4], None)]
     d = docs(spark, rows)
-    found, new = secrets.scan(d)
-    assert found.count() == len(rows) and new.count() == len({t or "" for t in TEXTS})
     order = {r.name: n for n, r in enumerate(secrets.RULES)}
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    found = ledger.scan(d)
+    blobs = len({t or "" for t in TEXTS})
+    assert found.count() == len(rows) and ledger.rows().count() == blobs
     for r in found.collect():
         t = TEXTS[5] if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
-        want = sorted(secrets.find(t), key=lambda s: (s[1], order[s[0]]))
-        assert [tuple(s) for s in r["spans"]] == want
-    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
-    first = as_rows(ledger.scan(d), "doc_id", "spans")
-    assert ledger.rows().count() == new.count()
-    assert as_rows(ledger.scan(d), "doc_id", "spans") == first and ledger.rows().count() == new.count()  # nothing unseen
+        assert [tuple(s) for s in r["spans"]] == sorted(plain_all(t), key=lambda s: (s[1], order[s[0]]))
+    first = as_rows(found, "doc_id", "spans")
+    assert secrets.unseen(d, ledger.rows()).count() == 0  # the second scan looks at nothing
+    assert as_rows(ledger.scan(d), "doc_id", "spans") == first and ledger.rows().count() == blobs
+    grown = d.unionByName(docs(spark, [(900, "a new version, token=abcdef0123", None)]))
+    assert [r["text"] for r in secrets.unseen(grown, ledger.rows()).collect()] == ["a new version, token=abcdef0123"]
+    assert secrets.Ledger(spark, str(tmp_path / "empty")).scan(d.limit(0)).count() == 0
     newer = (*secrets.BASE[:2], secrets.Rule("hex", 2, "[0-9a-f]{30,}"))
     again = ledger.scan(d, newer)
     assert all(s["rule"] != "hex" or s["end"] - s["start"] >= 30 for r in again.collect() for s in r["spans"])
@@ -426,5 +441,35 @@ def test_pipeline_stages(spark):
         if name != p.STAGES[-1][0]:
             assert out.columns == columns
             d, before = out.cache(), out.count()
-    assert {"doc_id", "taken", "position"} <= set(out.columns)
+    assert {"doc_id", "taken", "positions"} <= set(out.columns)
     assert p.run(spark, SF).count() == before
+
+
+@pytest.mark.parametrize(("dim", "pairs"), [(8, 300), (16, 800), (48, 1500), (64, 1500), (256, 1500)])
+def test_embeddings_recall_at_the_limit(spark, dim, pairs):
+    """Links between planted vectors just above the cosine limit, the hardest ones, against brute force."""
+    r = np.random.default_rng(dim)
+    a = r.standard_normal((pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = r.standard_normal((pairs, dim))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = r.uniform(0.9801, 0.985, (pairs, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side]) * r.uniform(0.5, 2, (2 * pairs, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {row["vec_id"]: row["n_links"] for row in embeddings.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and want.sum() >= 2 * pairs
+    print(dim, found.sum() / want.sum())
+    assert found.sum() >= 0.99 * want.sum()
+
+
+def test_embeddings_layout_follows_the_label():
+    small, large = embeddings.layout(1000), embeddings.layout(10**9)
+    assert small.width == embeddings.LEAST and large.width >= 30 and large.tables > small.tables
+    p = np.arccos(0.98) / np.pi
+    for of in (small, large):
+        meet = (1 - p) ** of.width + of.width * p * (1 - p) ** (of.width - 1)
+        assert (1 - meet) ** of.tables <= embeddings.MISS
