@@ -13,8 +13,9 @@ from . import common
 _SCHEMA = pa.schema([("slice", pa.int32()), ("part", pa.binary())])
 
 
-def total(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, kind=np.float64, slices: int = 32) -> np.ndarray:
-    """The sum of what add returns for each task's batches: an array of size numbers, which bounds what is collected."""
+def total(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, kind=np.float64, slices: int = 32, into: np.ndarray | None = None, weight: float = 1.0) -> np.ndarray:
+    """The sum of what add returns for each task's batches: an array of size numbers, which bounds what is collected.
+    With into, weight times the sum is added to that array."""
     edge = np.linspace(0, size, slices + 1).astype(int)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +36,7 @@ def total(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray |
 
     schema = "slice int, part binary"
     rows = df.mapInArrow(parts, schema).repartition(min(slices, common.partitions(df)), "slice").mapInArrow(sums, schema)
-    out = np.zeros(size, kind)
+    out = np.zeros(size, kind) if into is None else into
     for r in rows.collect():
-        out[edge[r["slice"]] : edge[r["slice"] + 1]] += np.frombuffer(r["part"], kind)
+        out[edge[r["slice"]] : edge[r["slice"] + 1]] += np.frombuffer(r["part"], kind) * kind(weight)
     return out
