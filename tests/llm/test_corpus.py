@@ -377,7 +377,8 @@ def test_decontamination_finds_paraphrases(spark):
             want.add((n, item[0]))
         rows.append((n, " ".join(body), None))
     rows += [(None, None, None), (200, "", None), (201, items[3][1], None)]
-    want.add((201, 3))
+    rows += [(202, "it is Too, short! after all", None), (203, "too bad, short", None), (204, "far too", None)]
+    want |= {(201, 3), (202, 102)}
     bench = spark.createDataFrame(items, "item_id long, text string, doc_id int")
     got = {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(docs(spark, rows), bench).collect()}
     assert {w for w in want if w[0] < 30 or w[0] > 100} <= got
@@ -420,13 +421,99 @@ def test_decontamination_finds_parts(spark):
     assert {x["cover"] for x in got if x["doc_id"] == 4} == {0.5}
 
 
+def test_decontamination_candidates_brute_force():
+    """All pairs of passage and probe with a high cosine, none lost to the bounds, on texts with many repeated words."""
+    D = decontamination
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    text = lambda n: [r.choice(vocabulary[: r.choice((5, 300))]) for _ in range(n)]
+    items = [text(n) for n in (70, 40, 33, 20, 17, 9, 8, 6)]
+    texts = [" ".join(text(r.randint(0, 200)) + items[n % 8][: r.randint(4, 40)] * r.choice((1, 1, 3)) + text(r.randint(0, 9))) for n in range(60)] + ["", "one", None]
+    g = np.random.default_rng(3)
+    idf = g.uniform(0.1, 5, 1 << D.BITS).astype(np.float32)
+    latent = np.linalg.qr(g.standard_normal((1 << D.BITS, 24)))[0].astype(np.float32) * 30 * idf[:, None]
+    space = D.space_of([(n, " ".join(w)) for n, w in enumerate(items)], latent)
+    code, first = D._words(__import__("pyarrow").array(texts))
+    got = {(d, i, low, slack, round(c, 3)) for d, _, i, low, slack, c, _ in D._candidates([space], idf, code, first, 0.25) if c != D.NO_COSINE}
+    want, known = set(), {w for i in space.items for w in i.words}
+    for d in range(len(texts)):
+        own = code[first[d] : first[d + 1]]
+        for scale, (v, which, begin) in space.probes.items():
+            hop = scale // 2
+            starts = [s for s in range(0, len(own), hop) if s + hop < len(own)] or [0] * (len(own) > 0)
+            for s in starts:
+                words = np.unique(D.features(own[s : s + scale]))
+                counted = np.unique(D.features(np.array([w for w in own[s : s + scale].tolist() if w in known], np.uint64)))
+                z = latent[counted].sum(0) / np.sqrt((idf[words].astype(float) ** 2).sum())
+                for q in np.flatnonzero(v @ z >= 0.25):
+                    want.add((d, int(which[q]), s + int(first[d]) - int(begin[q]), hop, round(float(v[q] @ z), 3)))
+    near = lambda x, of: any(y[:4] == x[:4] and abs(y[4] - x[4]) < 0.002 for y in of)
+    assert len(want) > 500 and {x[:4] for x in got} == {x[:4] for x in want} and all(near(x, got) for x in list(want)[:200])
+
+
+def test_longest_common_subsequence_brute_force():
+    r = random.Random(2)
+    for _ in range(200):
+        item, words = [[r.randint(0, 6) for _ in range(r.randint(1, 40))] for _ in range(2)]
+        places = {}
+        for i, w in enumerate(item):
+            places[w] = places.get(w, 0) | 1 << i
+        answer = r.choice((None, r.randint(0, len(item) - 1)))
+
+        def lcs(a, b):
+            row = [0] * (len(b) + 1)
+            for x in a:
+                last = row[:]
+                for j, y in enumerate(b):
+                    row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+            return row[-1]
+
+        got = decontamination.common_words(decontamination.Item(0, item, answer, places), words, 0.0)
+        assert got == (lcs(item, words) / len(item), None if answer is None else lcs(item[answer:], words) / (len(item) - answer))
+
+
+def test_latent_space_is_that_of_a_plain_svd(spark):
+    """The randomised, distributed space keeps as much of the passages as numpy's singular vectors of the same matrix."""
+    D = decontamination
+    r = random.Random(3)
+    vocabulary = [["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(25)] for _ in range(8)]
+    text = lambda k: " ".join(r.choice(vocabulary[k]) for _ in range(D.FIT_WORDS))
+    texts, items = [text(n % 8) for n in range(400)], [text(n % 8) for n in range(20)]
+    idf = np.random.default_rng(1).uniform(0.5, 3, 1 << D.BITS).astype(np.float32)
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    got = D.latent_space(frame(texts).repartition(4), frame(items), idf, 8) / idf[:, None]
+    assert np.allclose(got.T @ got, np.eye(8), atol=1e-3)
+    rows = np.zeros((420, 1 << D.BITS), np.float32)
+    for n, t in enumerate(texts + items):
+        f = np.unique(D.features(D._words(__import__("pyarrow").array([t]))[0]))
+        rows[n, f] = idf[f]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[400:] *= np.sqrt(D.ITEMS_WEIGH * 400 / 20)
+    used = np.flatnonzero(rows.any(0))
+    best = (np.linalg.svd(rows[:, used])[1][:8] ** 2).sum()
+    assert (np.linalg.norm(rows @ got, axis=1) ** 2).sum() >= 0.99 * best
+
+
+def test_decontamination_long_and_repeated_texts(spark):
+    r = random.Random(14)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(4000)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    item = text(50)
+    long = " ".join(text(60_000) + item + text(60_000))
+    rows = [(1, long, None), (2, "x" * 1_000_000, None), (3, "a " * 300_000, None), (1, long, None), (4, " ".join(item), None), (4, " ".join(item), None)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item))], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["cover"]) for x in decontamination.leaks(docs(spark, rows), bench).collect())
+    assert got == [(d, i, 1.0) for d, i in [(1, 7), (1, 7), (1, 8), (1, 8), (4, 7), (4, 7), (4, 8), (4, 8)]]
+    assert decontamination.clean(docs(spark, rows), bench).count() == 2
+
+
 def test_decontamination_shared_runs():
     r = np.random.default_rng(1)
     code, item = r.integers(0, 2**63, 60).astype(np.uint64), r.integers(0, 2**63, 20).astype(np.uint64)
     code[7:17], code[30:50] = item[5:15], item
     items = [decontamination.Item(0, item.tolist(), 15, {}), decontamination.Item(1, item[4:12].tolist(), 6, {})]
     first = np.array([0, 0, 20, 46, 60])  # the last copy reaches over the end of a text
-    got = set(decontamination.shared_runs(code, first, decontamination.seeds_of(items)))
+    got = set(decontamination.shared_runs(decontamination.runs_of(code), first, decontamination.seeds_of(items, [0, 1])))
     assert got == {(1, 0, 7, 5, 10), (1, 1, 7, 1, 7), (2, 0, 30, 0, 16), (2, 1, 34, 0, 8)}
 
 
