@@ -93,16 +93,21 @@ def _docs(did, th, doc, at, kind="<i4") -> tuple[bytes, bytes, bytes]:
 
 
 def _thin(x: np.ndarray) -> bytes:
-    """Bytes below 255 as they are; others as 255, with eight bytes kept apart."""
+    """Numbers below 254 as bytes; others marked by 254, with two bytes kept apart, or by 255, with eight."""
     x = x.astype(np.int64)
-    small = np.where((x >= 0) & (x < 255), x, 255).astype(np.uint8)
-    return len(x).to_bytes(4, "little") + small.tobytes() + x[small == 255].astype("<i8").tobytes()
+    small = np.where((x >= 0) & (x < 254), x, np.where((x >= 0) & (x < 1 << 16), 254, 255)).astype(np.uint8)
+    mid = x[small == 254].astype("<u2").tobytes()
+    return len(x).to_bytes(4, "little") + small.tobytes() + mid + x[small == 255].astype("<i8").tobytes()
 
 
 def _wide(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:4], "little")
-    x = np.frombuffer(b, np.uint8, n, 4).astype(np.int64)
-    x[x == 255] = np.frombuffer(b, "<i8", -1, 4 + n)
+    small = np.frombuffer(b, np.uint8, n, 4)
+    x = small.astype(np.int64)
+    mid = small == 254
+    k = 2 * int(mid.sum())
+    x[mid] = np.frombuffer(b, "<u2", k // 2, 4 + n)
+    x[small == 255] = np.frombuffer(b, "<i8", -1, 4 + n + k)
     return x
 
 
@@ -165,7 +170,7 @@ def gathered(kind: str = "<i4"):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4"):
+def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4", code="<u8"):
     """What each bucket holds; rows arrive sorted by bucket, and those of one bucket are decoded together."""
     now, parts = None, []
     for batch in batches:
@@ -177,7 +182,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4"):
                 yield tuple(map(np.concatenate, zip(*parts, strict=True)))
                 parts = []
             now = bucket
-            parts.append((*_undocs(docs, marks, counts, kind), np.frombuffer(codes, np.uint64)))
+            parts.append((*_undocs(docs, marks, counts, kind), np.frombuffer(codes, code)))
     if parts:
         yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 

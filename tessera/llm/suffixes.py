@@ -34,12 +34,12 @@ from .substrings import _pack
 WIDTH, NAME, GRAM = 50, 24, 36
 #: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
 ANCHOR = 64
-#: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket or range should stand for.
-HASHED, BATCH, BUCKET = 1 << 20, 1 << 20, 4 << 20
+#: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket of substrings stands for.
+HASHED, BATCH, BUCKET = 2 << 20, 1 << 20, 16 << 20
 #: Bound on the batches from which the ranges are cut, and numbers taken of each.
 SAMPLED, CUTS = 2000, 64
 _STEP = 0xA0761D6478BD642F
-_NONE = np.uint64(2**64 - 1)
+_LAST = np.uint32(2**32 - 1)
 
 
 # --- 0. minimizers
@@ -57,31 +57,52 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
 def minimizers(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, hash) of the chosen substrings; texts end a byte before the next begins.
 
-    Strings are looked at chunk by chunk, whatever texts they are of, so memory does not grow with the texts.
+    Strings are looked at chunk by chunk, whatever texts they are of, so memory does not grow with the texts. The upper
+    half of a hash decides the choice; what is returned is mixed once more, so that chosen hashes are spread evenly.
     """
     span = WIDTH - GRAM + 1
     places, codes = [], []
+    ends = offsets[1:] - 1
     for a in range(0, len(data) - WIDTH + 1, chunk):
         own = data[a : a + chunk + WIDTH - 1]
-        lo, hi = np.searchsorted(offsets, [a, a + len(own)], side="right")
-        edge = np.clip(np.concatenate([[a], offsets[lo:hi], [a + len(own)]]), a, a + len(own)) - a
-        last = np.concatenate([offsets[lo:hi], [offsets[min(hi, len(offsets) - 1)]]]) - 1 - a
-        end = np.repeat(last, np.diff(edge))
-        grams = np.arange(len(own) - GRAM + 1)
-        code = tokens.mix(tokens.spans_hash(own.astype(np.uint64) + np.uint64(1), grams, GRAM, _STEP)) >> np.uint64(1)
-        code[grams + GRAM > end[: len(grams)]] = _NONE
-        low = _slide(code, span, np.minimum)
-        low[np.arange(len(low)) + WIDTH > end[: len(low)]] = 0
-        padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-        at = np.flatnonzero((_slide(padded, span, np.maximum) == code) & (code != _NONE))
+        code = _grams(own)
+        low = (code >> np.uint64(32)).astype(np.uint32)
+        near = ends[np.searchsorted(ends, a) : np.searchsorted(ends, a + len(own))] - a
+        for e in near.tolist():  # a substring over the end of a text is never chosen
+            low[max(0, e - GRAM + 1) : e + 1] = _LAST
+        best = _slide(low, span, np.minimum)
+        for e in near.tolist():  # nor does a string over the end choose
+            best[max(0, e - WIDTH + 1) : e + 1] = 0
+        padded = np.zeros(len(best) + 2 * span - 2, np.uint32)
+        padded[span - 1 : span - 1 + len(best)] = best
+        at = np.flatnonzero((_slide(padded, span, np.maximum) == low) & (low != _LAST))
         places.append(at + a)
         codes.append(code[at])
     at, first = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_index=True)
     doc = np.searchsorted(offsets, at, side="right") - 1
-    return doc, at - offsets[doc], np.concatenate([np.zeros(0, np.uint64), *codes])[first]
+    return doc, at - offsets[doc], tokens.mix(np.concatenate([np.zeros(0, np.uint64), *codes])[first])
+
+
+def _grams(own: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of every substring of so many bytes."""
+    n = len(own)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(n + 1, np.uint64)
+        x = own.astype(np.uint64)
+        x += np.uint64(1)
+        x *= tokens.powers(_STEP, n)
+        np.cumsum(x, out=prefix[1:])
+        x = prefix[size:] - prefix[:-size]
+        x *= tokens.powers(pow(_STEP, -1, 2**64), n)[: len(x)]
+    return tokens.mix(x)
 
 
 def _mark_batches(buckets: int, teams: int):
+    """Chosen substrings by bucket. Of a hash 32 bits travel beside the bucket's number: buckets grow in number with the
+    corpus, not in size, so an accidental match, which only lets text through that does not repeat, stays as rare."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.by_bytes(batches, "text", HASHED):
             t = t.take(pa.compute.sort_indices(t, [("did", "ascending"), ("th", "ascending")]))
@@ -92,25 +113,23 @@ def _mark_batches(buckets: int, teams: int):
             doc, at, code = minimizers(*tokens.buffer(t["text"]))
             if not len(code):
                 continue
-            order = np.argsort(code)
-            doc, at, code = doc[order], at[order], code[order]
-            cut = common.starts_of(code)
+            bucket = (code >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            key = bucket << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
+            order = np.argsort(key)
+            cut = common.starts_of(key[order])
             size = np.diff(cut)
-            first, final = (np.repeat(f.reduceat(doc, cut[:-1]), size) for f in (np.minimum, np.maximum))
+            first, final = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+            first[order], final[order] = (np.repeat(f.reduceat(doc[order], cut[:-1]), size) for f in (np.minimum, np.maximum))
             many = first != final  # known to repeat: marked here, and two documents speak for all
-            send = (doc == first) | (doc == final)
             rows = []
             if many.any():
-                o = np.flatnonzero(many)
-                o = o[np.lexsort((at[o], doc[o]))]
-                rows.append((-1 - int(did[0] % buckets), *substrings._docs(did, th, doc[o], at[o], "<i8"), b""))
-            doc, at, code = doc[send], at[send], code[send]
-            bucket = ((code >> np.uint64(39)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                o = np.lexsort((at[s], doc[s]))
-                rows.append((int(b), *substrings._docs(did, th, doc[s][o], at[s][o], "<i8"), code[s][o].tobytes()))
+                rows.append((-1 - int(did[0] % buckets), *substrings._docs(did, th, doc[many], at[many], "<i8"), b""))
+            send = np.flatnonzero((doc == first) | (doc == final))
+            send = send[np.argsort(bucket[send].astype(np.uint16 if buckets < 1 << 16 else np.uint64), kind="stable")]  # documents stay in order
+            cuts = np.append(np.flatnonzero(np.diff(bucket[send], prepend=np.uint64(buckets))), len(send))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s = send[i:j]
+                rows.append((int(bucket[s[0]]), *substrings._docs(did, th, doc[s], at[s], "<i8"), code[s].astype("<u4").tobytes()))
             for i in range(0, len(rows), 256):
                 yield _pack(substrings._MARKS, rows[i : i + 256])
 
@@ -119,7 +138,7 @@ def _mark_batches(buckets: int, teams: int):
 
 def _mark_buckets(teams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, at, code in substrings._buckets(batches, "<i8"):
+        for did, th, at, code in substrings._buckets(batches, "<i8", "<u4"):
             if code is not None:
                 order = np.argsort(code)
                 cut = common.starts_of(code[order])
@@ -221,30 +240,81 @@ def _digest(keys: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _packed(x: np.ndarray, top: int = 64) -> np.ndarray:
+    """Rows in the order of x, numbers below 2**top, and of their places. Numbers and places are sorted as one number, so
+    every executor finds the same order; where both do not fit, low bits of x are left out."""
+    bits = max(1, (len(x) - 1).bit_length())
+    over = max(0, top + bits - 64)
+    return (np.sort(x >> np.uint64(over) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by group, where each group begins, and the number of each row's group, for groups of equal h."""
-    order = np.argsort(h)
+    """Rows by group, where each group begins, and the number of each row's group, for groups of equal hashes. Should two
+    hashes differ in their low bits only, a group may come in parts; then each part is sent and answered."""
+    order = _packed(h)
     new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
+    new[1:] = h[order[1:]] != h[order[:-1]]
     which = np.empty(len(h), np.int64)
     which[order] = np.cumsum(new) - 1
     return order, np.flatnonzero(new), which
 
 
-def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+#: What of a first number decides its range and its place in what is sent: words of a batch and their places are sorted as
+#: one number.
+_HEAD = np.uint64((1 << 64) - (1 << 24))
+
+
+def _distinct(keys: list[np.ndarray], named: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(an occurrence of each distinct key, by their first numbers; the place in that order of each row's key).
 
     Ranges are ranges of first numbers, so the order is one of ranges too. Neighbours are alike, as their ranks will be,
-    and compress well. Ties go by hash, so that every executor finds the same order.
+    and compress well. Numbers that are names are put together from range and rank.
     """
     order, new, which = _groups(_digest(keys))
     first = order[new]
-    sent = np.argsort(keys[0][first], kind="stable")
+    x, top = keys[0][first], 64
+    if named and len(x):
+        rank = x & np.uint64(0xFFFFFFFF)
+        x = x >> np.uint64(32) << np.uint64(int(rank.max()).bit_length()) | rank
+        top = int(x.max()).bit_length()
+    sent = _packed(x, top)
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return first[sent], place[which]
 
 
+def ranks(keys: list[np.ndarray]) -> np.ndarray:
+    """How many rows come before each row, by their keys in turn; equal rows get equal numbers. After each key only rows
+    that are still tied go on."""
+    n = len(keys[0])
+    out = np.zeros(n, np.int64)
+    todo, start = np.arange(n), np.zeros(1, np.int64)
+    group = np.zeros(n, np.int64)  # of the rows still tied, in order of groups
+    for k in keys:
+        order = np.argsort(k[todo])
+        own = k[todo[order]]
+        dense = np.empty(len(todo), np.uint64)
+        dense[order] = np.cumsum(np.append(False, own[1:] != own[:-1])) if len(own) else 0
+        bits = max(1, (len(todo) - 1).bit_length())
+        if len(start) > 1:
+            order = _packed(group.astype(np.uint64) << np.uint64(bits) | dense, 2 * bits)
+            if 3 * bits > 64:
+                order = np.lexsort((dense, group))
+        todo, group, dense = todo[order], group[order], dense[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (dense[1:] != dense[:-1]))[: len(todo)]
+        head = np.flatnonzero(new)
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(todo)])  # of the groups before this key
+        out_head = start[group[head]] + head - begin[group[head]]
+        size = np.diff(np.append(head, len(todo)))
+        out[todo] = np.repeat(out_head, size)
+        tied = np.repeat(size > 1, size)
+        if not tied.any():
+            break
+        todo, start = todo[tied], out_head[size > 1]
+        group = np.repeat(np.arange(len(start)), size[size > 1])
+    return out
+
+
 def _triples(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     at = b.samples(NAME)
     keys = [b.word(at + 8 * j) for j in range(3)]
@@ -306,16 +376,12 @@ def _unpack_ranks(row: bytes) -> np.ndarray:
 
 
 def _rank(unpack):
-    """Ranks of the distinct keys of a range, for each batch in the order in which it sent them."""
+    """Ranks of the keys of a range, for each batch in the order in which it sent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
             sent = [unpack(part, k) for _, k in rows]
-            keys = np.concatenate(sent, axis=1)
-            order, new, which = _groups(_digest(list(keys)))
-            place = np.empty(len(new), "<u4")
-            place[np.lexsort(keys[::-1, order[new]])] = np.arange(len(new))
-            rank = place[which]
+            rank = ranks(list(np.concatenate(sent, axis=1)))
             at = 0
             for (bid, _), s in zip(rows, sent, strict=True):
                 yield _pack(_RANKS, [(bid, part, _pack_ranks(rank[at : at + s.shape[1]]))])
@@ -357,7 +423,7 @@ def _send_triples(ranges: np.ndarray):
         for batch in batches:
             for bid, meta, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, first, _, keys = _triples(Batch.of(meta, data))
-                out = _send(bid, np.searchsorted(ranges, keys[0][first], side="right"), [k[first] for k in keys], _pack_triples)
+                out = _send(bid, _range(ranges, keys[0][first]), [k[first] for k in keys], _pack_triples)
                 if out:
                     yield out
 
@@ -370,7 +436,7 @@ def _pairs(b: Batch, replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     name[at] = _names(replies)[inverse]
     at = b.samples(2 * NAME)
     keys = [name[at], name[at + NAME]]
-    first, inverse = _distinct(keys)
+    first, inverse = _distinct(keys, named=True)
     return at, first, inverse, keys
 
 
@@ -383,19 +449,24 @@ def _send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out
 
 
+def _range(ranges: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The range of strings that begin with a word; words that differ behind _HEAD only share one."""
+    return np.searchsorted(ranges, word & _HEAD, side="right")
+
+
 def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
     """All whole strings: places, number of each one's distinct string; and for each distinct string, in the order in
     which they are sent (by range and smallest document), a place of it, its range and its smallest document."""
     at = np.flatnonzero(b.left >= WIDTH)
     if not len(at):
         return at, at, at, at, at
-    h = tokens.mix(tokens.spans_hash(b.data.astype(np.uint64) + np.uint64(1), at, WIDTH, _STEP))
+    h = _grams(b.data, WIDTH)[at]
     order, new, which = _groups(h)
-    did = np.minimum.reduceat(b.did[b.piece[at[order]]], new)
-    head = at[order[new]]
-    part = np.searchsorted(ranges, b.word(head), side="right")
-    _, rank = np.unique(did, return_inverse=True)
-    sent = np.argsort(part.astype(np.uint64) << np.uint64(48) | rank.astype(np.uint64) << np.uint64(28) | np.arange(len(part), dtype=np.uint64))
+    dids, rank = np.unique(b.did, return_inverse=True)  # of pieces, which are few
+    low = np.minimum.reduceat(rank[b.piece[at[order]]], new)
+    did, head = dids[low], at[order[new]]
+    part = _range(ranges, b.word(head))
+    sent = _packed(part.astype(np.uint64) << np.uint64(24) | low.astype(np.uint64), 40)
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return at, place[which], head[sent], part[sent], did[sent]
@@ -548,7 +619,7 @@ def repeats(batches: DataFrame, size: int) -> DataFrame:
     cuts = [np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(_cuts_of, "cuts binary").collect()]
     cuts = np.sort(np.concatenate([np.zeros(0, np.uint64), *cuts]))
     parts = max(16, min(50_000, (held or 0) // BATCH))
-    ranges = np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]]) if len(cuts) else cuts
+    ranges = np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]] & _HEAD) if len(cuts) else cuts
     parts = len(ranges) + 1
     spark = batches.sparkSession
     sent = batches.mapInArrow(_send_triples(ranges), "part int, bid long, keys binary")
