@@ -67,18 +67,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
     return out
 
 
+def _squeezed(f: np.ndarray) -> bytes:
+    """Features as compressed steps: the driver gets a byte or so for each."""
+    step = np.diff(np.sort(f), prepend=0).astype("<i4").tobytes()
+    return len(step).to_bytes(4, "little") + pa.compress(step, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(b: bytes) -> np.ndarray:
+    step = pa.decompress(memoryview(b)[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(step, "<i4"), dtype=np.int32)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in common.by_bytes(batches, "text", BATCH):
-        own = [f.astype("<i4").tobytes() for f in grams(t["text"].to_pylist())]
+        own = [_squeezed(f) for f in grams(t["text"].to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(t["fold"].to_pylist(), pa.int32()), pa.array(t["toxic"].to_pylist(), pa.int32()), pa.array(own, pa.binary())], names=["fold", "toxic", "features"])
 
 
-def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. A row lists the features it
-    has; scale is the value that each then takes. Rows are gone through some at a time, so that only they are held."""
+def logistic(col: np.ndarray, many: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. Each row has so many features
+    of col, one row's after another's; scale is the value that each feature then takes. Rows are gone through some at a
+    time, so that only they are held twice."""
     size, sign = len(scale), 2 * y - 1
     block = 256
-    parts = [(a, np.concatenate([np.zeros(0, "<i4"), *rows[a : a + block]]), np.array([len(r) for r in rows[a : a + block]])) for a in range(0, len(rows), block)]
+    edge = np.concatenate([[0], np.cumsum(many)])
+    parts = [(a, col[edge[a] : edge[min(len(many), a + block)]], many[a : a + block]) for a in range(0, len(many), block)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         total, g, u = 0.0, np.zeros(size + 1), w[:-1] * scale
@@ -161,8 +174,10 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ridge: float = RIDGE) -> Model:
     """Learn from the labelled rows of docs that are not held out. Labels other than 0 and 1 are ignored, and of several
-    labels of a document the highest counts. With no labelled row of either class every score is the rate of the other."""
+    labels of a document the highest counts; of several texts of a sampled document the last by its bytes counts. With no
+    labelled row of either class every score is the rate of the other."""
     own = labels.select(F.col("doc_id").alias("_id"), "toxic", fold(F.col("doc_id")).alias("fold")).where("toxic in (0, 1) and fold > 0")
+    own = own.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     own = common.durable(own.groupBy("_id", "fold").agg(F.max("toxic").cast("int").alias("toxic")))
     size = {(r["check"], r["toxic"]): r["n"] for r in own.groupBy((F.col("fold") == 1).alias("check"), "toxic").agg(F.count("*").alias("n")).collect()}
     sent = F.broadcast(own) if sum(size.values()) <= SENT_LABELS else own
@@ -181,23 +196,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ridge: float
         for check in (False, True):
             some = own.where((F.col("toxic") == y) & ((F.col("fold") == 1) == F.lit(check))).orderBy(order).limit(sample // (1 + check))
             chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # three times the sample's bound at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", "fold", "toxic").agg(F.max("text").alias("text"))  # one text a label: the sample's bound holds
     rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled, "fold int, toxic int, features binary").collect()
     rows.sort(key=lambda r: (r["fold"], r["toxic"], bytes(r["features"])))
-    y, check = np.array([r["toxic"] for r in rows], float), np.array([r["fold"] == 1 for r in rows])
     place = np.where(wanted, np.cumsum(wanted) - 1, -1).astype("<i4")
-    f = [(x := place[np.frombuffer(r["features"], "<i4")])[x >= 0] for r in rows]
+    known = lambda r: (x := place[_unsqueezed(r["features"])])[x >= 0]
+    own, held = [r for r in rows if r["fold"] != 1], [r for r in rows if r["fold"] == 1]
     del rows
-    w, b = logistic([f[i] for i in np.flatnonzero(~check)], ratio[wanted], y[~check], ridge)
-    b += float(np.log(n1 / n0) - np.log(y[~check].sum() / (~check & (y == 0)).sum()))  # from the sample's rate to that of all
+    y = np.array([r["toxic"] for r in own], float)
+    col = [known(r) for r in own]
+    many = np.array([len(c) for c in col], np.int64)
+    col = np.concatenate([np.zeros(0, "<i4"), *col])
+    w, b = logistic(col, many, ratio[wanted], y, ridge)
+    del col
+    b += float(np.log(n1 / n0) - np.log(y.sum() / (1 - y).sum()))  # from the sample's rate to that of all
     w = w * ratio[wanted]
     weight = np.zeros(1 << BITS)
     weight[wanted] = w
     a, c = 1.0, 0.0
-    if 0 < y[check].sum() < check.sum():
-        z = np.array([w[f[i]].sum() for i in np.flatnonzero(check)]) + b
-        known = np.array([size[True, int(v)] for v in y[check]]) / np.where(y[check] > 0, y[check].sum(), (1 - y[check]).sum())
-        a, c = calibration(z, y[check], known)
+    y = np.array([r["toxic"] for r in held], float)
+    if 0 < y.sum() < len(y):
+        z = np.array([w[known(r)].sum() for r in held]) + b
+        share = np.array([size[True, int(v)] for v in y]) / np.where(y > 0, y.sum(), (1 - y).sum())
+        a, c = calibration(z, y, share)
     return Model(a * weight, a * b + c)
 
 
