@@ -209,3 +209,8 @@ def plain_html(html: Column, limit: int = 400) -> Column:
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = strip(F.regexp_replace(x, r"\s+", " "))
     return F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit)), F.lit("..."))).otherwise(x)
+
+
+def blank_default(x: Column, default: str) -> Column:
+    """A text without outer blanks, or the default where it is null or blank."""
+    return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default))

@@ -19,10 +19,12 @@ def duplicate_share(df: DataFrame, content: Sequence[str], by: str) -> DataFrame
 
 
 def dedupe_where(df: DataFrame, flagged: DataFrame, on: str, content: Sequence[str], keep: str) -> DataFrame:
-    """On flagged values of on, one row of each content stays, that with the smallest keep; other rows all stay."""
-    mark = df.join(flagged.select(on).distinct().withColumn("_flag", F.lit(True)), on, "left")
+    """On flagged values of on, one row of each content stays, that with the smallest keep; other rows all stay and are
+    not shuffled by content."""
+    flagged = flagged.select(on).distinct()
     n = F.row_number().over(W.partitionBy(*content).orderBy(keep))
-    return mark.withColumn("_n", n).where("_flag is null or _n = 1").drop("_flag", "_n")
+    kept = df.join(flagged, on, "left_semi").withColumn("_n", n).where("_n = 1").drop("_n")
+    return df.join(flagged, on, "left_anti").unionByName(kept)
 
 
 def relist_collapse(df: DataFrame, by: Sequence[str], day: str, gap: int) -> DataFrame:
@@ -74,3 +76,17 @@ def violations(df: DataFrame, condition: Column, name: str) -> DataFrame:
 
 def report(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks).withColumn("passed", F.col("n_violations") == 0)
+
+
+# --- joins
+
+
+def clean_keys(frames: Sequence[DataFrame], key: str) -> list[DataFrame]:
+    """The frames with their key trimmed and in upper case."""
+    return [f.withColumn(key, F.upper(F.trim(key))) for f in frames]
+
+
+def join_loss(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: rows on the left, rows that an inner join to the distinct keys of the right keeps, and rows that it loses."""
+    j = left.join(right.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    return j.agg(F.count("*").alias("n_left"), F.count("_hit").alias("n_joined")).withColumn("n_lost", F.col("n_left") - F.col("n_joined"))

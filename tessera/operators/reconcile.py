@@ -17,7 +17,8 @@ TIERS = {"edgar": 0, "fmp": 1, "polygon": 1}
 def reconcile(obs: DataFrame, by: Sequence[str], tiers: dict[str, int] = TIERS) -> DataFrame:
     """One row per group of (source, value, period_end): spread, disagreement, class, resolved value and source, outlier.
 
-    Classes in precedence: single_source, unit_scale, period_misalignment, agreement, minor, material. A source that
+    Classes in precedence: single_source, unit_scale_mismatch, period_misalignment, agreement, minor_divergence,
+    material_divergence. A source that
     reports a group twice raises, as the map of values cannot be built.
     """
     rank = F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv])
@@ -31,8 +32,8 @@ def reconcile(obs: DataFrame, by: Sequence[str], tiers: dict[str, int] = TIERS)
     spread = F.col("_hi") - F.col("_lo")
     off = F.when((F.col("n_sources") < 2) | (F.col("_mid") == 0), F.lit(0.0)).otherwise(spread / F.abs("_mid") * 100)
     kind = (
-        F.when(F.col("n_sources") < 2, "single_source").when(C.scale_mixup(F.col("_lo"), F.col("_hi")), "unit_scale").when(F.col("_days") > SPAN, "period_misalignment")
-        .when(off <= AGREE, "agreement").when(off <= MINOR, "minor").otherwise("material")
+        F.when(F.col("n_sources") < 2, "single_source").when(C.scale_mixup(F.col("_lo"), F.col("_hi")), "unit_scale_mismatch").when(F.col("_days") > SPAN, "period_misalignment")
+        .when(off <= AGREE, "agreement").when(off <= MINOR, "minor_divergence").otherwise("material_divergence")
     )
     others = F.filter(F.map_entries("source_values"), lambda e: e["key"] != F.col("resolved_source"))
     far = F.array_max(F.transform(others, lambda e: F.abs(e["value"] - F.col("resolved_value"))))

@@ -23,10 +23,13 @@ def trailing(agg: Column, by: Sequence[str], order: Sequence[str], rows: int) ->
 
 
 def trailing_z(value: str, by: Sequence[str], order: Sequence[str], rows: int, floor: float | None = None) -> Column:
-    """Distance from the mean of the rows before, in their population deviations (at least floor)."""
+    """Distance from the mean of the rows before, in their population deviations (at least floor); infinite if these are
+    zero, null without rows before."""
     sd = trailing(F.stddev_pop(value), by, order, rows)
-    sd = F.greatest(sd, F.lit(floor)) if floor is not None else F.when(sd > 0, sd)
-    return (F.col(value) - trailing(F.avg(value), by, order, rows)) / sd
+    far = F.col(value) - trailing(F.avg(value), by, order, rows)
+    if floor is not None:
+        return far / F.greatest(sd, F.lit(floor))
+    return F.when(sd > 0, far / sd).when(sd == 0, F.lit(float("inf")))
 
 
 def both_before(value: str, by: Sequence[str], order: Sequence[str]) -> Column:
