@@ -6,8 +6,9 @@
    holds some ten megabytes at any corpus size. A bucket counts its hashes and marks all but the first occurrence.
 3. Marks return by groups of documents, merge into maximal intervals for each, and the words they cover go.
 
-Words are compared by 64-bit hashes of 64-bit word hashes; at n windows about n*n / 2**65 accidental matches are to be
-expected (none at a billion, some at 10**10; each would remove one wrong window).
+A window is compared by 56 bits of one hash of its words and by its bucket, which another hash gives. Buckets grow in
+number with the corpus, not in size, so the chance of an accidental match in a bucket, about one in 100,000, stays as it
+is: none are to be expected below some terabytes of text, some 150 in 100 TB (each would remove one wrong window).
 """
 
 from __future__ import annotations
@@ -28,18 +29,31 @@ from . import common, tokens
 WINDOW = 20
 #: Bytes of text that are hashed at once, and that a bucket should stand for.
 BATCH, BUCKET = 4 << 20, 8 << 20
-_STEP = 0xD1342543DE82EF95
+_STEP, _DEAL = 0xD1342543DE82EF95, 0xA24BAED4963EE407
 
 _MARKS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
 _GROUPS = pa.schema([("team", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary())])
 
 
-def _window_codes(code: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document number and start of all windows; documents in order."""
+def _window_codes(code: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, document number and start of all windows; documents in order."""
     n = np.maximum(np.diff(first) - width + 1, 0)
     doc = np.repeat(np.arange(len(n)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return tokens.mix(tokens.spans_hash(code, first[:-1][doc] + at, width, _STEP)), doc, at
+    start = first[:-1][doc] + at
+    one, two = (tokens.mix(tokens.spans_hash(code, start, width, base)) for base in (_STEP, _DEAL))
+    return one, two, doc, at
+
+
+def _seven(code: np.ndarray) -> bytes:
+    """The lower seven bytes of each number."""
+    return np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _unseven(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
 
 
 def _pack(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -53,28 +67,26 @@ def _hash_batches(width: int, buckets: int):
             t = t.take(pa.compute.sort_indices(t, [("did", "ascending"), ("th", "ascending")]))
             did, th = t["did"].to_numpy(), t["th"].to_numpy()
             _, _, code, first = tokens.words(*tokens.buffer(t["text"]))
-            code, doc, at = _window_codes(code, first, width)
+            code, deal, doc, at = _window_codes(code, first, width)
             if not len(code):
                 continue
-            order = np.argsort(code, kind="stable")
-            code, doc, at = code[order], doc[order], at[order]
-            head = common.starts_of(code)[:-1]
-            group = np.repeat(head, np.diff(np.append(head, len(code))))
+            order = tokens.packed(code)
+            group = np.empty(len(code), np.int64)
+            cut = common.starts_of(code[order])
+            group[order] = np.repeat(order[cut[:-1]], np.diff(cut))
             # a row of the same document and place is another copy of the same occurrence
             later = (did[doc] != did[doc[group]]) | (at != at[group])
             rows = []
-            local = np.flatnonzero(later)
-            if len(local):
-                local = local[np.lexsort((at[local], doc[local]))]
-                rows.append((-1 - turn % buckets, *_docs(did, th, doc[local], at[local]), b""))
-            same = ~later  # the first and its copies, which get its fate
-            code, doc, at = code[same], doc[same], at[same]
-            bucket = ((code >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                o = np.lexsort((at[s], doc[s]))
-                rows.append((int(b), *_docs(did, th, doc[s][o], at[s][o]), code[s][o].tobytes()))
+            if later.any():
+                rows.append((-1 - turn % buckets, *_docs(did, th, doc[later], at[later]), b""))
+            send = np.flatnonzero(~later)  # the first and its copies, which get its fate
+            bucket = ((deal[send] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")  # documents stay in order
+            send, bucket = send[order], bucket[order]
+            cuts = common.starts_of(bucket)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s = send[i:j]
+                rows.append((int(bucket[i]), *_docs(did, th, doc[s], at[s]), _seven(code[s])))
             for i in range(0, len(rows), 256):
                 yield _pack(_MARKS, rows[i : i + 256])
             turn += 1
@@ -122,9 +134,12 @@ def _undocs(docs: bytes, marks: bytes, counts: bytes, kind="<i4") -> tuple[np.nd
 
 def _count_buckets(teams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, at, code in _buckets(batches):
+        for did, th, at, code in _buckets(batches, "<i4", _unseven):
             if code is not None:
-                order = np.lexsort((at, did, code))
+                order = tokens.exact(code, 56)
+                cut = common.starts_of(code[order])
+                order = order[np.repeat(np.diff(cut) > 1, np.diff(cut))]  # windows that occur once need no further look
+                order = order[np.lexsort((at[order], did[order], code[order]))]
                 did, th, at, code = did[order], th[order], at[order], code[order]
                 head = common.starts_of(code)[:-1]
                 group = np.repeat(head, np.diff(np.append(head, len(code))))
@@ -170,7 +185,7 @@ def gathered(kind: str = "<i4"):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4", code="<u8"):
+def _buckets(batches: Iterator[pa.RecordBatch], kind, unpack):
     """What each bucket holds; rows arrive sorted by bucket, and those of one bucket are decoded together."""
     now, parts = None, []
     for batch in batches:
@@ -182,7 +197,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind="<i4", code="<u8"):
                 yield tuple(map(np.concatenate, zip(*parts, strict=True)))
                 parts = []
             now = bucket
-            parts.append((*_undocs(docs, marks, counts, kind), np.frombuffer(codes, code)))
+            parts.append((*_undocs(docs, marks, counts, kind), unpack(codes)))
     if parts:
         yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
@@ -256,6 +271,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text: bool = True, buck
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of 20 words in all documents, with a digest of what stays; cases as in remove_repeats()."""
     out = remove_repeats(common.table(spark, sf_dir, "documents"), text=False)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 

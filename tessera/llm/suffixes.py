@@ -138,7 +138,7 @@ def _mark_batches(buckets: int, teams: int):
 
 def _mark_buckets(teams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, at, code in substrings._buckets(batches, "<i8", "<u4"):
+        for did, th, at, code in substrings._buckets(batches, "<i8", lambda b: np.frombuffer(b, "<u4")):
             if code is not None:
                 order = np.argsort(code)
                 cut = common.starts_of(code[order])
@@ -160,8 +160,8 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         rows = []
-        for did, th, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
+        did_, th_, text_, starts_ = batch.columns
+        for did, th, raw, starts in zip(did_.to_pylist(), th_.to_pylist(), text_.cast(pa.large_binary()).to_pylist(), starts_.to_pylist(), strict=True):
             data = np.frombuffer(raw, np.uint8)
             at = np.unique(np.frombuffer(starts, "<i4")).astype(np.int64)
             code = np.concatenate([_codes(data, p) for p in np.split(at, np.arange(8192, len(at), 8192))])
@@ -240,18 +240,10 @@ def _digest(keys: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _packed(x: np.ndarray, top: int = 64) -> np.ndarray:
-    """Rows in the order of x, numbers below 2**top, and of their places. Numbers and places are sorted as one number, so
-    every executor finds the same order; where both do not fit, low bits of x are left out."""
-    bits = max(1, (len(x) - 1).bit_length())
-    over = max(0, top + bits - 64)
-    return (np.sort(x >> np.uint64(over) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by group, where each group begins, and the number of each row's group, for groups of equal hashes. Should two
     hashes differ in their low bits only, a group may come in parts; then each part is sent and answered."""
-    order = _packed(h)
+    order = tokens.packed(h)
     new = np.ones(len(h), bool)
     new[1:] = h[order[1:]] != h[order[:-1]]
     which = np.empty(len(h), np.int64)
@@ -277,7 +269,7 @@ def _distinct(keys: list[np.ndarray], named: bool = False) -> tuple[np.ndarray,
         rank = x & np.uint64(0xFFFFFFFF)
         x = x >> np.uint64(32) << np.uint64(int(rank.max()).bit_length()) | rank
         top = int(x.max()).bit_length()
-    sent = _packed(x, top)
+    sent = tokens.packed(x, top)
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return first[sent], place[which]
@@ -297,7 +289,7 @@ def ranks(keys: list[np.ndarray]) -> np.ndarray:
         dense[order] = np.cumsum(np.append(False, own[1:] != own[:-1])) if len(own) else 0
         bits = max(1, (len(todo) - 1).bit_length())
         if len(start) > 1:
-            order = _packed(group.astype(np.uint64) << np.uint64(bits) | dense, 2 * bits)
+            order = tokens.packed(group.astype(np.uint64) << np.uint64(bits) | dense, 2 * bits)
             if 3 * bits > 64:
                 order = np.lexsort((dense, group))
         todo, group, dense = todo[order], group[order], dense[order]
@@ -466,7 +458,7 @@ def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
     low = np.minimum.reduceat(rank[b.piece[at[order]]], new)
     did, head = dids[low], at[order[new]]
     part = _range(ranges, b.word(head))
-    sent = _packed(part.astype(np.uint64) << np.uint64(24) | low.astype(np.uint64), 40)
+    sent = tokens.packed(part.astype(np.uint64) << np.uint64(24) | low.astype(np.uint64), 40)
     place = np.empty_like(sent)
     place[sent] = np.arange(len(sent))
     return at, place[which], head[sent], part[sent], did[sent]
@@ -645,8 +637,9 @@ def _remove(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, copy, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode()
+            ids, texts, copies, all_found = batch.columns
+            for doc_id, raw, copy, found in zip(ids.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), copies.to_pylist(), all_found.to_pylist(), strict=True):
+                raw = raw or b""
                 spans = sorted(tuple(x) for s in found or [] for x in np.frombuffer(s, "<i8").reshape(-1, 2).tolist())
                 if copy and len(raw) >= WIDTH:
                     spans = [(0, len(raw))]
@@ -682,12 +675,14 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     del batches
     common.release(docs.sparkSession)
     heads = d.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head")
-    copies = d.select("did", "th").join(heads, "th").where("did > head").select("did", "th").distinct()
+    # distinct before the join: what follows deals the rows anew, so that a text with many copies can be split
+    copies = d.select("did", "th").distinct().join(heads, "th").where("did > head").select("did", "th")
     told = found.join(copies.withColumn("copy", F.lit(True)), ["did", "th"], "full")
     out = d.join(told, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
     return out.mapInArrow(_remove(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 50 bytes in all documents, with a digest of what stays; cases as in remove_repeats()."""
     out = remove_repeats(common.table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))

@@ -46,6 +46,21 @@ def spans_hash(values: np.ndarray, start: np.ndarray, length: int | np.ndarray,
         return (prefix[start + length] - prefix[start]) * powers(pow(base, -1, 2**64), len(values) + 1)[start]
 
 
+def packed(x: np.ndarray, top: int = 64) -> np.ndarray:
+    """Rows in the order of x, numbers below 2**top, and of their places. Numbers and places are sorted as one number, so
+    every executor finds the same order; where both do not fit, low bits of x are left out."""
+    bits = max(1, (len(x) - 1).bit_length())
+    over = max(0, top + bits - 64)
+    return (np.sort(x >> np.uint64(over) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def exact(x: np.ndarray, top: int = 64) -> np.ndarray:
+    """Rows in the order of x and of their places, whatever bits tell the numbers apart."""
+    order = packed(x, top)
+    a, b = x[order[:-1]], x[order[1:]]
+    return np.argsort(x, kind="stable") if (a > b).any() else order
+
+
 def buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty) with one space after each, and where each begins (with the end)."""
     if isinstance(texts, pa.ChunkedArray):
