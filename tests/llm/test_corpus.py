@@ -154,6 +154,62 @@ def test_covering_masks_miss_no_pair():
         assert any(not d & s for s in simhash.masks(3, simhash._FULL & ~m))
 
 
+def test_substrings_tell_arrangements_apart(spark):
+    """Words in which a polynomial modulo 2**64 cannot tell the letters' places are told apart, and runs of them too."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    turn = " ".join((one, two)[bin(i).count("1") % 2] for i in range(32))
+    back = " ".join((two, one)[bin(i).count("1") % 2] for i in range(32))
+    rows = [(1, " ".join([one] * 20), None), (2, " ".join([two] * 20), None), (3, turn, None), (4, back, None), (5, " ".join([two] * 20), None)]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs(spark, rows)).collect()}
+    words = {i: t.split() for i, t, _ in rows}
+    seen, want = set(), {}
+    for i, w in words.items():
+        gone = set()
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            gone |= set(range(j, j + 20)) if k in seen else set()
+            seen.add(k)
+        want[i] = len(gone)
+    assert got == want and want[2] == 0 and want[5] == 20
+
+
+def test_order_helpers():
+    from tessera.llm import tokens
+
+    r = np.random.default_rng(1)
+    for x, top in ((r.integers(0, 2**56, 5000), 56), (np.repeat(r.integers(0, 2**63, 50), 40), 64), (r.integers(0, 4, 3000) + 2**50, 56), (np.arange(0), 64)):
+        x = x.astype(np.uint64)
+        assert (tokens.exact(x, top) == np.argsort(x, kind="stable")).all()
+        assert sorted(tokens.packed(x, top)) == list(range(len(x)))
+
+
+def test_ranks_of_rows():
+    r = np.random.default_rng(2)
+    for n, most in ((1, 2), (2000, 3), (2000, 2**63), (500, 1)):
+        keys = [r.integers(0, most, n).astype(np.uint64) for _ in range(3)]
+        rows = list(zip(*(k.tolist() for k in keys)))
+        want = [sorted(rows).index(x) for x in rows]
+        assert suffixes.ranks(keys).tolist() == want
+
+
+def test_minimizers_of_equal_strings_are_equal():
+    from tessera.llm import tokens
+
+    r = np.random.default_rng(3)
+    text = lambda n: bytes(r.integers(97, 100, n).astype(np.uint8)).decode()
+    shared = text(300)
+    texts = [text(500) + shared + text(100), shared, text(40), "", text(49), shared[:50], text(50)]
+    doc, at, code = suffixes.minimizers(*tokens.buffer(__import__("pyarrow").array(texts)), chunk=256)
+    chosen = [{(int(a), int(c)) for d, a, c in zip(doc, at, code) if d == n} for n in range(len(texts))]
+    for n, t in enumerate(texts):
+        for i in range(len(t) - suffixes.WIDTH + 1):  # every string holds a chosen substring
+            assert any(i <= a <= i + suffixes.WIDTH - suffixes.GRAM for a, _ in chosen[n])
+    span = suffixes.WIDTH - suffixes.GRAM  # those chosen by strings that lie in both texts are chosen in both
+    assert {(a, c) for a, c in chosen[1] if span <= a <= 300 - suffixes.GRAM - span} <= {(a - 500, c) for a, c in chosen[0]}
+    assert not chosen[2] and not chosen[3] and not chosen[4] and chosen[5]
+
+
 def test_embeddings_edges(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((6, 16))
