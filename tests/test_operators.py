@@ -15,6 +15,7 @@ from tessera.plans import cuts as _cuts  # noqa: F401 (its queries join the cata
 from tessera.plans import feeds as _feeds  # noqa: F401
 from tessera.plans import panelstudy as _study  # noqa: F401
 from tessera.plans import signals as _more  # noqa: F401
+from tessera.plans import vendorstudy as _vendors  # noqa: F401
 from tessera.sources import files, filings, postings
 from tessera.streaming import monitors
 
