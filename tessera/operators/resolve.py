@@ -5,8 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -14,6 +13,8 @@ from ..functions import columns as C
 
 #: Thresholds of the stages.
 AUTO, REVIEW, TAIL = 0.90, 0.78, 0.60
+#: Aliases with which names without a common block are compared one by one; a longer list is refused.
+DICTIONARY = 100_000
 
 
 @F.pandas_udf(DoubleType())
@@ -22,12 +23,53 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def score(core, alias):
-    """Blend of character ratio, share of the alias's tokens, and a prefix bonus."""
+def rest_of_score(core, alias):
+    """The parts of a score that need no comparison of characters: share of the alias's tokens, and a prefix bonus."""
     words = F.array_distinct(F.split(alias, " "))
     overlap = F.size(F.array_intersect(F.split(core, " "), words)) / F.greatest(F.lit(1), F.size(words))
     head = F.expr("substring(alias, 1, greatest(4, cast(length(alias) / 2 as int)))")
-    return F.least(F.lit(1.0), 0.55 * similarity(core, alias) + 0.35 * overlap + F.when(core.startswith(head), 0.15).otherwise(0.0))
+    return 0.35 * overlap + F.when(core.startswith(head), 0.15).otherwise(0.0)
+
+
+def most_alike(a, b):
+    """What a ratio can be at most, by lengths."""
+    la, lb = F.length(a), F.length(b)
+    return 2 * F.least(la, lb) / F.greatest(F.lit(1), la + lb)
+
+
+def best_pairs(pairs: DataFrame, weight: float, rest: Column, ties: list[Column]) -> DataFrame:
+    """The best pair of each core by min(1, weight * similarity + rest), as column s. Characters are compared only in pairs
+    that could still be the best: whose bound is not below what another pair of the core has for sure."""
+    x = pairs.withColumn("_rest", rest).withColumn("_most", F.least(F.lit(1.0), F.col("_rest") + weight * most_alike(F.col("core"), F.col("alias"))))
+    sure = x.groupBy("core").agg(F.max("_rest").alias("_sure"))
+    x = x.join(sure, "core").where(F.col("_most") >= F.least(F.lit(1.0), F.col("_sure"))).drop("_sure", "_most")
+    x = x.withColumn("s", F.least(F.lit(1.0), weight * similarity("core", "alias") + F.col("_rest"))).drop("_rest")
+    others = [c for c in x.columns if c not in ("core", "s")]
+    return x.groupBy("core").agg(F.min_by(F.struct("s", *others), F.struct(-F.col("s"), *ties)).alias("x")).select("core", "x.*")
+
+
+def _dictionary(aliases: DataFrame) -> DataFrame:
+    n = aliases.limit(DICTIONARY + 1).count()
+    if n > DICTIONARY:
+        raise ValueError(f"more than {DICTIONARY} aliases: give the names a common block instead of comparing all")
+    return aliases
+
+
+def spans(text):
+    """Words between non-alphanumerics, with a blank before and after each."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "[^A-Z0-9]", " "), " +", " "))
+
+
+def contained(cores: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(core, alias, vendor): aliases of three characters or more that stand in a core between non-alphanumerics. Every run
+    of a core's words, as long as the longest alias, is looked up; no pair is listed that does not match."""
+    a = aliases.where(F.length("alias") >= 3).select("alias", "vendor", spans(F.col("alias")).alias("_k")).where("_k <> ''").withColumn("_n", F.size(F.split("_k", " ")))
+    most = a.agg(F.max("_n")).first()[0] or 0  # one number
+    if not most:
+        return cores.limit(0).select("core", F.lit("").alias("alias"), F.lit("").alias("vendor"))
+    w = F.split(spans(F.col("core")), " ")
+    runs = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))))
+    return cores.select("core", runs.alias("_k")).join(a, "_k").select("core", "alias", "vendor")
 
 
 def blocks(text):
@@ -37,24 +79,21 @@ def blocks(text):
 def resolve(raw: DataFrame, vendors: DataFrame) -> DataFrame:
     """(core) of distinct raw cores against (vendor, alias): core, method, score, vendor.
 
-    Cores are resolved once each, whatever their number of rows. Candidates share a block, the first three characters of
-    a token; a core without any is compared with all aliases, as the alias list is a dictionary and not data.
+    Cores are resolved once each, whatever their number of rows. Of aliases that a core contains the longest wins, whatever
+    block it shares. Candidates of the rest share a block, the first three characters of a token; a core without any is
+    compared with all aliases, which must be a dictionary.
     """
     cores = raw.select("core").where("core <> ''").distinct()
     aliases = vendors.groupBy("alias").agg(F.min("vendor").alias("vendor"))
     exact = cores.join(aliases, cores["core"] == aliases["alias"]).select("core", F.lit("exact").alias("method"), F.lit(1.0).alias("score"), "vendor")
     left = cores.join(exact, "core", "left_anti")
+    held = contained(left, aliases).groupBy("core").agg(F.max_by("vendor", F.struct(F.length("alias"), "alias")).alias("vendor"))
+    held = held.select("core", F.lit("exact").alias("method"), F.lit(0.98).alias("score"), "vendor")
+    left = left.join(held, "core", "left_anti")
     keyed = aliases.select("vendor", "alias", F.explode(F.array_union(blocks(F.col("alias")), F.array(F.substring("alias", 1, 3)))).alias("block"))
     pairs = left.select("core", F.explode(blocks(F.col("core"))).alias("block")).join(keyed, "block").select("core", "vendor", "alias").distinct()
-    alone = left.join(pairs.select("core").distinct(), "core", "left_anti").crossJoin(aliases.select("vendor", "alias"))
-    pairs = pairs.unionByName(alone)
-    # an alias that stands in the core between non-alphanumerics; the longest wins
-    whole = F.concat(F.lit(" "), F.regexp_replace("core", "[^A-Z0-9]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("alias", "[^A-Z0-9]", " "), F.lit(" ")))
-    held = pairs.where((F.length("alias") >= 3) & whole)
-    held = held.groupBy("core").agg(F.max_by("vendor", F.struct(F.length("alias"), "alias")).alias("vendor"))
-    held = held.select("core", F.lit("exact").alias("method"), F.lit(0.98).alias("score"), "vendor")
-    rest = pairs.join(held, "core", "left_anti").withColumn("s", score(F.col("core"), F.col("alias")))
-    best = rest.withColumn("n", F.row_number().over(W.partitionBy("core").orderBy(F.desc("s"), "vendor", "alias"))).where("n = 1")
+    alone = left.join(pairs.select("core").distinct(), "core", "left_anti").crossJoin(_dictionary(aliases).select("vendor", "alias"))
+    best = best_pairs(pairs.unionByName(alone), 0.55, rest_of_score(F.col("core"), F.col("alias")), [F.col("vendor"), F.col("alias")])
     method = F.when(F.col("s") >= AUTO, "fuzzy_auto").when(F.col("s") >= REVIEW, "review").otherwise("unmatched")
     fuzzy = best.select("core", method.alias("method"), C.floor3(F.col("s")).alias("score"), F.when(F.col("s") >= REVIEW, F.col("vendor")).alias("vendor"))
     return exact.unionByName(held).unionByName(fuzzy)
@@ -83,12 +122,12 @@ def greedy_match(events: DataFrame, flags: DataFrame, by: list[str], k: int) ->
 def tag_tail(cores: DataFrame, vendors: DataFrame) -> DataFrame:
     """(core, vendor_guess, category_guess, confidence, new_vendor_flag) of distinct cores against (vendor, alias, category).
 
-    Every alias is compared, as a tail has no common block; the alias list is a dictionary, the cores are distinct, and
-    the best of each core is kept before rows are shuffled. Below the threshold a core is a new vendor of a category
-    guessed from its words.
+    Every alias is compared, as a tail has no common block; the alias list must be a dictionary, and lengths rule most pairs
+    out. Below the threshold a core is a new vendor of a category guessed from its words.
     """
-    pairs = cores.select("core").where("core <> ''").distinct().crossJoin(vendors.select("vendor", "alias", "category"))
-    best = pairs.withColumn("s", similarity("core", "alias")).groupBy("core").agg(F.min_by(F.struct("s", "vendor", "category"), F.struct(-F.col("s"), "vendor", "alias")).alias("b"))
+    known = _dictionary(vendors.select("vendor", "alias", "category"))
+    pairs = cores.select("core").where("core <> ''").distinct().crossJoin(known)
+    best = best_pairs(pairs, 1.0, F.lit(0.0), [F.col("vendor"), F.col("alias")]).select("core", F.struct("s", "vendor", "category").alias("b"))
     known = F.col("b.s") >= TAIL
     return best.select("core", F.when(known, F.col("b.vendor")).otherwise("").alias("vendor_guess"), F.when(known, F.col("b.category")).otherwise(C.category(F.col("core"))).alias("category_guess"),
                        F.round("b.s", 3).alias("confidence"), (~known).cast("int").alias("new_vendor_flag"))

@@ -118,7 +118,8 @@ def bridge(facts: DataFrame, known: DataFrame) -> DataFrame:
     fading = months.where((F.col("k") >= 2) & (F.col("last") <= FADE * (F.col("all") - F.col("last")) / (F.col("k") - 1))).select("name")
     a = stats(own).join(fading, "name").where("cadence > 0").select(F.col("name").alias("vendor"), F.col("mid").alias("a_mid"), F.col("cadence").alias("a_cadence"))
     b = stats(new).select(F.col("name").alias("descriptor"), F.col("mid").alias("b_mid"), F.col("cadence").alias("b_cadence"), "people")
-    left, right = own.select("vendor", "panelist").distinct(), new.select("descriptor", "panelist").distinct()
+    # only fading vendors meet new names, so a panelist with many vendors does not multiply
+    left, right = own.join(fading, "name", "left_semi").select("vendor", "panelist").distinct(), new.select("descriptor", "panelist").distinct()
     shared = left.join(right, "panelist").groupBy("vendor", "descriptor").agg(F.count("*").alias("n"))
     x = shared.join(a, "vendor").join(b, "descriptor")
     high = F.greatest("a_mid", "b_mid")

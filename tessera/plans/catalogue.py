@@ -360,11 +360,11 @@ def scorecard_mape(s: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT c_mktsegment AS seg, o_totalprice AS a, o_custkey::DOUBLE AS b FROM orders JOIN customer ON o_custkey = c_custkey),
 r AS (SELECT seg, rank() OVER (PARTITION BY seg ORDER BY a) + (count(*) OVER (PARTITION BY seg, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY seg ORDER BY b) + (count(*) OVER (PARTITION BY seg, b) - 1) / 2.0 AS rb FROM d)
-SELECT seg, count(*)::BIGINT AS n, round(corr(ra::DOUBLE, rb::DOUBLE), 6) AS spearman FROM r GROUP BY seg HAVING count(*) >= 5""")
+SELECT seg, count(*)::BIGINT AS n, CASE WHEN count(*) >= 5 THEN round(corr(ra::DOUBLE, rb::DOUBLE), 6) END AS spearman FROM r GROUP BY seg""")
 def spearman_by_group(s: SparkSession, d: str) -> DataFrame:
     o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("seg"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
-    o = o.select("seg", windows.percentile_rank("a", ["seg"]).alias("ra"), windows.percentile_rank("b", ["seg"]).alias("rb"))
-    return o.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman")).where("n >= 5")
+    o = windows.average_ranks(windows.average_ranks(o, ["seg"], "a", "ra"), ["seg"], "b", "rb")
+    return o.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman")).withColumn("spearman", F.when(F.col("n") >= 5, F.col("spearman")))
 
 
 @query("""WITH x AS (SELECT DISTINCT user_id, event_type = 'purchase' AS bought FROM events), b AS (SELECT user_id, bool_or(bought) AS conv FROM x GROUP BY user_id),
@@ -412,7 +412,8 @@ def category_keywords(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR)) AS r FROM documents) WHERE r <= 30""")
 def stratified_sample(s: SparkSession, d: str) -> DataFrame:
-    return windows.latest(t(s, d, "documents").select("lang", "doc_id", F.struct(F.md5(F.col("doc_id").cast("string"))).alias("h")), ["lang", "doc_id"], [F.col("h")]).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where("r <= 30").select("lang", "doc_id")
+    by_hash = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")))
+    return t(s, d, "documents").select("lang", "doc_id").withColumn("r", F.row_number().over(by_hash)).where("r <= 30").drop("r")
 
 
 @query("""SELECT source, count(*)::BIGINT AS n_raw, count(DISTINCT md5(lower(coalesce(text, ''))))::BIGINT AS n_unique, count(DISTINCT md5(lower(coalesce(text, ''))))::DOUBLE / count(*) AS ratio,

@@ -13,16 +13,16 @@ from ..sources import filings, postings
 from .catalogue import _DAILY, _DAY, _M, _Q, _UD, daily, orders_q, query, t, user_days
 
 
-@query(f"""WITH r AS (SELECT c_mktsegment AS seg, {_Q} AS qi, {_M} AS rep, (10 * sum(o_totalprice::DECIMAL(18,2)) FILTER (WHERE o_custkey % 10 = 0))::DOUBLE AS est FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+@query(f"""WITH r AS (SELECT c_mktsegment AS seg, {_Q} AS qi, {_M} AS rep, (2 * sum(o_totalprice::DECIMAL(18,2)) FILTER (WHERE o_orderstatus = 'F'))::DOUBLE AS est FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 x AS (SELECT *, CASE WHEN est > 0 AND rep > 0 THEN ln(rep / est) END AS lr FROM r),
 j AS (SELECT a.seg, a.qi, b.lr, row_number() OVER (PARTITION BY a.seg, a.qi ORDER BY b.qi DESC) AS k FROM x a LEFT JOIN x b ON a.seg = b.seg AND b.qi < a.qi AND b.lr IS NOT NULL),
 f AS (SELECT seg, qi, coalesce(exp(avg(lr)), 1.0) AS factor FROM j WHERE k <= 3 GROUP BY ALL)
 SELECT seg, qi, est AS raw, round(factor, 8) AS factor, round(est * factor, 2) AS calibrated FROM x JOIN f USING (seg, qi)""")
 def calibrated_estimate(s: SparkSession, d: str) -> DataFrame:
-    """A tenth of the customers as a panel, scaled up and calibrated by its last three ratios to the reported total."""
+    """What settled orders alone would say, scaled up and calibrated by its last three ratios to the reported total."""
     cents = F.col("o_totalprice").cast("decimal(18,2)")
     o = orders_q(s, d).join(t(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg")), F.col("o_custkey") == F.col("c_custkey"))
-    g = o.groupBy("seg", "qi").agg(F.sum(cents).cast("double").alias("rep"), (10 * F.sum(F.when(F.col("o_custkey") % 10 == 0, cents))).cast("double").alias("raw"))
+    g = o.groupBy("seg", "qi").agg(F.sum(cents).cast("double").alias("rep"), (2 * F.sum(F.when(F.col("o_orderstatus") == "F", cents))).cast("double").alias("raw"))
     g = panel.prior_ratio(g, ["seg"], "qi", "rep", "raw")
     return g.select("seg", "qi", "raw", F.round("factor", 8).alias("factor"), F.round(F.col("raw") * F.col("factor"), 2).alias("calibrated"))
 
@@ -134,7 +134,7 @@ def naive_vs_qa(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' AND p_name LIKE 'red %' AND l_linenumber <> 7 THEN p_name || ' new' ELSE p_name END AS descriptor, p_name, o_custkey % 200 AS panelist, o_orderdate::DATE AS day, o_totalprice AS amount
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_name LIKE 'red %'),
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 own AS (SELECT * FROM f WHERE descriptor NOT LIKE '% new'), nw AS (SELECT * FROM f WHERE descriptor LIKE '% new'),
 mon AS (SELECT p_name, date_trunc('month', day) AS m, count(*) AS n FROM own GROUP BY ALL), fade AS (SELECT p_name, arg_max(n, m) AS l, sum(n) AS t, count(*) AS k FROM mon GROUP BY 1),
 a AS (SELECT p_name AS vendor, median(amount) AS mid, date_diff('day', min(day), max(day))::DOUBLE / nullif(count(*) - 1, 0) AS cad FROM own GROUP BY 1), b AS (SELECT descriptor, median(amount) AS mid, date_diff('day', min(day), max(day))::DOUBLE / nullif(count(*) - 1, 0) AS cad, count(DISTINCT panelist) AS people FROM nw GROUP BY 1),
@@ -143,9 +143,9 @@ j AS (SELECT s.descriptor, s.vendor, n::DOUBLE / people AS overlap, least(a.mid,
 SELECT descriptor, vendor, round(overlap, 8) AS overlap, round(amount_ratio, 8) AS amount_ratio, round(cadence_ratio, 8) AS cadence_ratio FROM (SELECT *, row_number() OVER (PARTITION BY descriptor ORDER BY vendor) AS r FROM j WHERE overlap > 0.5 AND amount_ratio >= 0.6 AND cadence_ratio BETWEEN 0.8 AND 1.25) WHERE r = 1""")
 def descriptor_bridge(s: SparkSession, d: str) -> DataFrame:
     """Part names as descriptors, of which those of one colour are renamed for most lines from 2000 on."""
-    p = t(s, d, "part").where(F.col("p_name").startswith("red ")).select("p_partkey", "p_name")
+    p = t(s, d, "part").select("p_partkey", "p_name")
     x = t(s, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    renamed = (F.col("o_orderdate") >= "2000-01-01") & (F.col("l_linenumber") != 7)
+    renamed = (F.col("o_orderdate") >= "2000-01-01") & F.col("p_name").startswith("red ") & (F.col("l_linenumber") != 7)
     facts = x.select(F.when(renamed, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")).alias("descriptor"), (F.col("o_custkey") % 200).alias("panelist"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("amount"))
     out = signals.bridge(facts, p.select(F.col("p_name").alias("descriptor"), F.col("p_name").alias("vendor")).distinct())
     return out.select("descriptor", "vendor", *[F.round(c, 8).alias(c) for c in ("overlap", "amount_ratio", "cadence_ratio")])
