@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
+#: Bytes of an array that the driver fetches in slices.
+_LARGE = 8 << 20
 _SCHEMA = pa.schema([("slice", pa.int32()), ("part", pa.binary())])
 
 
@@ -37,6 +39,7 @@ def total(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray |
     schema = "slice int, part binary"
     rows = df.mapInArrow(parts, schema).repartition(min(slices, common.partitions(df)), "slice").mapInArrow(sums, schema)
     out = np.zeros(size, kind) if into is None else into
-    for r in rows.collect():
+    # a large array comes slice by slice, so that the driver never holds it twice
+    for r in rows.toLocalIterator() if out.nbytes > _LARGE else rows.collect():
         out[edge[r["slice"]] : edge[r["slice"] + 1]] += np.frombuffer(r["part"], kind) * kind(weight)
     return out

@@ -84,18 +84,39 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t["fold"].to_pylist(), pa.int32()), pa.array(t["toxic"].to_pylist(), pa.int32()), pa.array(own, pa.binary())], names=["fold", "toxic", "features"])
 
 
-def logistic(col: np.ndarray, many: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. Each row has so many features
-    of col, one row's after another's; scale is the value that each feature then takes. Rows are gone through some at a
-    time, so that only they are held twice."""
+class Rows:
+    """Sorted features of many texts in two bytes each: the driver holds a sample of some ten million."""
+
+    def __init__(self, rows: list[bytes]):
+        """Takes compressed rows out of the list as it goes."""
+        self.many = np.zeros((len(rows), 4), np.int64)  # features of a text by their two upper bits
+        self.low = np.empty(sum(int.from_bytes(r[:4], "little") for r in rows) // 4, np.uint16)
+        at = 0
+        for i in range(len(rows)):
+            f = _unsqueezed(rows[i])
+            rows[i] = b""
+            self.many[i] = np.bincount(f >> 16, minlength=4)
+            self.low[at : at + len(f)] = f & 0xFFFF
+            at += len(f)
+        self.edge = np.concatenate([[0], np.cumsum(self.many.sum(1))])
+
+    def block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(features, number of features of each text) of texts a to b."""
+        n = self.many[a:b]
+        high = np.repeat(np.tile(np.arange(4, dtype=np.int32) << 16, len(n)), n.ravel())
+        return high | self.low[self.edge[a] : self.edge[min(b, len(self.many))]], n.sum(1)
+
+
+def logistic(rows: Rows, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. scale is the value that each
+    feature takes where a text has it. Rows are gone through some at a time."""
     size, sign = len(scale), 2 * y - 1
     block = 256
-    edge = np.concatenate([[0], np.cumsum(many)])
-    parts = [(a, col[edge[a] : edge[min(len(many), a + block)]], many[a : a + block]) for a in range(0, len(many), block)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         total, g, u = 0.0, np.zeros(size + 1), w[:-1] * scale
-        for a, col, n in parts:
+        for a in range(0, len(y), block):
+            col, n = rows.block(a, a + block)
             own = np.repeat(np.arange(len(n)), n)
             margin = sign[a : a + block] * (np.bincount(own, u[col], len(n)) + w[-1])
             slope = -sign[a : a + block] / (1 + np.exp(np.clip(margin, -500, 500)))
@@ -200,27 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ridge: float
     rows = rows.groupBy("_id", "fold", "toxic").agg(F.max("text").alias("text"))  # one text a label: the sample's bound holds
     rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled, "fold int, toxic int, features binary").collect()
     rows.sort(key=lambda r: (r["fold"], r["toxic"], bytes(r["features"])))
-    place = np.where(wanted, np.cumsum(wanted) - 1, -1).astype("<i4")
-    known = lambda r: (x := place[_unsqueezed(r["features"])])[x >= 0]
     own, held = [r for r in rows if r["fold"] != 1], [r for r in rows if r["fold"] == 1]
+    y, check = (np.array([r["toxic"] for r in x], float) for x in (own, held))
+    own, held = ([bytes(r["features"]) for r in x] for x in (own, held))
     del rows
-    y = np.array([r["toxic"] for r in own], float)
-    col = [known(r) for r in own]
-    many = np.array([len(c) for c in col], np.int64)
-    col = np.concatenate([np.zeros(0, "<i4"), *col])
-    w, b = logistic(col, many, ratio[wanted], y, ridge)
-    del col
+    scale = np.where(wanted, ratio, 0.0)
+    w, b = logistic(Rows(own), scale, y, ridge)
+    w = w * scale
     b += float(np.log(n1 / n0) - np.log(y.sum() / (1 - y).sum()))  # from the sample's rate to that of all
-    w = w * ratio[wanted]
-    weight = np.zeros(1 << BITS)
-    weight[wanted] = w
     a, c = 1.0, 0.0
-    y = np.array([r["toxic"] for r in held], float)
-    if 0 < y.sum() < len(y):
-        z = np.array([w[known(r)].sum() for r in held]) + b
-        share = np.array([size[True, int(v)] for v in y]) / np.where(y > 0, y.sum(), (1 - y).sum())
-        a, c = calibration(z, y, share)
-    return Model(a * weight, a * b + c)
+    if 0 < check.sum() < len(check):
+        z = np.array([w[_unsqueezed(r)].sum() for r in held]) + b
+        share = np.array([size[True, int(v)] for v in check]) / np.where(check > 0, check.sum(), (1 - check).sum())
+        a, c = calibration(z, check, share)
+    return Model(a * w, a * b + c)
 
 
 def _scored(model):
@@ -256,12 +270,17 @@ def _tagged(model, limit: float):
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **settings) -> DataFrame:
-    """docs without those that a model trained on their own labelled rows scores at limit or above."""
+    """docs without those that a model trained on their own labelled rows scores at limit or above.
+
+    Null and empty texts score as texts without features; rows are judged one by one, so repeated rows share their fate and
+    a null doc_id is no reason to go. All columns stay as they are; an empty table gives an empty one.
+    """
     model = train(docs, labels, **settings)
     return docs.mapInArrow(_tagged(docs.sparkSession.sparkContext.broadcast(model), limit), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; cases as in score(). A null doc_id counts as held out."""
     docs = common.table(spark, sf_dir, "documents")
     out = score(docs, train(docs, common.table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
