@@ -268,7 +268,8 @@ def _redact_all(trees):
 
 
 def redacted(docs: DataFrame, **settings) -> DataFrame:
-    """docs with every span in text replaced; all other columns as they were."""
+    """docs with every span in text replaced; all other columns as they were. A null text stays null, an empty one empty;
+    repeated rows and rows with a null doc_id are redacted like others; an empty table gives an empty one."""
     return docs.mapInArrow(_redact_all(model(**settings)), docs.schema)
 
 
@@ -284,5 +285,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents with a digest of the base ones; cases as in find_pii()."""
     found = find_pii(common.table(spark, sf_dir, "documents"), replace=False)
     return found.mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

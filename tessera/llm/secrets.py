@@ -110,8 +110,8 @@ def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     """(doc_id, blob, spans) of every document, by the ledger.
 
     spans: array of (rule, start, end), sorted by start and then by the order of rules; empty where nothing was found.
-    Findings of rule versions that are not among rules stay in the ledger and are not reported. Repeated rows are
-    reported each. A blob that many documents hold is joined by adaptive splitting of its partition.
+    Findings of rule versions that are not among rules stay in the ledger and are not reported. A null text is the empty
+    one, a null doc_id is passed on, repeated rows are reported each; an empty table gives no rows. A blob that many documents hold is joined by adaptive splitting of its partition.
     """
     current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.key)])
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])

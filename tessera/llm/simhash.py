@@ -159,12 +159,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id; all columns stay. Rows that share the
-    kept doc_id all stay, and rows with a null doc_id stay if their component has no other."""
+    kept doc_id all stay, and rows with a null doc_id stay if their component has no other. Null and empty texts are near
+    duplicates of each other."""
     near = near_duplicates(docs, radius, width).select("doc_id", "component_id")
     gone = near.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; cases as in near_duplicates()."""
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -115,7 +115,8 @@ def log(spark: SparkSession, rows=ENTRIES) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page against the log; a page was fetched on the day of 2024 that its id gives, in turn."""
+    """Every page against the log; a page was fetched on the day of 2024 that its id gives, in turn (a null id: never). Other
+    cases as in evaluate()."""
     pages = common.table(spark, sf_dir, "pages")
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
     out = evaluate(pages.select("page_id", "url", day.alias("fetched")), log(spark))
