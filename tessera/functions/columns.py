@@ -214,3 +214,12 @@ def plain_html(html: Column, limit: int = 400) -> Column:
 def blank_default(x: Column, default: str) -> Column:
     """A text without outer blanks, or the default where it is null or blank."""
     return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default))
+
+
+def calendar(spark, first: str, last: str):
+    """A row a month between two dates: month (its first day), mi and qi (months and quarters by the era), label, days,
+    month_end, quarter_start, quarter_end, published (the first of the next month)."""
+    m = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first).cast("date"), "MM"), F.trunc(F.lit(last).cast("date"), "MM"), F.expr("interval 1 month"))).alias("month"))
+    d = F.col("month")
+    end = F.last_day(d)
+    return m.select("month", month_index(d).alias("mi"), quarter_index(d).alias("qi"), quarter_label(d).alias("label"), F.dayofmonth(end).alias("days"), end.alias("month_end"), F.trunc(d, "quarter").alias("quarter_start"), F.last_day(F.add_months(F.trunc(d, "quarter"), 2)).alias("quarter_end"), F.add_months(d, 1).alias("published"))

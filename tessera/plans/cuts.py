@@ -249,3 +249,11 @@ def layer_mismatches(s: SparkSession, d: str) -> DataFrame:
     layers = total(orders_q(s, d).groupBy("qi").agg(C.money("o_totalprice").alias("v")), "v").withColumn("layer", F.lit("by_quarter"))
     layers = layers.unionByName(total(o.join(known, F.col("o_custkey") == F.col("c_custkey"), "left_semi"), "o_totalprice").withColumn("layer", F.lit("known_customers")))
     return layers.crossJoin(total(o, "o_totalprice").withColumnRenamed("total", "expected")).where("total <> expected").select("layer", "total", "expected")
+
+
+@query("""SELECT m AS month, (year(m) * 12 + month(m) - 1)::INTEGER AS mi, (year(m) * 4 + quarter(m) - 1)::INTEGER AS qi, year(m)::VARCHAR || 'Q' || quarter(m)::VARCHAR AS label, day(last_day(m))::INTEGER AS days, last_day(m) AS month_end, date_trunc('quarter', m)::DATE AS quarter_start,
+(date_trunc('quarter', m) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS quarter_end, (m + INTERVAL 1 MONTH)::DATE AS published FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH))::DATE AS m FROM orders)""")
+def calendar_frame(s: SparkSession, d: str) -> DataFrame:
+    """All months of the orders."""
+    first, last = t(s, d, "orders").agg(F.min("o_orderdate").cast("string"), F.max("o_orderdate").cast("string")).first()
+    return C.calendar(s, first[:10], last[:10])

@@ -7,17 +7,19 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g", checkpoints: str | None = None) -> SparkSession:
     """A local session with the settings that the oracle comparison relies on (UTC, adaptive plans)."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks are the unit of parallelism
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("tessera")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,9 +1,13 @@
-"""Structured Streaming forms of the monitors: windowed counts with late data, and dedup within a horizon."""
+"""Structured Streaming forms of the monitors: windowed counts with late data, dedup within a horizon, relistings."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed(events: DataFrame, time: str, by: str, size: str = "1 day", late: str = "2 days", value: str = "value") -> DataFrame:
@@ -14,3 +18,25 @@ def windowed(events: DataFrame, time: str, by: str, size: str = "1 day", late: s
 def first_seen(events: DataFrame, key: str, time: str, horizon: str = "45 days") -> DataFrame:
     """The first row of each key within the watermark's horizon."""
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
+
+
+def kept_listings(events: DataFrame, key: str, day: str, gap: int = 45) -> DataFrame:
+    """(key, kept_day) of a stream of listings: a day is kept if it lies more than gap days after the key's last kept one.
+
+    The state of a key is one date. Days of a key must arrive in order, as a feed by day does; a day before the last kept
+    one is a relisting of it.
+    """
+    kind = dict(events.dtypes)[key]
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        kept = []
+        for d in sorted({x for pdf in frames for x in pdf[day] if x is not None}):
+            if last is None or (d - last).days > gap:
+                kept.append(d)
+                last = d
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({key: [k[0]] * len(kept), "kept_day": kept})
+
+    return events.select(key, day).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, kept_day date", "last date", "append", GroupStateTimeout.NoTimeout)
