@@ -257,3 +257,37 @@ def calendar_frame(s: SparkSession, d: str) -> DataFrame:
     """All months of the orders."""
     first, last = t(s, d, "orders").agg(F.min("o_orderdate").cast("string"), F.max("o_orderdate").cast("string")).first()
     return C.calendar(s, first[:10], last[:10])
+
+
+@query("""WITH o AS (SELECT o_custkey, min(year(o_orderdate)) AS f, max(year(o_orderdate)) AS l FROM orders GROUP BY 1), n AS (SELECT n_name, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS rev FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+s AS (SELECT c_mktsegment, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS rev FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'timeline_not_inverted' AS check_name, count(*) FILTER (WHERE f > l OR l - f < 0)::BIGINT AS n_violations, count(*) FILTER (WHERE f > l OR l - f < 0) = 0 AS passed FROM o
+UNION ALL SELECT 'features_in_range', count(*)::BIGINT, count(*) = 0 FROM lineitem WHERE l_discount < 0 OR l_discount > 1 OR l_tax < 0 OR l_tax > 1 OR l_quantity < 1 OR l_quantity > 50
+UNION ALL SELECT 'fact_has_keys', count(*)::BIGINT, count(*) = 0 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IS NULL OR n_name IS NULL OR n_name = ''
+UNION ALL SELECT 'nation_shares_sum', (CASE WHEN abs((SELECT sum(100 * rev / (SELECT sum(rev) FROM n)) FROM n) - 100) > 0.5 THEN 1 ELSE 0 END)::BIGINT, abs((SELECT sum(100 * rev / (SELECT sum(rev) FROM n)) FROM n) - 100) <= 0.5
+UNION ALL SELECT 'segment_shares_sum', (CASE WHEN abs((SELECT sum(100 * rev / (SELECT sum(rev) FROM s)) FROM s) - 100) > 0.5 THEN 1 ELSE 0 END)::BIGINT, abs((SELECT sum(100 * rev / (SELECT sum(rev) FROM s)) FROM s) - 100) <= 0.5
+UNION ALL SELECT 'nothing_negative', count(*)::BIGINT, count(*) = 0 FROM orders WHERE o_totalprice < 0
+UNION ALL SELECT 'size_in_scale', count(*)::BIGINT, count(*) = 0 FROM part WHERE p_size < 0 OR p_size > 40
+UNION ALL SELECT 'dates_in_range', count(*)::BIGINT, count(*) = 0 FROM orders WHERE year(o_orderdate) < 1995 OR year(o_orderdate) > 2000
+UNION ALL SELECT 'totals_agree', (CASE WHEN (SELECT sum(o_totalprice::DECIMAL(18,2))::DOUBLE FROM orders) <> (SELECT sum(rev::DECIMAL(18,2))::DOUBLE FROM s) THEN 1 ELSE 0 END)::BIGINT, (SELECT sum(o_totalprice::DECIMAL(18,2))::DOUBLE FROM orders) = (SELECT sum(rev::DECIMAL(18,2))::DOUBLE FROM s)
+UNION ALL SELECT 'delay_reasonable', count(*)::BIGINT, count(*) = 0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate::DATE, l_shipdate::DATE) NOT BETWEEN -4000 AND 100""")
+def singular_checks(s: SparkSession, d: str) -> DataFrame:
+    """One check of each kind: timelines, ranges of features, keys of facts, shares that sum to 100 (two), signs, scales,
+    dates, totals of layers, delays; some of them must fail on these tables."""
+    o, li, c, n = (t(s, d, x) for x in ("orders", "lineitem", "customer", "nation"))
+    years = o.groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("f"), F.max(F.year("o_orderdate")).alias("l"))
+    nations = li.groupBy("l_suppkey").agg(C.money("l_extendedprice").alias("r")).join(t(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(C.money("r").alias("rev"))
+    segments = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(C.money("o_totalprice").alias("rev"))
+    shares = lambda g: g.crossJoin(g.agg(F.sum("rev").alias("_all"))).agg(F.sum(100 * F.col("rev") / F.col("_all")).alias("total")).where("abs(total - 100) > 0.5")
+    keys = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    layers = o.agg(C.money("o_totalprice").alias("a")).crossJoin(segments.agg(C.money("rev").alias("b"))).where("a <> b")
+    late = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    none = F.lit(True)
+    return quality.report([
+        quality.violations(years, (F.col("f") > F.col("l")) | (F.col("l") - F.col("f") < 0), "timeline_not_inverted"),
+        quality.violations(li, ~(F.col("l_discount").between(0, 1) & F.col("l_tax").between(0, 1) & F.col("l_quantity").between(1, 50)), "features_in_range"),
+        quality.violations(keys, F.col("c_custkey").isNull() | F.col("n_name").isNull() | (F.col("n_name") == ""), "fact_has_keys"),
+        quality.violations(shares(nations), none, "nation_shares_sum"), quality.violations(shares(segments), none, "segment_shares_sum"), quality.violations(o, F.col("o_totalprice") < 0, "nothing_negative"),
+        quality.violations(t(s, d, "part"), ~F.col("p_size").between(0, 40), "size_in_scale"), quality.violations(o, ~F.year("o_orderdate").between(1995, 2000), "dates_in_range"),
+        quality.violations(layers, none, "totals_agree"), quality.violations(late, ~F.datediff("l_shipdate", "o_orderdate").between(-4000, 100), "delay_reasonable"),
+    ])

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.boards import verdict
 from ..functions.columns import plain_html, title_score, workplace
 
 _GREENHOUSE = "jobs array<struct<id: string, title: string, location: struct<name: string>, departments: array<struct<name: string>>, absolute_url: string, updated_at: string>>"
@@ -79,3 +80,23 @@ def best_title(df: DataFrame, query: str, least: float = 0.5) -> DataFrame:
     scored = df.withColumn("score", title_score(F.lit(query), F.col("title"))).where(F.col("score") >= least)
     best = scored.groupBy("source", "token").agg(F.min_by(F.struct("title", "url", "job_id", "workplace", "score"), F.struct(-F.col("score"), "job_id")).alias("b"))
     return best.select("source", "token", "b.*")
+
+
+def verified(roles: DataFrame, boards: DataFrame, least: float = 0.5) -> DataFrame:
+    """(company, title, matched_title, found, verdict, workplace, location, source, url, confidence) of each role.
+
+    roles: company, title; boards: company, platform, token, payload. The best match of a title on its company's board
+    decides; without one the verdict is not-found, without a board unresolved, and one that does not say where work is
+    done is ambiguous. Ties go to the first posting by its id.
+    """
+    own = boards.select("company", "platform", "token")
+    p = postings(boards.select("platform", "token", "payload"))
+    asked = roles.select("company", F.col("title").alias("asked")).distinct().join(own, "company", "left")
+    s = asked.join(p, (F.col("source") == F.col("platform")) & (asked["token"] == p["token"])).withColumn("score", title_score(F.col("asked"), F.col("title"))).where(F.col("score") >= least)
+    best = s.groupBy("company", "asked").agg(F.min_by(F.struct("title", "workplace", "location", "source", "url", "score"), F.struct(-F.col("score"), "job_id")).alias("b"))
+    j = asked.join(best, ["company", "asked"], "left")
+    said = F.when(F.col("platform").isNull(), "unresolved").when(F.col("b").isNull(), "not-found").otherwise(verdict(F.col("b.workplace")))
+    return j.select(
+        "company", F.col("asked").alias("title"), F.col("b.title").alias("matched_title"), F.col("b").isNotNull().alias("found"), said.alias("verdict"), F.coalesce("b.workplace", F.lit("unknown")).alias("workplace"),
+        F.col("b.location").alias("location"), F.coalesce("b.source", "platform").alias("source"), F.col("b.url").alias("url"), F.coalesce("b.score", F.lit(0.0)).alias("confidence"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import study
 from tessera.operators import signals, vendors
-from tessera.sources import files, filings, live, panelworld, vendorworld
+from tessera.sources import files, filings, live, panelworld, postings, vendorworld
 
 
 def test_fetch_tries_again_and_gives_up():
@@ -135,3 +135,14 @@ def test_vendor_world_and_signals(spark, tmp_path):
     assert lv.where("level_method = 'none' and level_band <> 'no_data'").count() == 0
     assert vendors.acquisition_validation(lv, vendorworld.disclosures(p)).where("true_band is null").count() == 0
     assert vendorworld.titles(spark).count() == 150
+
+
+def test_roles_are_verified(spark):
+    job = lambda i, t, place="", kind=None: {"id": i, "text": t, "categories": {"location": place}, "workplaceType": kind}
+    payload = json.dumps([job("1", "Data Engineer", "Berlin", "remote"), job("2", "Data Engineer II", "Hybrid, Berlin"), job("3", "Chef", "Rome")])
+    boards = spark.createDataFrame([("Acme", "lever", "acme", payload), ("Void", "lever", "void", "[]")], "company string, platform string, token string, payload string")
+    roles = spark.createDataFrame([("Acme", "data engineer"), ("Acme", "Data Engineer II"), ("Acme", "chef"), ("Acme", "astronaut"), ("Void", "chef"), ("None", "chef")], "company string, title string")
+    got = {(r["company"], r["title"]): (r["verdict"], r["matched_title"], r["found"]) for r in postings.verified(roles, boards).collect()}
+    assert got["Acme", "data engineer"] == ("remote-eligible", "Data Engineer", True) and got["Acme", "Data Engineer II"] == ("hybrid", "Data Engineer II", True)
+    assert got["Acme", "chef"] == ("ambiguous", "Chef", True) and got["Acme", "astronaut"] == ("not-found", None, False)
+    assert got["Void", "chef"] == ("not-found", None, False) and got["None", "chef"] == ("unresolved", None, False)
