@@ -152,10 +152,14 @@ def _count_buckets(teams: int):
 
 
 def _teamed(did, th, at, teams: int, kind="<i4") -> pa.RecordBatch:
-    """Marks packed for each team of documents."""
-    team = (tokens.mix(did.view(np.uint64)) % np.uint64(teams)).astype(np.int64)
-    order = np.lexsort((at, th, did, team))
-    did, th, at, team = did[order], th[order], at[order], team[order]
+    """Marks packed for each team of documents, which the leading bits of a hash of a document name.
+
+    Marks of a document come in order of place from the one batch that holds it, so sorting by the hash alone is enough.
+    """
+    h = tokens.mix(did.view(np.uint64) ^ tokens.mix(th.view(np.uint64)))
+    order = tokens.packed(h)
+    did, th, at = did[order], th[order], at[order]
+    team = ((h[order] >> np.uint64(48)) * np.uint64(teams) >> np.uint64(16)).astype(np.int64)
     cut = common.starts_of(team)
     rows = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -203,10 +207,21 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind, unpack):
 
 
 def _found(schema, did, th, at) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((at, th, did))
-    did, th, at = did[order], th[order], at[order].astype("<i4")
+    """The sorted distinct marks of each document."""
+    order = tokens.exact(did.astype(np.uint64))
+    did, th, at = did[order], th[order], at[order]
     cut = common.starts_of(did, th)
-    rows = [(int(did[i]), int(th[i]), at[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    if len(cut) - 1 > len(common.starts_of(did)) - 1:  # versions that share an id
+        order = np.lexsort((th, did))
+        did, th, at = did[order], th[order], at[order]
+        cut = common.starts_of(did, th)
+    first = cut[:-1]
+    doc = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(cut))
+    both = np.sort(doc << np.uint64(32) | at.astype(np.uint64))  # places are below 2**32
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    edge = np.searchsorted(both, np.arange(len(first) + 1, dtype=np.uint64) << np.uint64(32))
+    at = (both & np.uint64(0xFFFFFFFF)).astype("<u4").astype("<i4")
+    rows = [(int(did[i]), int(th[i]), at[a:b].tobytes()) for i, a, b in zip(first, edge[:-1], edge[1:], strict=True)]
     for i in range(0, len(rows), 4096):
         yield _pack(schema, rows[i : i + 4096])
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common, substrings, tokens
 from .substrings import _pack
 
-WIDTH, NAME, GRAM = 50, 24, 36
+WIDTH, NAME, GRAM = 50, 24, 32
 #: One in so many chosen substrings also cuts pieces, so that equal content lies in pieces that begin alike.
 ANCHOR = 64
 #: Bytes of text that a task hashes at once, of a batch of pieces, and that a bucket of substrings stands for.
@@ -83,8 +83,8 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> t
     return doc, at - offsets[doc], tokens.mix(np.concatenate([np.zeros(0, np.uint64), *codes])[first])
 
 
-def _grams(own: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """A hash of every substring of so many bytes."""
+def _grams(own: np.ndarray, size: int = GRAM, mixed: bool = True) -> np.ndarray:
+    """A hash of every substring of so many bytes; to tell them apart it need not be mixed."""
     n = len(own)
     if n < size:
         return np.zeros(0, np.uint64)
@@ -96,7 +96,7 @@ def _grams(own: np.ndarray, size: int = GRAM) -> np.ndarray:
         np.cumsum(x, out=prefix[1:])
         x = prefix[size:] - prefix[:-size]
         x *= tokens.powers(pow(_STEP, -1, 2**64), n)[: len(x)]
-    return tokens.mix(x)
+    return tokens.mix(x) if mixed else x
 
 
 def _mark_batches(buckets: int, teams: int):
@@ -159,23 +159,38 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A piece overlaps the next by a byte less than a string, so that each string lies in one piece, by where it starts.
     """
     for batch in batches:
-        rows = []
         did_, th_, text_, starts_ = batch.columns
-        for did, th, raw, starts in zip(did_.to_pylist(), th_.to_pylist(), text_.cast(pa.large_binary()).to_pylist(), starts_.to_pylist(), strict=True):
+        found: list[list] = [[], [], [], []]  # key, number of the row, place, piece
+        for n, (raw, starts) in enumerate(zip(text_.cast(pa.large_binary()).to_pylist(), starts_.to_pylist(), strict=True)):
             data = np.frombuffer(raw, np.uint8)
-            at = np.unique(np.frombuffer(starts, "<i4")).astype(np.int64)
-            code = np.concatenate([_codes(data, p) for p in np.split(at, np.arange(8192, len(at), 8192))])
-            far = np.flatnonzero(np.diff(at) > 2 * WIDTH - GRAM) + 1
-            for own, codes in zip(np.split(at, far), np.split(code, far), strict=True):
-                a, b = max(0, int(own[0]) + GRAM - WIDTH), min(len(raw), int(own[-1]) + WIDTH)
-                anchor = np.flatnonzero(codes % np.uint64(ANCHOR) == 0)
-                cut = [a, *own[anchor].tolist(), b - WIDTH + 1]
-                keys = [codes.min(), *codes[anchor]]
-                for s, e, k in zip(cut[:-1], cut[1:], keys, strict=True):
-                    if e > s:
-                        rows.append((int(k >> np.uint64(1)), did, th, s, raw[s : e + WIDTH - 1]))
-        for i in range(0, len(rows), 1024):
-            yield _pack(_PIECES, rows[i : i + 1024])
+            at = np.frombuffer(starts, "<i4").astype(np.int64)
+            code = np.concatenate([_codes(data, p) for p in np.split(at, np.arange(8192, len(at), 8192))]) if len(at) > 8192 else _codes(data, at)
+            far = np.append(0, np.flatnonzero(np.diff(at) > 2 * WIDTH - GRAM) + 1)  # where a run of marks begins
+            run = np.zeros(len(at), np.int64)
+            run[far[1:]] = 1
+            run = np.cumsum(run)
+            begin = np.maximum(0, at[far] + GRAM - WIDTH)
+            end = np.minimum(len(raw), at[np.append(far[1:], len(at)) - 1] + WIDTH) - WIDTH + 1
+            anchor = np.flatnonzero(code % np.uint64(ANCHOR) == 0)
+            start = np.concatenate([begin, at[anchor]])
+            of = np.concatenate([np.arange(len(far)), run[anchor]])
+            key = np.concatenate([np.minimum.reduceat(code, far), code[anchor]])
+            order = np.lexsort((start, of))
+            start, of, key = start[order], of[order], key[order]
+            stop = np.where(np.append(of[1:] == of[:-1], False), np.append(start[1:], 0), end[of])
+            keep = stop > start
+            start, stop = start[keep].tolist(), stop[keep].tolist()
+            found[0].append(key[keep] >> np.uint64(1))
+            found[1].append(np.full(len(start), n))
+            found[2] += start
+            found[3] += [raw[a : b + WIDTH - 1] for a, b in zip(start, stop, strict=True)]
+        if not found[3]:
+            continue
+        row = pa.array(np.concatenate(found[1]))
+        columns = [pa.array(np.concatenate(found[0]).astype(np.int64)), did_.take(row), th_.take(row), pa.array(found[2], pa.int64()), pa.array(found[3], pa.binary())]
+        whole = pa.RecordBatch.from_arrays(columns, schema=_PIECES)
+        for i in range(0, whole.num_rows, 4096):
+            yield whole.slice(i, 4096)
 
 
 def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -233,9 +248,11 @@ class Batch:
 
 
 def _digest(keys: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(keys[0]), np.uint64)
+    """A hash of each row. Numbers are mixed one after the other: a plain sum of products would take strings that differ in
+    letters eight apart for equal."""
+    h = tokens.mix(keys[0])
     with np.errstate(over="ignore"):
-        for k in keys:
+        for k in keys[1:]:
             h = tokens.mix(h * np.uint64(0x9E3779B97F4A7C15) + k)
     return h
 
@@ -452,7 +469,7 @@ def _strings(b: Batch, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(b.left >= WIDTH)
     if not len(at):
         return at, at, at, at, at
-    h = _grams(b.data, WIDTH)[at]
+    h = _grams(b.data, WIDTH, False)[at]
     order, new, which = _groups(h)
     dids, rank = np.unique(b.did, return_inverse=True)  # of pieces, which are few
     low = np.minimum.reduceat(rank[b.piece[at[order]]], new)
@@ -559,14 +576,16 @@ def _repeats(ranges: np.ndarray):
                     late[s:e] = np.unpackbits(np.frombuffer(r["ranks"], np.uint8), count=e - s)
                 hit = late[string] | (b.did[b.piece[at]] > low[string])
                 at = at[hit]
+                if not len(at):
+                    continue
                 piece, start = b.piece[at], b.place[at] + b.off[b.piece[at]]
-                cut = common.starts_of(piece)
-                rows = []
-                for s, e in zip(cut[:-1], cut[1:], strict=True):
-                    spans = substrings.intervals(start[s:e], WIDTH)
-                    rows.append((int(b.did[piece[s]]), int(b.th[piece[s]]), np.array(spans, "<i8").tobytes()))
-                if rows:
-                    yield _pack(_RUNS, rows)
+                new = np.append(True, (piece[1:] != piece[:-1]) | (np.diff(start) > WIDTH))
+                first = np.flatnonzero(new)
+                spans = np.stack([start[first], start[np.append(first[1:], len(start)) - 1] + WIDTH], axis=1).astype("<i8")
+                cut = common.starts_of(piece[first])
+                own = piece[first[cut[:-1]]]
+                runs = [spans[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.did[own]), pa.array(b.th[own]), pa.array(runs, pa.binary())], schema=_RUNS)
 
     return run
 
@@ -585,8 +604,8 @@ def _answers(batches: DataFrame, replies: DataFrame, name: str) -> DataFrame:
     return batches.join(one, "bid", "left")
 
 
-def pieces(docs: DataFrame, size: int) -> DataFrame:
-    """What could repeat, as (bid, meta, data): about a megabyte of pieces a row."""
+def pieces(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """What could repeat, as (bid, size, meta, data): about a megabyte of pieces a row. ids: did, th, each pair once."""
     buckets = max(16, -(-size // BUCKET))
     teams = 16 * math.isqrt(buckets)
     marks = docs.mapInArrow(_mark_batches(buckets, teams), "bucket int, docs binary, marks binary, counts binary, codes binary")
@@ -594,7 +613,7 @@ def pieces(docs: DataFrame, size: int) -> DataFrame:
     marks = marks.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_mark_buckets(teams), "team int, docs binary, marks binary, counts binary")
     parts = min(teams, 50_000)
     marks = marks.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(substrings.gathered("<i8"), "did long, th long, starts binary")
-    heads = docs.groupBy("th").agg(F.min("did").alias("did"))
+    heads = ids.groupBy("th").agg(F.min("did").alias("did"))
     marks = common.durable(marks.join(heads, ["did", "th"], "left_semi"))
     common.release(docs.sparkSession)
     found = docs.join(marks, ["did", "th"]).select("did", "th", "text", "starts").mapInArrow(_cut_pieces, "key long, did long, th long, off long, piece binary")
@@ -668,15 +687,16 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     other columns are ignored.
     """
     d = docs.select("doc_id", common.row_id().alias("did"), F.xxhash64("text").alias("th"), "text")
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = pieces(d.select("did", "th", "text").where("text is not null"), size)
+    ids = common.durable(d.groupBy("did", "th").agg(F.sum(F.octet_length("text")).alias("size")))  # the only scan for ids and sizes
+    size = ids.agg(F.sum("size")).first()[0] or 0
+    batches = pieces(d.select("did", "th", "text").where("text is not null"), ids.select("did", "th"), size)
     common.release(docs.sparkSession)
     found = common.durable(repeats(batches, size).groupBy("did", "th").agg(F.collect_list("starts").alias("found")))
     del batches
     common.release(docs.sparkSession)
-    heads = d.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head")
-    # distinct before the join: what follows deals the rows anew, so that a text with many copies can be split
-    copies = d.select("did", "th").distinct().join(heads, "th").where("did > head").select("did", "th")
+    heads = ids.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head")
+    # what follows deals the rows anew, so that a text with many copies can be split
+    copies = ids.select("did", "th").join(heads, "th").where("did > head").select("did", "th")
     told = found.join(copies.withColumn("copy", F.lit(True)), ["did", "th"], "full")
     out = d.join(told, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
     return out.mapInArrow(_remove(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
