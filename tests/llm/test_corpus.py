@@ -193,6 +193,18 @@ def test_ranks_of_rows():
         assert suffixes.ranks(keys).tolist() == want
 
 
+def test_digests_tell_rows_apart():
+    """Also rows that differ only in the upper bytes of their numbers, as strings do that differ eight letters apart."""
+    r = np.random.default_rng(4)
+    keys = [r.integers(0, 4, 200_000).astype(np.uint64) * np.uint64(k) << np.uint64(56) | np.uint64(97) for k in (1, 3, 5)]
+    high = r.integers(0, 26, (3, 100_000)).astype(np.uint64) + np.uint64(97)
+    for of in (keys, [h << np.uint64(56) for h in high], [h << np.uint64(32) for h in high], list(high)):
+        rows = len(set(zip(*(k.tolist() for k in of), strict=True)))
+        assert len(np.unique(suffixes._digest(of))) == rows
+        first, place = suffixes._distinct(of)
+        assert rows <= len(first) <= rows + 2 and all((k[first][place] == k).all() for k in of)  # a group may come in two parts
+
+
 def test_minimizers_of_equal_strings_are_equal():
     from tessera.llm import tokens
 
