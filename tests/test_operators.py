@@ -28,7 +28,8 @@ def one(spark, column, **values):
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
-    d = "/root/testdata/sf0.001"
+    # the SQL of raked estimates does not join small cells, which the smallest tables have (test_panel.py covers them)
+    d = "/root/testdata/" + ("sf0.01" if name.startswith(("estimate_m", "rake_weights")) else "sf0.001")
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
