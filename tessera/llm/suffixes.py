@@ -694,8 +694,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     found = common.durable(repeats(batches, size).groupBy("did", "th").agg(F.collect_list("starts").alias("found")))
     del batches
     common.release(docs.sparkSession)
-    heads = ids.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head")
-    # what follows deals the rows anew, so that a text with many copies can be split
+    heads = common.durable(ids.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head"))
+    # no aggregate stands between the shuffles and this join, so a text with many copies can be split
     copies = ids.select("did", "th").join(heads, "th").where("did > head").select("did", "th")
     told = found.join(copies.withColumn("copy", F.lit(True)), ["did", "th"], "full")
     out = d.join(told, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
