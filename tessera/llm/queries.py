@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
+from . import decontamination, embeddings, licenses, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secrets": secrets.op10_secrets,
+    "op11_licenses": licenses.op11_licenses,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_substrings": substrings.SQL,
     "op8_mixing": mixing.SQL,
     "op9_url_filter": urlfilter.SQL,
+    "op11_licenses": licenses.SQL,
 }
