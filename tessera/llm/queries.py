@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, licenses, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
+from . import codes, decontamination, embeddings, licenses, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_secrets": secrets.op10_secrets,
     "op11_licenses": licenses.op11_licenses,
+    "op12_vector_codes": codes.op12_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
     "op9_url_filter": urlfilter.SQL,
     "op11_licenses": licenses.SQL,
+    "op12_vector_codes": codes.SQL,
 }
