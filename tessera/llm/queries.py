@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontamination, embeddings, licenses, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
+from . import codes, decontamination, embeddings, licenses, manifest, mixing, pii, secrets, simhash, substrings, suffixes, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_licenses": licenses.op11_licenses,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_url_filter": urlfilter.SQL,
     "op11_licenses": licenses.SQL,
     "op12_vector_codes": codes.SQL,
+    "op13_manifest": manifest.SQL,
 }
