@@ -93,7 +93,7 @@ def diagonals(docs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
     (did, key, text)."""
     t = templates.select("template", "label", "phrase", words(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
     t = t.withColumn("_k", F.least("n", F.lit(k)))
-    lengths = sorted(r[0] for r in t.select("_k").distinct().collect())  # k numbers at most
+    lengths = sorted(r[0] for r in t.select("_k").distinct().collect()) or [1]  # k numbers at most
     ws = [f"w{i}" for i in range(1, max(lengths, default=1) + 1)]
     own = grams(docs.select("did", "key", words(F.col("text")).alias("words")), lengths, "did", "key")
     held = grams(t, lengths, "template", "label", "phrase", "n", "_k").where("k = _k")
