@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from . import order
 from .windows import both_before, percentile_rank
 
 #: Rows in two periods from which a source is present, weights of sources, shrinkage of the lowest tier.
@@ -102,27 +106,66 @@ def sensitivity(df: DataFrame, by: Sequence[str], order: Sequence[str], threshol
     return g.agg(F.count_if((F.col("delta") >= F.col("threshold")) & (F.col("composite") >= FLOOR)).alias("n_accel"), F.count_if((F.col("delta") <= -F.col("threshold")) & (F.col("composite") <= CEILING)).alias("n_stall"))
 
 
+def _cell(value: Column, ratio: float) -> Column:
+    """Cells of a logarithmic scale so wide that two values within the ratio lie in one cell or in neighbouring ones."""
+    return F.floor(F.log(value) / (1.0001 * math.log(ratio)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, share: float, fits: Sequence[tuple[str, str, float, float]] = ()) -> DataFrame:
+    """(left, right, n, people): pairs of sets of which the right one has more than a share of its members in the left one.
+
+    left: left, member; right: right, member; both distinct, and with the numeric columns that fits names: (left column,
+    right column, low, high) admits pairs whose right value is low to high times the left one; values that are not positive fit
+    nothing. n: members shared, people: members of the right set.
+
+    A join by prefix: if a pair shares at least k of a right set's p members, it shares one of any p - k + 1 of them, so only
+    those that are rarest on the left are looked up, beside the cells of the values. A member that is in thousands of sets is
+    hardly ever looked up, and then in its cells only. What is found is counted exactly. Members are ranked by two passes, so
+    a set of any size is spread over tasks.
+    """
+    a, b = [f[0] for f in fits], [f[1] for f in fits]
+    positive = lambda df, cs: df.where(reduce(lambda x, y: x & y, (F.col(c) > 0 for c in cs), F.lit(True)))
+    left, right = positive(left, a), positive(right, b)
+    size = right.groupBy("right").agg(F.count("*").alias("people")).withColumn("_need", F.floor(F.col("people") * share) + 1)
+    common = left.groupBy("member").agg(F.count("*").alias("_common"))
+    ranked = right.join(common, "member", "left").select("right", F.struct(F.coalesce("_common", F.lit(0)).alias("common"), "member").alias("_at"), F.lit(1).cast("long").alias("_one"), *b)
+    ranked = order.sums_before(ranked, ["right"], "_at", "_one").where("_at.common > 0")
+    prefix = ranked.join(size, "right").where(F.col("before") <= F.col("people") - F.col("_need")).select("right", F.col("_at.member").alias("member"), *b)
+    on = ["member"]
+    for k, (x, y, low, high) in enumerate(fits):
+        wide = max(high, 1 / low)
+        left = left.withColumn(f"_c{k}", _cell(F.col(x), wide))
+        prefix = prefix.withColumn(f"_c{k}", F.explode(F.array(*[_cell(F.col(y), wide) + i for i in (-1, 0, 1)])))
+        on.append(f"_c{k}")
+    found = prefix.join(left, on)
+    for x, y, low, high in fits:
+        found = found.where((F.col(y) / F.col(x)).between(low, high))
+    pairs = found.select("left", "right").distinct()
+    shared = pairs.join(right.select("right", "member"), "right").join(left.select("left", "member"), ["left", "member"])
+    return shared.groupBy("left", "right").agg(F.count("*").alias("n")).join(size, "right").where("n >= _need").select("left", "right", "n", "people")
+
+
 def bridge(facts: DataFrame, known: DataFrame) -> DataFrame:
     """(descriptor, vendor, overlap, amount_ratio, cadence_ratio): unknown descriptors that take over from a fading vendor.
 
     facts: descriptor, panelist, day, amount; known: descriptor, vendor. A vendor fades when its last month holds at
     most seven tenths of the mean of its months before. Of several vendors that fit the first by id claims a name.
-    Pairs are counted per shared panelist, of whom each name has at most one row there: the sides are name lists.
+    Null names and panelists count for nothing.
     """
-    own = facts.join(known, "descriptor").withColumn("name", F.col("vendor"))
-    new = facts.join(known, "descriptor", "left_anti").withColumn("name", F.col("descriptor"))
+    facts = facts.where("descriptor is not null and panelist is not null").join(known, "descriptor", "left")
+    facts = durable(facts.select(F.coalesce("vendor", "descriptor").alias("name"), F.col("vendor").isNull().alias("new"), "panelist", "day", "amount"))
+    own, new = facts.where("not new"), facts.where("new")
     gap = F.datediff(F.max("day"), F.min("day")) / F.when(F.count("*") > 1, F.count("*") - 1)
-    stats = lambda df: df.groupBy("name").agg(F.median("amount").alias("mid"), gap.alias("cadence"), F.count_distinct("panelist").alias("people"))
+    stats = lambda df: order.quantiles(df, ["name"], "amount", {"mid": 0.5}).join(df.groupBy("name").agg(gap.alias("cadence")), "name")
     months = own.groupBy("name", F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("n")).groupBy("name")
     months = months.agg(F.max_by("n", "month").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
     fading = months.where((F.col("k") >= 2) & (F.col("last") <= FADE * (F.col("all") - F.col("last")) / (F.col("k") - 1))).select("name")
-    a = stats(own).join(fading, "name").where("cadence > 0").select(F.col("name").alias("vendor"), F.col("mid").alias("a_mid"), F.col("cadence").alias("a_cadence"))
-    b = stats(new).select(F.col("name").alias("descriptor"), F.col("mid").alias("b_mid"), F.col("cadence").alias("b_cadence"), "people")
-    # only fading vendors meet new names, so a panelist with many vendors does not multiply
-    left, right = own.join(fading, "name", "left_semi").select("vendor", "panelist").distinct(), new.select("descriptor", "panelist").distinct()
-    shared = left.join(right, "panelist").groupBy("vendor", "descriptor").agg(F.count("*").alias("n"))
-    x = shared.join(a, "vendor").join(b, "descriptor")
-    high = F.greatest("a_mid", "b_mid")
-    x = x.select("descriptor", "vendor", (F.col("n") / F.col("people")).alias("overlap"), F.when(high > 0, F.least("a_mid", "b_mid") / high).otherwise(0.0).alias("amount_ratio"), (F.col("b_cadence") / F.col("a_cadence")).alias("cadence_ratio"))
-    fit = x.where((F.col("overlap") > OVERLAP) & (F.col("amount_ratio") >= AMOUNT) & F.col("cadence_ratio").between(*CADENCE))
+    a = stats(own.join(fading, "name", "left_semi")).select("name", F.col("mid").alias("a_mid"), F.col("cadence").alias("a_cadence"))
+    b = stats(new).select("name", F.col("mid").alias("b_mid"), F.col("cadence").alias("b_cadence"))
+    side = lambda df, s, name: df.select("name", F.col("panelist").alias("member")).distinct().join(s, "name").withColumnRenamed("name", name)
+    left, right = side(own, a, "left"), side(new, b, "right")
+    pairs = overlapping(left, right, OVERLAP, [("a_mid", "b_mid", 0.999 * AMOUNT, 1.001 / AMOUNT), ("a_cadence", "b_cadence", *CADENCE)])
+    x = pairs.join(a, F.col("left") == a["name"]).drop("name").join(b, F.col("right") == b["name"]).drop("name")
+    x = x.select(F.col("right").alias("descriptor"), F.col("left").alias("vendor"), (F.col("n") / F.col("people")).alias("overlap"), (F.least("a_mid", "b_mid") / F.greatest("a_mid", "b_mid")).alias("amount_ratio"), (F.col("b_cadence") / F.col("a_cadence")).alias("cadence_ratio"))
+    fit = x.where((F.col("amount_ratio") >= AMOUNT) & F.col("cadence_ratio").between(*CADENCE))
     return fit.groupBy("descriptor").agg(F.min_by(F.struct("vendor", "overlap", "amount_ratio", "cadence_ratio"), "vendor").alias("m")).select("descriptor", "m.*")

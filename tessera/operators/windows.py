@@ -64,36 +64,6 @@ def both_ends(df: DataFrame, value: str, by: Sequence[str], tie: str, keep: int)
     return ranks.where((F.col("rank_high") <= keep) | (F.col("rank_low") <= keep))
 
 
-def sums_before(df: DataFrame, by: Sequence[str], value: str, weight: str, buckets: int = 256) -> DataFrame:
-    """df (a row a group and value) with before, the weight of smaller values, and all, the weight of the group.
-
-    A group of any size is spread over many tasks: its values fall into buckets at approximate quantiles, the buckets' sums
-    are accumulated (a few hundred rows a group), and only values of a bucket meet in a window.
-    """
-    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"), F.sum(weight).alias("all"))
-    x = df.join(cuts, list(by)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = x.groupBy(*by, "_b").agg(F.sum(weight).alias("_s"))
-    base = F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = x.join(sums.select(*by, "_b", base.alias("_base")), [*by, "_b"])
-    inside = F.coalesce(F.sum(weight).over(W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("before", F.col("_base") + inside).drop("_b", "_base")
-
-
-def weighted_median(df: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
-    """The smallest value at which half of a group's weight is reached. Weights of equal values are summed first."""
-    sums = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    x = sums_before(sums, by, value, "_w").where((F.col("before") + F.col("_w")) * 2 >= F.col("all"))
-    return x.groupBy(*by).agg(F.min(value).alias("weighted_median"))
-
-
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """df with the average rank of value in its group, for groups too large for one window; rows without a value go."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    r = sums_before(n, by, value, "_n").select(*by, value, (F.col("before") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(r, [*by, value])
-
-
 def dense(keys: DataFrame, periods: DataFrame) -> DataFrame:
     """Every key in every period; the periods are a calendar. Spark broadcasts the smaller side where its size allows."""
     return keys.crossJoin(periods)

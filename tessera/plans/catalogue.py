@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import measure, panel, quality, reconcile, resolve, windows
+from ..operators import measure, order, panel, quality, reconcile, resolve, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,7 +334,7 @@ def pct_rank_composite(s: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, 2 * sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= sum(w) OVER (PARTITION BY l_returnflag) AS half FROM s)
 SELECT l_returnflag, min(v) AS weighted_median FROM c WHERE half GROUP BY l_returnflag""")
 def weighted_median(s: SparkSession, d: str) -> DataFrame:
-    return windows.weighted_median(t(s, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
+    return order.weighted_median(t(s, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
 
 
 @query(f"""WITH o AS (SELECT c_mktsegment AS seg, {_Q} AS qi, {_M} AS rep FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -363,7 +363,7 @@ r AS (SELECT seg, rank() OVER (PARTITION BY seg ORDER BY a) + (count(*) OVER (PA
 SELECT seg, count(*)::BIGINT AS n, CASE WHEN count(*) >= 5 THEN round(corr(ra::DOUBLE, rb::DOUBLE), 6) END AS spearman FROM r GROUP BY seg""")
 def spearman_by_group(s: SparkSession, d: str) -> DataFrame:
     o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("seg"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
-    o = windows.average_ranks(windows.average_ranks(o, ["seg"], "a", "ra"), ["seg"], "b", "rb")
+    o = order.average_ranks(order.average_ranks(o, ["seg"], "a", "ra"), ["seg"], "b", "rb")
     return o.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman")).withColumn("spearman", F.when(F.col("n") >= 5, F.col("spearman")))
 
 

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from tessera.operators import resolve, windows
+from tessera.operators import order, resolve
 
 ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
 
@@ -79,8 +79,8 @@ def test_running_sums_of_large_groups(spark):
             if 2 * run >= total:
                 want[g] = v
                 break
-    assert {x["g"]: x["weighted_median"] for x in windows.weighted_median(df, "v", "w", ["g"]).collect()} == want
-    ranks = windows.average_ranks(df, ["g"], "v", "r").where("g = 'a'").collect()
+    assert {x["g"]: x["weighted_median"] for x in order.weighted_median(df, "v", "w", ["g"]).collect()} == want
+    ranks = order.average_ranks(df, ["g"], "v", "r").where("g = 'a'").collect()
     own = sorted(v for x, v, _ in rows if x == "a")
     for x in ranks[:300]:
         low = sum(v < x["v"] for v in own)
