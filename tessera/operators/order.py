@@ -62,28 +62,41 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: Sequence[str]) -
     return x.groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], since: str | None = None, last: int = 0) -> DataFrame:
     """A row a group with a column for each named share (0.5: the median), as doubles, linear between neighbouring values. Null
-    values count for nothing; a group without others has no row. by may be empty."""
+    values count for nothing; a group without others has no row. by may be empty.
+
+    With since, a column of whole numbers, there is a row for each group and horizon up to last, over the rows whose since is not
+    above it: a row enters once and never leaves. Rows are not copied for the horizons; only the sums of stretches are, and of
+    the rows those of a stretch that holds a wanted place of that horizon.
+    """
     every = [*by] or ["_every"]
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(F.col(value).isNotNull()).withColumn("_since", F.lit(0) if since is None else F.col(since).cast("int"))
     if not by:
         present = present.withColumn("_every", F.lit(0))
-    rows, sums = stretches(present.groupBy(*every, value).agg(F.count("*").alias("_n")), every, value, "_n")
+    counted = present.where(F.col("_since") <= last).groupBy(*every, value, "_since").agg(F.count("*").alias("_n"))
+    rows = durable(counted.repartitionByRange(*every, value).withColumn(_PART, F.spark_partition_id()))
+    entered = rows.groupBy(*every, _PART, "_since").agg(F.sum("_n").alias("_n"))
+    held = entered.select(*every, _PART, "_n", F.explode(F.sequence(F.greatest("_since", F.lit(0)), F.lit(last))).alias("_horizon")).groupBy(*every, "_horizon", _PART).agg(F.sum("_n").alias("_held"))
+    group = W.partitionBy(*every, "_horizon")
+    base = F.coalesce(F.sum("_held").over(group.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = held.select(*every, "_horizon", _PART, "_held", base.alias("_base"), F.sum("_held").over(group).alias("_all"))
     wanted = []
     for name, share in shares.items():
         at = F.lit(float(share)) * (F.col("_all") - 1)
         wanted += [F.struct(F.lit(name).alias("_name"), F.lit(k).alias("_end"), f(at).cast("long").alias("_place"), (at - F.floor(at)).alias("_share")) for k, f in enumerate((F.floor, F.ceil))]
-    want = sums.select(*every, _PART, "_base", "_held", F.inline(F.array(*wanted))).where((F.col("_place") >= F.col("_base")) & (F.col("_place") < F.col("_base") + F.col("_held")))
+    want = sums.select(*every, "_horizon", _PART, "_base", "_held", F.inline(F.array(*wanted))).where((F.col("_place") >= F.col("_base")) & (F.col("_place") < F.col("_base") + F.col("_held")))
     # the places of a stretch as one row, so that the stretch is read once whatever is asked of it
-    asked = want.groupBy(*every, _PART, "_base").agg(F.collect_list(F.struct("_name", "_end", "_place", "_share")).alias("_asked"))
-    x = _joined(rows, asked, [*every, _PART])
-    x = x.withColumn("_before", F.col("_base") + _inside(x, every, value, "_n"))
+    asked = want.groupBy(*every, _PART, "_horizon", "_base").agg(F.collect_list(F.struct("_name", "_end", "_place", "_share")).alias("_asked"))
+    x = _joined(rows, asked, [*every, _PART]).where(F.col("_since") <= F.col("_horizon"))
+    along = W.partitionBy(*every, _PART, "_horizon").orderBy(value, "_since").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(along), F.lit(0)))
     hit = F.filter("_asked", lambda a: (a["_place"] >= F.col("_before")) & (a["_place"] < F.col("_before") + F.col("_n")))
-    x = x.select(*every, F.col(value).cast("double").alias("_v"), F.inline(hit))
+    x = x.select(*every, "_horizon", F.col(value).cast("double").alias("_v"), F.inline(hit))
     low, high = F.max(F.when(F.col("_end") == 0, F.col("_v"))), F.max(F.when(F.col("_end") == 1, F.col("_v")))
-    each = x.groupBy(*every, "_name").agg(((1 - F.max("_share")) * low + F.max("_share") * high).alias("_q"))
-    return each.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in shares))
+    each = x.groupBy(*every, "_horizon", "_name").agg(((1 - F.max("_share")) * low + F.max("_share") * high).alias("_q"))
+    keys = [*by] if since is None else [*by, F.col("_horizon").alias("horizon")]
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in shares))
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..durable import durable
-from . import order
+from .order import quantiles, sums_before
 from .windows import both_before, percentile_rank
 
 #: Rows in two periods from which a source is present, weights of sources, shrinkage of the lowest tier.
@@ -129,7 +129,7 @@ def overlapping(left: DataFrame, right: DataFrame, share: float, fits: Sequence[
     size = right.groupBy("right").agg(F.count("*").alias("people")).withColumn("_need", F.floor(F.col("people") * share) + 1)
     common = left.groupBy("member").agg(F.count("*").alias("_common"))
     ranked = right.join(common, "member", "left").select("right", F.struct(F.coalesce("_common", F.lit(0)).alias("common"), "member").alias("_at"), F.lit(1).cast("long").alias("_one"), *b)
-    ranked = order.sums_before(ranked, ["right"], "_at", "_one").where("_at.common > 0")
+    ranked = sums_before(ranked, ["right"], "_at", "_one").where("_at.common > 0")
     prefix = ranked.join(size, "right").where(F.col("before") <= F.col("people") - F.col("_need")).select("right", F.col("_at.member").alias("member"), *b)
     on = ["member"]
     for k, (x, y, low, high) in enumerate(fits):
@@ -145,27 +145,47 @@ def overlapping(left: DataFrame, right: DataFrame, share: float, fits: Sequence[
     return shared.groupBy("left", "right").agg(F.count("*").alias("n")).join(size, "right").where("n >= _need").select("left", "right", "n", "people")
 
 
-def bridge(facts: DataFrame, known: DataFrame) -> DataFrame:
-    """(descriptor, vendor, overlap, amount_ratio, cadence_ratio): unknown descriptors that take over from a fading vendor.
+def bridges(facts: DataFrame, known: DataFrame, last: int) -> DataFrame:
+    """(horizon, descriptor, vendor, overlap, amount_ratio, cadence_ratio): at each horizon up to last the unknown descriptors that
+    take over from a fading vendor, by the facts known then.
+
+    facts: descriptor, panelist, day, amount, since (the horizon from which it is known); known: descriptor, vendor. A vendor
+    fades when its last month holds at most seven tenths of the mean of its months before. Of several vendors that fit the
+    first by id claims a name. Null names and panelists count for nothing.
 
-    facts: descriptor, panelist, day, amount; known: descriptor, vendor. A vendor fades when its last month holds at
-    most seven tenths of the mean of its months before. Of several vendors that fit the first by id claims a name.
-    Null names and panelists count for nothing.
+    Facts are read once. What a horizon adds to is state: rows and days by name, months by name, first sightings of
+    panelists; a fact enters at its own horizon and stays.
     """
     facts = facts.where("descriptor is not null and panelist is not null").join(known, "descriptor", "left")
-    facts = durable(facts.select(F.coalesce("vendor", "descriptor").alias("name"), F.col("vendor").isNull().alias("new"), "panelist", "day", "amount"))
+    facts = durable(facts.select(F.coalesce("vendor", "descriptor").alias("name"), F.col("vendor").isNull().alias("new"), "panelist", "day", "amount", F.col("since").cast("int").alias("since")).where(F.col("since") <= last))
     own, new = facts.where("not new"), facts.where("new")
-    gap = F.datediff(F.max("day"), F.min("day")) / F.when(F.count("*") > 1, F.count("*") - 1)
-    stats = lambda df: order.quantiles(df, ["name"], "amount", {"mid": 0.5}).join(df.groupBy("name").agg(gap.alias("cadence")), "name")
-    months = own.groupBy("name", F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("n")).groupBy("name")
-    months = months.agg(F.max_by("n", "month").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
-    fading = months.where((F.col("k") >= 2) & (F.col("last") <= FADE * (F.col("all") - F.col("last")) / (F.col("k") - 1))).select("name")
-    a = stats(own.join(fading, "name", "left_semi")).select("name", F.col("mid").alias("a_mid"), F.col("cadence").alias("a_cadence"))
-    b = stats(new).select("name", F.col("mid").alias("b_mid"), F.col("cadence").alias("b_cadence"))
-    side = lambda df, s, name: df.select("name", F.col("panelist").alias("member")).distinct().join(s, "name").withColumnRenamed("name", name)
+    onward = F.explode(F.sequence(F.greatest("since", F.lit(0)), F.lit(last))).alias("horizon")
+    key = ["horizon", "name"]
+
+    months = own.groupBy("name", F.trunc("day", "MM").alias("month"), "since").agg(F.count("*").alias("n")).select("name", "month", "n", onward)
+    months = months.groupBy(*key, "month").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.max_by("n", "month").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
+    fading = months.where((F.col("k") >= 2) & (F.col("last") <= FADE * (F.col("all") - F.col("last")) / (F.col("k") - 1))).select(*key)
+
+    def stats(df: DataFrame, p: str) -> DataFrame:
+        days = df.groupBy("name", "since").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("final")).select("name", "n", "first", "final", onward)
+        gap = F.datediff(F.max("final"), F.min("first")) / F.when(F.sum("n") > 1, F.sum("n") - 1)
+        mid = quantiles(df, ["name"], "amount", {f"{p}_mid": 0.5}, "since", last)
+        return mid.join(days.groupBy(*key).agg(gap.alias(f"{p}_cadence")), key)
+
+    def side(df: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        seen = df.groupBy("name", "panelist").agg(F.min("since").alias("since")).select("name", "panelist", onward).join(of, key)
+        return seen.withColumns({name: F.struct(*key), "member": F.struct("horizon", "panelist")}).drop(*key, "panelist")
+
+    a, b = stats(own.join(fading.select("name").distinct(), "name", "left_semi"), "a").join(fading, key, "left_semi"), stats(new, "b")
     left, right = side(own, a, "left"), side(new, b, "right")
     pairs = overlapping(left, right, OVERLAP, [("a_mid", "b_mid", 0.999 * AMOUNT, 1.001 / AMOUNT), ("a_cadence", "b_cadence", *CADENCE)])
-    x = pairs.join(a, F.col("left") == a["name"]).drop("name").join(b, F.col("right") == b["name"]).drop("name")
-    x = x.select(F.col("right").alias("descriptor"), F.col("left").alias("vendor"), (F.col("n") / F.col("people")).alias("overlap"), (F.least("a_mid", "b_mid") / F.greatest("a_mid", "b_mid")).alias("amount_ratio"), (F.col("b_cadence") / F.col("a_cadence")).alias("cadence_ratio"))
+    x = pairs.select("left.horizon", F.col("left.name").alias("vendor"), F.col("right.name").alias("descriptor"), (F.col("n") / F.col("people")).alias("overlap"))
+    x = x.join(a.withColumnRenamed("name", "vendor"), ["horizon", "vendor"]).join(b.withColumnRenamed("name", "descriptor"), ["horizon", "descriptor"])
+    x = x.withColumn("amount_ratio", F.least("a_mid", "b_mid") / F.greatest("a_mid", "b_mid")).withColumn("cadence_ratio", F.col("b_cadence") / F.col("a_cadence"))
     fit = x.where((F.col("amount_ratio") >= AMOUNT) & F.col("cadence_ratio").between(*CADENCE))
-    return fit.groupBy("descriptor").agg(F.min_by(F.struct("vendor", "overlap", "amount_ratio", "cadence_ratio"), "vendor").alias("m")).select("descriptor", "m.*")
+    return fit.groupBy("horizon", "descriptor").agg(F.min_by(F.struct("vendor", "overlap", "amount_ratio", "cadence_ratio"), "vendor").alias("m")).select("horizon", "descriptor", "m.*")
+
+
+def bridge(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """bridges() by all facts (descriptor, panelist, day, amount) at once, without a horizon."""
+    return bridges(facts.withColumn("since", F.lit(0)), known, 0).drop("horizon")

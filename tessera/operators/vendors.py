@@ -52,32 +52,33 @@ def jobs_features(postings: DataFrame, tracked: DataFrame, quarters: int, qa: bo
     return g.select("vendor", "quarter", F.lit(True).alias("jobs_tracked"), "jobs_raw", "jobs_n", signals.smooth_growth("jobs_n", ["vendor"], ["quarter"]).alias("jobs_growth"), signals.frozen("jobs_n", ["vendor"], ["quarter"]).alias("jobs_freeze"), mix.alias("mix"))
 
 
-def spend_features(spend: DataFrame, known: DataFrame, quarters: int, qa: bool = True) -> DataFrame:
+def spend_features(spend: DataFrame, known: DataFrame, quarters: int, qa: bool = True, first_year: int = 2022) -> DataFrame:
     """vendor, quarter, spend_amount, spend_count, spend_presence, spend_growth, cliff, each quarter by what was known at its
     own end: a month's rows come out on the first of the next, and names are bridged anew from them.
 
-    spend: descriptor, day, amount, panelist; known: descriptor, vendor. Quarters are a calendar: one plan for each.
+    spend: descriptor, day, amount, panelist; known: descriptor, vendor. Rows are added up by name, quarter and the quarter
+    that they come out in; a quarter's horizon asks for five of these sums, and bridged names carry their horizons, so that the
+    feed is read twice, once for each, whatever the number of quarters. A vendor has a row from the first horizon that knows of it within
+    five quarters.
     """
-    s = spend.withColumn("_out", F.add_months(F.trunc("day", "MM"), 1)).withColumn("quarter", quarter_of(F.col("day")))
-    parts = []
-    for q in range(quarters):
-        end = F.last_day(F.add_months(F.lit("2022-01-01").cast("date"), 3 * q + 2))
-        seen = s.where(F.col("_out") <= end)
-        names = known.select("descriptor", "vendor")
-        if qa and q >= 1:
-            names = names.unionByName(signals.bridge(seen.select("descriptor", "panelist", "day", "amount"), known).select("descriptor", "vendor"))
-        own = seen.join(names, "descriptor").where(F.col("quarter") >= q - 4)
-        of = lambda k: F.col("quarter") == q - k  # noqa: B023, E731
-        g = own.groupBy("vendor").agg(
-            F.sum(F.when(of(0), F.col("amount"))).alias("_now"), F.sum(F.when(of(1), F.col("amount"))).alias("_before"), F.count_if(of(0)).alias("spend_count"), F.count_if(of(0) | of(1)).alias("_two"),
-            *[F.count_if(of(k)).alias(f"_c{k}") for k in range(1, 5)],
-        )
-        back = min(q, 4)
-        mean = sum((F.col(f"_c{k}") for k in range(1, back + 1)), F.lit(0)) / max(1, back)
-        presence = signals.presence(F.col("_two"))
-        growth = F.when(presence == "present", C.log_growth(F.col("_now"), F.col("_before")))
-        parts.append(g.select("vendor", F.lit(q).alias("quarter"), F.coalesce("_now", F.lit(0.0)).alias("spend_amount"), "spend_count", presence.alias("spend_presence"), growth.alias("spend_growth"), ((mean > 0) & (F.col("spend_count") < 0.5 * mean)).alias("cliff")))
-    return reduce(DataFrame.unionByName, parts)
+    out = quarter_of(F.add_months(F.trunc("day", "MM"), 1), first_year)
+    s = spend.select("descriptor", "day", "amount", "panelist", out.alias("since"), quarter_of(F.col("day"), first_year).alias("_of"))
+    sums = s.groupBy("descriptor", "_of", "since").agg(F.sum("amount").alias("_a"), F.count("*").alias("_n"))
+    horizons = F.sequence(F.greatest("since", "_of", F.lit(0)), F.least(F.col("_of") + 4, F.lit(quarters - 1)))
+    sums = sums.where((F.greatest("since", "_of") <= F.col("_of") + 4) & (F.greatest("since", "_of") < quarters) & (F.col("_of") + 4 >= 0)).withColumn("quarter", F.explode(horizons))
+    own = sums.join(known.select("descriptor", "vendor"), "descriptor")
+    if qa:
+        found = signals.bridges(s, known, quarters - 1).where("horizon >= 1").select("descriptor", F.col("horizon").alias("quarter"), "vendor")
+        own = own.unionByName(sums.join(found, ["descriptor", "quarter"]).select(*own.columns))
+    back = F.col("quarter") - F.col("_of")
+    n = lambda *ks: F.coalesce(F.sum(F.when(back.isin(*ks), F.col("_n"))), F.lit(0))
+    g = own.groupBy("vendor", "quarter").agg(
+        F.sum(F.when(back == 0, F.col("_a"))).alias("_now"), F.sum(F.when(back == 1, F.col("_a"))).alias("_before"), n(0).alias("spend_count"), n(0, 1).alias("_two"), n(1, 2, 3, 4).alias("_past"),
+    )
+    mean = F.col("_past") / F.greatest(F.lit(1), F.least(F.lit(4), F.col("quarter")))
+    presence = signals.presence(F.col("_two"))
+    growth = F.when(presence == "present", C.log_growth(F.col("_now"), F.col("_before")))
+    return g.select("vendor", "quarter", F.coalesce("_now", F.lit(0.0)).alias("spend_amount"), "spend_count", presence.alias("spend_presence"), growth.alias("spend_growth"), ((mean > 0) & (F.col("spend_count") < 0.5 * mean)).alias("cliff"))
 
 
 def spikes(web: DataFrame, others: DataFrame | None, by: Sequence[str] = ("vendor",), month: str = "month", value: str = "visits") -> DataFrame:

@@ -143,3 +143,49 @@ def corroborated_spikes(s: SparkSession, d: str) -> DataFrame:
     others = s.range(1).select(F.lit("click").alias("vendor"), F.lit(4).alias("quarter"), F.lit(0.5).alias("moved"))
     x = V.spikes(e, others)
     return x.withColumn("corrected", quality.winsorized("visits", F.col("spike"), ["vendor"], ["month"]).cast("double"))
+
+
+_BRIDGED = f"""WITH RECURSIVE f AS MATERIALIZED (SELECT CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' AND p_name LIKE 'red %' AND l_linenumber <> 7 THEN p_name || ' new' ELSE p_name END AS descriptor, p_name, o_custkey % 200 AS panelist, o_orderdate::DATE AS day, o_totalprice AS amount
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+hz AS (SELECT range AS h, (DATE '1995-01-01' + INTERVAL (3 * range + 3) MONTH)::DATE - 1 AS e FROM range({{quarters}})),
+seen AS (SELECT h, f.*, (year(day) - 1995) * 4 + quarter(day) - 1 AS k FROM hz JOIN f ON (date_trunc('month', day) + INTERVAL 1 MONTH)::DATE <= e),
+own AS MATERIALIZED (SELECT * FROM seen WHERE descriptor NOT LIKE '% new'), nw AS MATERIALIZED (SELECT * FROM seen WHERE descriptor LIKE '% new'),
+mon AS (SELECT h, p_name, date_trunc('month', day) AS m, count(*) AS n FROM own GROUP BY ALL), fade AS (SELECT h, p_name, arg_max(n, m) AS l, sum(n) AS t, count(*) AS k FROM mon GROUP BY ALL),
+a AS (SELECT h, p_name AS vendor, median(amount) AS mid, date_diff('day', min(day), max(day))::DOUBLE / nullif(count(*) - 1, 0) AS cad FROM own GROUP BY ALL), b AS (SELECT h, descriptor, median(amount) AS mid, date_diff('day', min(day), max(day))::DOUBLE / nullif(count(*) - 1, 0) AS cad, count(DISTINCT panelist) AS people FROM nw GROUP BY ALL),
+s AS (SELECT h, x.vendor, y.descriptor, count(*) AS n FROM (SELECT DISTINCT h, p_name AS vendor, panelist FROM own) x JOIN (SELECT DISTINCT h, descriptor, panelist FROM nw) y USING (h, panelist) GROUP BY ALL),
+j AS (SELECT s.h, s.descriptor, s.vendor FROM s JOIN a USING (h, vendor) JOIN b USING (h, descriptor) JOIN fade ON fade.p_name = s.vendor AND fade.h = s.h WHERE k >= 2 AND l <= 0.7 * (t - l) / (k - 1) AND n::DOUBLE / people > 0.5 AND least(a.mid, b.mid) / greatest(a.mid, b.mid) >= 0.6 AND b.cad / a.cad BETWEEN 0.8 AND 1.25),
+nm AS (SELECT h, descriptor, min(vendor) AS vendor FROM j WHERE h >= 1 GROUP BY ALL UNION ALL SELECT DISTINCT h, p_name, p_name FROM hz, f),
+g AS (SELECT h, vendor, coalesce(sum(amount) FILTER (k = h), 0) AS amt, sum(amount) FILTER (k = h - 1) AS bef, count(*) FILTER (k = h) AS n0, count(*) FILTER (k >= h - 1) AS two, count(*) FILTER (k < h) AS past FROM seen JOIN nm USING (h, descriptor) WHERE k >= h - 4 GROUP BY ALL)"""
+
+
+@query(_BRIDGED.format(quarters=27) + """ SELECT vendor, h::INTEGER AS quarter, round(amt, 2) AS spend_amount, n0 AS spend_count, CASE WHEN two >= 8 THEN 'present' WHEN two > 0 THEN 'thin' ELSE 'absent' END AS spend_presence,
+ round(CASE WHEN two >= 8 AND amt > 0 AND bef > 0 THEN ln(amt / bef) END, 8) AS spend_growth, past > 0 AND n0 < 0.5 * past / greatest(1, least(4, h)) AS cliff FROM g""")
+def spend_features(s: SparkSession, d: str) -> DataFrame:
+    """Part names as descriptors, of which those of one colour are renamed for most lines from 2000 on; each quarter bridges
+    and counts by what was known at its own end."""
+    p = t(s, d, "part").select("p_partkey", "p_name")
+    x = t(s, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    renamed = (F.col("o_orderdate") >= "2000-01-01") & F.col("p_name").startswith("red ") & (F.col("l_linenumber") != 7)
+    feed = x.select(F.when(renamed, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")).alias("descriptor"), (F.col("o_custkey") % 200).alias("panelist"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("amount"))
+    out = V.spend_features(feed, p.select(F.col("p_name").alias("descriptor"), F.col("p_name").alias("vendor")).distinct(), 27, first_year=1995)
+    return out.withColumn("spend_amount", F.round("spend_amount", 2)).withColumn("spend_growth", F.round("spend_growth", 8))
+
+
+@query("""WITH e AS (SELECT 'v' || (user_id % 20)::VARCHAR AS vendor, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS month, count(*)::BIGINT AS visits FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+v AS (SELECT vendor, month, CASE WHEN month = 12 AND vendor IN ('v1', 'v2', 'v3') THEN visits * 40 ELSE visits END AS visits FROM e), r AS (SELECT *, ln(greatest(visits, 1)::DOUBLE) - ln(greatest(lag(visits) OVER (PARTITION BY vendor ORDER BY month), 1)::DOUBLE) AS ret FROM v),
+z AS (SELECT *, count(ret) OVER w = 6 AND (ret - avg(ret) OVER w) / greatest(stddev_pop(ret) OVER w, 0.1) > 4 AS hit FROM r WINDOW w AS (PARTITION BY vendor ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+o AS (SELECT 'v2' AS vendor, 4 AS quarter, 0.5 AS g), s AS (SELECT z.vendor, z.month, visits, coalesce(hit, false) AND abs(coalesce(g, 0)) < 0.35 AS spike FROM z LEFT JOIN o ON o.vendor = z.vendor AND o.quarter = z.month // 3),
+m AS (SELECT *, median(visits) OVER (PARTITION BY vendor ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS med FROM s),
+c AS (SELECT vendor, month // 3 AS quarter, CASE WHEN spike THEN coalesce(med, visits::DOUBLE) ELSE visits::DOUBLE END AS x FROM m),
+q AS (SELECT vendor, quarter, sum(x) AS web_visits, count(*) AS web_months, avg(ln(greatest(x, 1.0))) AS l FROM c GROUP BY ALL),
+g AS (SELECT k.vendor, n.range::INTEGER AS quarter, web_visits, web_months, l FROM (SELECT DISTINCT vendor FROM e UNION ALL SELECT 'unseen') k CROSS JOIN range(10) n LEFT JOIN q ON q.vendor = k.vendor AND q.quarter = n.range)
+SELECT vendor, quarter, round(coalesce(web_visits, 0.0), 4) AS web_visits, coalesce(web_months, 0)::BIGINT AS web_months, round(l - lag(l) OVER (PARTITION BY vendor ORDER BY quarter), 8) AS web_growth FROM g""")
+def web_features(s: SparkSession, d: str) -> DataFrame:
+    """Days as months, groups of users as vendors, of whom three are visited by robots on day 12 and one moved elsewhere too; a
+    covered vendor without traffic has its rows."""
+    e = t(s, d, "events").where("user_id is not null").select(F.concat(F.lit("v"), (F.col("user_id") % 20).cast("string")).alias("vendor"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("month"))
+    e = e.groupBy("vendor", "month").agg(F.count("*").alias("visits"))
+    e = e.withColumn("visits", F.when((F.col("month") == 12) & F.col("vendor").isin("v1", "v2", "v3"), F.col("visits") * 40).otherwise(F.col("visits")))
+    others = s.range(1).select(F.lit("v2").alias("vendor"), F.lit(4).alias("quarter"), F.lit(0.5).alias("moved"))
+    out = V.web_features(e, others, e.select("vendor").union(s.range(1).select(F.lit("unseen"))), 10)
+    return out.withColumn("web_visits", F.round("web_visits", 4)).withColumn("web_growth", F.round("web_growth", 8))
