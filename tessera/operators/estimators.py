@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
 from . import panel as P
 
 #: The methods, the indicators, the largest share that an outage may have hidden.
@@ -203,30 +204,63 @@ def estimate_table(p: Panel, first_scored: int, intervals: DataFrame | None = No
 # --- bootstrap of panelists
 
 
-def _draws(panelists: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts of each panelist in each replicate, by a hash: equal in every task and on every retry."""
-    with np.errstate(over="ignore"):
-        x = panelists.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, replicates + 1, dtype=np.uint64)[None] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed)
-        for k in (30, 27):
-            x = (x ^ (x >> np.uint64(k))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-    u = (x >> np.uint64(11)).astype(np.float64) / 2**53
-    steps = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 12)])))
-    return np.searchsorted(steps, u).astype(np.float64)
+#: Panelists of a leaf of the tree of draws.
+LEAF = 64
 
 
-def _replicate_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """keys and, for each value, an array of its sums over panelists by replicate. Tasks sum before anything travels: a
-    row for each key and task, whatever the number of panelists."""
+def _random(seed: int, low: int, high: int) -> np.random.Generator:
+    """The generator of a node: the same in every task and on every retry."""
+    return np.random.Generator(np.random.Philox(key=np.array([(seed << 40) + low, high], np.uint64)))
+
+
+def draws(places: np.ndarray, panel: int, replicates: int, seed: int) -> np.ndarray:
+    """How often the panelists at some distinct places (from 0) are drawn in each replicate of panel draws with replacement: the counts
+    of all places are multinomial and add up to the panel's size.
+
+    A tree halves the panel: of a node's draws a binomial number, by the node's own generator, goes to its left half, until
+    a leaf's draws fall on its panelists evenly. Only nodes above the asked places are drawn, so tasks agree without
+    talking to each other.
+    """
+    out = np.zeros((len(places), replicates))
+    leaves, leaf_of = np.unique(places // LEAF, return_inverse=True)
+    nodes = [(0, -(-panel // LEAF), np.full(replicates, panel, np.int64), 0, len(leaves))]  # leaves low to high, draws, which of leaves are asked
+    while nodes:
+        low, high, n, first, last = nodes.pop()
+        if first == last:
+            continue
+        size = min(high * LEAF, panel) - low * LEAF
+        if high - low == 1:
+            slots = _random(seed, low, high).integers(0, size, n.sum())
+            counts = np.bincount(np.repeat(np.arange(replicates), n) * size + slots, minlength=replicates * size).reshape(replicates, size)
+            own = np.flatnonzero(leaf_of == first)
+            out[own] = counts[:, places[own] - low * LEAF].T
+            continue
+        mid = (low + high) // 2
+        left = _random(seed, low, high).binomial(n, (mid - low) * LEAF / size)
+        at = first + int(np.searchsorted(leaves[first:last], mid))
+        nodes += [(low, mid, left, first, at), (mid, high, n - left, at, last)]
+    return out
+
+
+def placed(panelists: DataFrame) -> tuple[DataFrame, int]:
+    """(panelist, place) of the distinct panelists in their order, and their number."""
+    one = panelists.where("panelist is not null").groupBy("panelist").agg(F.lit(1).cast("long").alias("_one"))
+    places = order.sums_before(one, [], "panelist", "_one").select("panelist", F.col("before").alias("place"), "all")
+    return places.drop("all"), places.agg(F.max("all")).first()[0] or 0
+
+
+def _replicate_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], panel: tuple[DataFrame, int], replicates: int, seed: int) -> DataFrame:
+    """keys, b and, for each value, its sum over panelists in replicate b. Rows are dealt by the places of their panelists, so that a task
+    draws for a stretch of the panel; tasks sum before anything travels: a row for each key and task."""
+    places, size = panel
 
     def part(frames):
         held: dict[tuple, np.ndarray] = {}
         for pdf in frames:
-            who, at = np.unique(pdf["panelist"].to_numpy(), return_inverse=True)
             for a in range(0, len(pdf), 8192):
                 own = pdf.iloc[a : a + 8192]
-                rows, where = np.unique(at[a : a + 8192], return_inverse=True)
-                n = _draws(who[rows], replicates, seed)[where]
+                rows, where = np.unique(own["place"].to_numpy(), return_inverse=True)
+                n = draws(rows, size, replicates, seed)[where]
                 x = own[list(values)].to_numpy(float)
                 for key, rows_of in own.groupby(list(keys)).indices.items():
                     s = x[rows_of].T @ n[rows_of]
@@ -236,7 +270,8 @@ def _replicate_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], r
 
     kinds = dict(df.dtypes)
     own = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    rows = df.select("panelist", *keys, *values).mapInPandas(part, f"{own}, " + ", ".join(f"{v} array<double>" for v in values))
+    near = df.select("panelist", *keys, *values).join(places, "panelist").drop("panelist").repartitionByRange("place", *keys).sortWithinPartitions("place")
+    rows = near.mapInPandas(part, f"{own}, " + ", ".join(f"{v} array<double>" for v in values))
     flat = rows.select(*keys, F.posexplode(F.arrays_zip(*values)).alias("b", "x")).groupBy(*keys, "b")
     return flat.agg(*[F.sum(F.col("x")[v]).alias(v) for v in values])
 
@@ -249,25 +284,25 @@ def bootstrap(p: Panel, replicates: int = 400, low: float = 0.05, high: float =
     """
     fixed = p.txns if p.corrected is None else p.corrected
     cell = ["age", "income", "region"]
-    of = p.panelists.select("panelist", *cell)
-    first = _replicate_sums(p.panelists.where("joined = 1").select("panelist", F.lit(1).alias("one"), F.lit(1.0).alias("n")), ["one"], ["n"], replicates, seed)
+    panel = placed(p.panelists)
+    first = _replicate_sums(p.panelists.where("joined = 1").select("panelist", F.lit(1).alias("one"), F.lit(1.0).alias("n")), ["one"], ["n"], panel, replicates, seed)
     pop = p.margins.where("margin = 'region'").agg(F.sum("population").alias("all"))
     scale = first.crossJoin(pop).select("b", (F.col("all") / F.col("n")).alias("weight"))
     out = []
     for raw in (True, False):
         txns = p.txns if raw else fixed
         who = active(p, txns)
-        counts = _replicate_sums(who.withColumn("n", F.lit(1.0)), ["quarter", *cell], ["n"], replicates, seed)
+        counts = _replicate_sums(who.withColumn("n", F.lit(1.0)), ["quarter", *cell], ["n"], panel, replicates, seed)
         weight = P.rake(counts, p.margins, ["b", "quarter"], p.tolerance).drop("n")
         i = indicators(p, txns, not raw).select("panelist", "company", "quarter", "rev", F.col("act").cast("double").alias("act"))
         if raw:
-            s = _replicate_sums(i, ["company", "quarter"], ["rev", "act"], replicates, seed)
+            s = _replicate_sums(i, ["company", "quarter"], ["rev", "act"], panel, replicates, seed)
             out.append(s.join(scale, "b").select(F.lit("m1").alias("method"), "b", "company", "quarter", (F.col("rev") * F.col("weight")).alias("revenue"), (F.col("act") * F.col("weight")).alias("actives")))
-        s = _replicate_sums(i.join(who, ["panelist", "quarter"]), ["company", "quarter", *cell], ["rev", "act"], replicates, seed)
+        s = _replicate_sums(i.join(who, ["panelist", "quarter"]), ["company", "quarter", *cell], ["rev", "act"], panel, replicates, seed)
         s = s.join(weight, ["b", "quarter", *cell]).groupBy("b", "company", "quarter").agg(*[F.sum(F.col(c) * F.col("weight")).alias(n) for c, n in (("rev", "revenue"), ("act", "actives"))])
         s = grid(p).crossJoin(p.companies.sparkSession.range(replicates).select(F.col("id").cast("int").alias("b"))).join(s, ["b", "company", "quarter"], "left").fillna(0.0, ["revenue", "actives"])
         if not raw and p.outages is not None:
-            s = s.join(_replicate_hidden(p, txns, of, weight, replicates, seed), ["b", "company", "quarter"], "left").withColumn("revenue", F.col("revenue") + F.coalesce("hidden", F.lit(0.0)))
+            s = s.join(_replicate_hidden(p, txns, weight, panel, replicates, seed), ["b", "company", "quarter"], "left").withColumn("revenue", F.col("revenue") + F.coalesce("hidden", F.lit(0.0)))
         s = s.select(F.lit("m2" if raw else "m3").alias("method"), "b", "company", "quarter", "revenue", "actives")
         out.append(s)
     r = p.reported.select("company", "quarter", F.col("revenue").alias("rep_rev"), F.col("actives").alias("rep_act"))
@@ -279,7 +314,7 @@ def bootstrap(p: Panel, replicates: int = 400, low: float = 0.05, high: float =
     return every.groupBy("method", "company", "quarter", "kpi").agg(F.percentile("x", low).alias("ci_low"), F.percentile("x", high).alias("ci_high"))
 
 
-def _replicate_hidden(p: Panel, txns: DataFrame, of: DataFrame, weight: DataFrame, replicates: int, seed: int) -> DataFrame:
+def _replicate_hidden(p: Panel, txns: DataFrame, weight: DataFrame, panel: tuple[DataFrame, int], replicates: int, seed: int) -> DataFrame:
     cell = ["age", "income", "region"]
     o = p.outages.select(F.monotonically_increasing_id().alias("_w"), F.col("instrument").alias("_i"), "start", "end", "quarter")
     t = txns.where("company is not null").join(F.broadcast(o), (F.col("day") >= F.add_months(F.trunc("start", "MM"), -2)) & (F.col("day") <= F.col("end")))
@@ -287,7 +322,7 @@ def _replicate_hidden(p: Panel, txns: DataFrame, of: DataFrame, weight: DataFram
     amount = lambda c: F.when(c, F.col("amount")).otherwise(0).cast("double")
     t = t.select("panelist", "_w", "quarter", "company", amount(~early).alias("win"), amount(early).alias("all"), amount(early & (F.col("instrument") == F.col("_i"))).alias("slice"))
     t = t.join(active(p, txns), ["panelist", "quarter"])
-    s = _replicate_sums(t, ["_w", "quarter", "company", *cell], ["win", "all", "slice"], replicates, seed).join(weight, ["b", "quarter", *cell])
+    s = _replicate_sums(t, ["_w", "quarter", "company", *cell], ["win", "all", "slice"], panel, replicates, seed).join(weight, ["b", "quarter", *cell])
     s = s.groupBy("b", "_w", "quarter", "company").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("win", "all", "slice")])
     share = F.least(F.greatest(F.when(F.col("all") > 0, F.col("slice") / F.col("all")).otherwise(0.0), F.lit(0.0)), F.lit(MOST_HIDDEN))
     return s.groupBy("b", "company", "quarter").agg(F.sum(F.col("win") * share / (1 - share)).alias("hidden"))

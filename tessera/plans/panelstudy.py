@@ -155,9 +155,9 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def estimate_table(s: SparkSession, d: str) -> DataFrame:
-    """All estimates with intervals from 40 replicates (the full number is that of bootstrap_ci)."""
+    """All estimates, with intervals of revenue and actives from 400 resampled panels."""
     p = study(s, d)
-    return E.estimate_table(p, SCORED, E.bootstrap(p, replicates=40))
+    return E.estimate_table(p, SCORED, E.bootstrap(p))
 
 
 def truth(p: E.Panel) -> DataFrame:

@@ -106,8 +106,12 @@ def test_ladder_and_its_call(spark):
 
 
 def test_bootstrap_draws_and_intervals(spark):
-    n = estimators._draws(np.arange(2000), 50, 7)
-    assert abs(n.mean() - 1) < 0.02 and abs(n.var() - 1) < 0.03 and (n == estimators._draws(np.arange(2000), 50, 7)).all()
+    for size in (1, 2, 63, 64, 65, 2000):
+        n = estimators.draws(np.arange(size), size, 50, 7)
+        assert (n.sum(0) == size).all() and (n >= 0).all()  # multinomial: every replicate is a whole panel
+        some = np.array(sorted({0, size // 3, size - 1}))
+        assert (estimators.draws(some, size, 50, 7) == n[some]).all()  # whatever part of the panel a task holds
+    assert abs(n.var() - 1) < 0.03 and (n != estimators.draws(np.arange(2000), 2000, 50, 8)).any()
     p = small(spark)
     many = spark.range(60).select((estimators.F.col("id") * 10).alias("k"))
     p.txns = p.txns.crossJoin(many).withColumn("panelist", estimators.F.col("panelist") + estimators.F.col("k")).drop("k")
@@ -119,6 +123,19 @@ def test_bootstrap_draws_and_intervals(spark):
             assert low <= r["revenue"] * 1.001 and high >= r["revenue"] * 0.999 and (r["revenue"] == 0 or high < 2 * r["revenue"])
 
 
+def test_replicates_add_up_to_the_panel(spark):
+    """Whatever the partitions, in every of 400 replicates the draws of all panelists sum to their number."""
+    who = spark.range(700).selectExpr("id * 31 AS panelist", "id % 3 AS g", "1.0D AS n")
+    panel = estimators.placed(who.union(who))
+    assert panel[1] == 700 and sorted(r["place"] for r in panel[0].collect()) == list(range(700))
+    got = []
+    for parts in (1, 7):
+        sums = estimators._replicate_sums(who.repartition(parts), ["g"], ["n"], panel, 400, 7)
+        assert [r[0] for r in sums.groupBy("b").agg(estimators.F.sum("n")).select("sum(n)").distinct().collect()] == [700.0] and sums.select("b").distinct().count() == 400
+        got.append(sorted(map(tuple, sums.collect())))
+    assert got[0] == got[1]
+
+
 def test_validated_join_and_scorecard(spark):
     e = spark.createDataFrame([("m1", "a", 0, "revenue", 110.0, 90.0, 120.0, True), ("m1", "a", 1, "revenue", 80.0, 90.0, 95.0, True), ("m1", "a", 2, "revenue", 1.0, 0.0, 1.0, False)], "method string, company string, quarter int, kpi string, estimate double, ci_low double, ci_high double, scored boolean")
     t = spark.createDataFrame([("a", 0, "revenue", 100.0), ("a", 1, "revenue", 100.0)], "company string, quarter int, kpi string, truth double")
