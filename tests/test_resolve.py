@@ -59,11 +59,57 @@ def test_tail_tags_equal_plain_rules(spark):
         assert got[c]["vendor_guess"] == (vendor if -s >= 0.6 else "") and (-s < 0.6 or got[c]["category_guess"] == category)
 
 
-def test_long_alias_lists_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(resolve, "DICTIONARY", 1)
-    v = spark.createDataFrame([("a", "AAAA"), ("b", "BBBB")], "vendor string, alias string")
-    with pytest.raises(ValueError):
-        resolve.resolve(spark.createDataFrame([("QQQ",)], "core string"), v).collect()
+def test_shared_grams_follow_from_the_ratio():
+    """Whatever two strings: a ratio implies the letters and grams that least_shared() asks for."""
+    r = random.Random(7)
+    for _ in range(4000):
+        a = "".join(r.choice("ABC ") for _ in range(r.randint(1, 14)))
+        b = "".join(r.choice((c, c, c, r.choice("ABC "), "")) for c in a) or "A"
+        s = ratio(a, b)
+        for t in (0.6, 0.8, 0.95):
+            if s >= t:
+                matched, grams = resolve.least_shared(len(a) + len(b), t)
+                step = lambda x, g: {(x[i], x[i + 1 + d], i, d) for d in range(g + 1) for i in range(len(x) - 1 - d)}
+                own, other = step(a, resolve.GAP), step(b, resolve.GAP)
+                near = {i for x, y, i, d in own for u, v, j, e in other if (x, y) == (u, v) and d + e <= resolve.GAP and i - j <= len(a) - matched and j - i <= len(b) - matched}
+                assert s * (len(a) + len(b)) / 2 >= matched - 1e-9 and len(near) >= grams, (a, b, t)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_similar_equals_all_pairs(spark, threshold):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("ABCDE") for _ in range(r.randint(1, n)))
+    names = sorted({word(k) for k in (1, 2, 3, 5, 9, 14) for _ in range(25)})
+    cores = sorted({word(k) for k in (1, 2, 4, 12) for _ in range(10)} | {"".join(r.choice((c, c, r.choice("ABCDE"))) for c in r.choice(names)) for _ in range(40)} | {"Ü", "ÜÜ"})
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(x["core"], x["alias"]): x["s"] for x in resolve.similar(frame(cores, "core"), frame(names, "alias"), threshold).collect()}
+    assert got == {(c, a): ratio(c, a) for c in cores for a in names if ratio(c, a) >= threshold} and len(got) > 20
+
+
+def test_two_hundred_thousand_aliases(spark):
+    """Any number of aliases: planted misspellings and novel names have the best of all, by comparing with each."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    hexed = F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 14), "0123456789abcdef", "ABCDEFGHIJKLMNOP")
+    names = spark.range(n).select(F.concat(F.lit("v"), "id").alias("vendor"), hexed.alias("alias"), F.lit("c").alias("category"))
+    some = [x["alias"] for x in names.where("id % 40000 = 7").collect()]
+    cores = [x[:4] + "Z" + x[5:] for x in some] + [x[1:] + "Q" for x in some] + ["ZZQZYX", "ABABABABABAB"]
+    plan = resolve.nearest(spark.createDataFrame([(c,) for c in cores], "core string"), names)
+    text = plan._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    got = {x["core"]: (x["s"], x["vendor"]) for x in plan.collect()}
+    every = [(x["alias"], x["vendor"]) for x in names.collect()]
+    matcher = SequenceMatcher(autojunk=True)
+    for c in cores:
+        best = (0.0, "v0")
+        for a, v in every:
+            matcher.set_seqs(c, a)
+            if matcher.real_quick_ratio() >= best[0] and matcher.quick_ratio() >= best[0]:
+                s = matcher.ratio()
+                if s > best[0] or s == best[0] and v < best[1]:
+                    best = (s, v)
+        assert got[c] == best, c
 
 
 def test_running_sums_of_large_groups(spark):
