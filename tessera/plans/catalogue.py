@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import measure, order, panel, quality, reconcile, resolve, windows
+from ..operators import measure, order, panel, quality, reconcile, resolve, sparse, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,9 +211,14 @@ def winsorized_events(s: SparkSession, d: str) -> DataFrame:
     return x.withColumn("corrected", quality.winsorized("n", F.col("flag"), by, order).cast("double"))
 
 
+def seen_days(s: SparkSession, d: str) -> DataFrame:
+    """Users on the days on which they have events."""
+    return t(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
 def user_days(s: SparkSession, d: str) -> DataFrame:
     """Every user on every day of the stream, with the events of the day."""
-    e = t(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    e = seen_days(s, d)
     span = e.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     return windows.dense(e.select("user_id").distinct(), span).join(e, ["user_id", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -232,7 +237,8 @@ def coverage_cliff(s: SparkSession, d: str) -> DataFrame:
 i AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM z WHERE n = 0)
 SELECT user_id, min(day) AS first, max(day) AS last, count(*)::BIGINT AS length FROM i GROUP BY user_id, run HAVING count(*) >= 2""")
 def gaps_islands(s: SparkSession, d: str) -> DataFrame:
-    return windows.islands(user_days(s, d).withColumn("_zero", F.col("n") == 0), "_zero", ["user_id"], "day").where("length >= 2")
+    e = seen_days(s, d)
+    return sparse.gaps(e, ["user_id"], sparse.calendar(e), least=2)
 
 
 @query(f"""WITH {_UD}, f AS (SELECT *, n > 0 OR (coalesce(lag(n > 0) OVER w, false) AND coalesce(lead(n > 0) OVER w, false)) AS filled FROM g WINDOW w AS (PARTITION BY user_id ORDER BY day))
@@ -256,7 +262,10 @@ def trailing_active(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_UD}, m AS (SELECT *, n - avg(n) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS delta FROM g)
 SELECT user_id, min(day) FILTER (WHERE delta >= 2) AS first_rise, min(day) FILTER (WHERE delta <= -2) AS first_fall FROM m GROUP BY user_id""")
 def lead_lag_first_cross(s: SparkSession, d: str) -> DataFrame:
-    x = user_days(s, d).withColumn("delta", F.col("n") - windows.trailing(F.avg("n"), ["user_id"], ["day"], 2))
+    """A rise or fall against the mean of the two days before can only stand on a day with events or on the two after it."""
+    e = seen_days(s, d)
+    x = sparse.touched(e, ["user_id"], "n", sparse.calendar(e), 2)
+    x = x.withColumn("delta", F.col("n") - sparse.before("n", ["user_id"], 2) / F.when(F.col("_age") > 0, F.least("_age", F.lit(2))))
     return x.groupBy("user_id").agg(F.min(F.when(F.col("delta") >= 2, F.col("day"))).alias("first_rise"), F.min(F.when(F.col("delta") <= -2, F.col("day"))).alias("first_fall"))
 
 
@@ -507,8 +516,12 @@ def outer_feature_merge(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_match(s: SparkSession, d: str) -> DataFrame:
-    x = user_days(s, d).withColumn("period", F.datediff("day", F.lit("2024-01-01")).cast("long"))
-    return resolve.greedy_match(x.where("n >= 5").select("user_id", "period"), x.where("n = 0").select("user_id", "period"), ["user_id"], 2)
+    """Busy days of users against the nearest days without any event, of which only those within reach are made."""
+    e = seen_days(s, d)
+    busy = e.where("n >= 5")
+    idle = sparse.near_zeros(e, busy, ["user_id"], sparse.calendar(e), 2)
+    of = lambda df: df.select("user_id", F.datediff("day", F.lit("2024-01-01")).cast("long").alias("period"))
+    return resolve.greedy_match(of(busy), of(idle), ["user_id"], 2)
 
 
 @query()
@@ -618,8 +631,8 @@ def outage_reconstruction(s: SparkSession, d: str) -> DataFrame:
 SELECT x.user_id, d0, coalesce(strftime(min(m.day) FILTER (WHERE delta >= 2), '%Y-%m-%d'), 'none') AS detected, coalesce(date_diff('day', min(m.day) FILTER (WHERE delta >= 2), d0), 0)::INTEGER AS lead_days FROM x JOIN m ON x.user_id = m.user_id AND m.day BETWEEN d0 - 4 AND d0 + 4 GROUP BY x.user_id, d0""")
 def event_study(s: SparkSession, d: str) -> DataFrame:
     """First rise within four days of a user's first busy day."""
-    g = user_days(s, d)
-    m = g.withColumn("delta", F.col("n") - windows.both_before("n", ["user_id"], ["day"])).select("user_id", "day", "delta")
+    g = seen_days(s, d)
+    m = sparse.touched(g, ["user_id"], "n", sparse.calendar(g), 0).withColumn("delta", F.when(F.col("_age") >= 2, F.col("n") - sparse.before("n", ["user_id"], 2) / 2)).select("user_id", "day", "delta")
     x = g.where("n >= 6").groupBy("user_id").agg(F.min("day").alias("d0"))
     near = x.join(m, "user_id").where(F.col("day").between(F.date_sub("d0", 4), F.date_add("d0", 4)))
     out = near.groupBy("user_id", "d0").agg(F.min(F.when(F.col("delta") >= 2, F.col("day"))).alias("detected"))
