@@ -39,6 +39,12 @@ _AT = re.compile(r"[\[({] ?at ?[\])}] ?", re.I | re.A)
 _HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]++)+", re.I | re.A)
 _RUN = re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
+#: A proposal of digits has up to so many groups and from so many to so many digits; hints are looked for in so many characters before.
+GROUPS, DIGITS, CONTEXT = 6, (7, 19), 24
+#: Proposals are made and scored in pieces of so many groups, and texts taken in batches of so many bytes.
+PIECE, BATCH = 2048, 1 << 20
+#: A piece ends where its groups lie so many characters apart; up to so many groups are taken one by one.
+REACH, FEW = 1 << 16, 12
 
 
 def luhn(digits: str) -> bool:
@@ -80,7 +86,10 @@ def base(text: str) -> list[tuple[str, int, int]]:
 
 def proposals(text: str) -> list[tuple[int, int]]:
     """Spans that may hold personal data; they overlap."""
-    out = []
+    return [span for starts, ends, _ in _proposed(text) for span in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _marked(text: str) -> Iterator[tuple[int, int]]:
     end = 0
     for mark in _AT.finditer(text):  # an address in words: the local part before the mark, the domain after it
         at = mark.start()
@@ -88,19 +97,104 @@ def proposals(text: str) -> list[tuple[int, int]]:
         low = _local(text, at, end)
         m = _HIDDEN_DOMAIN.match(text, mark.end()) if low < at else None
         if m:
-            out.append((low, end := m.end()))
+            yield low, (end := m.end())
+
+
+def _proposed(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Proposals with their features in blocks of bounded size: starts, ends, a row of features each."""
+    marks = _marked(text)
+    while some := list(itertools.islice(marks, PIECE)):
+        starts, ends = np.array(some).T
+        yield starts, ends, np.array([features(text, s, e) for s, e in some], float)
+    held: list[tuple[int, int, int, int]] = []
+    number = 0
     for m in _RUN.finditer(text):
-        s, e = m.span()
-        groups = [g.span() for g in _GROUP.finditer(text, s, e)]
-        lead = groups[0][0] - s
-        for i in range(len(groups)):  # up to six groups from each on: linear in the length of the run
+        number += 1
+        first = m.start()  # what the run has before its first group belongs to proposals that begin there
+        for g in _GROUP.finditer(text, *m.span()):
+            a, b = g.span()
+            if b - a > DIGITS[1]:  # no proposal reaches over it
+                number += 1
+            else:
+                held.append((a, b, a - (a > 0 and text[a - 1] == "(") if first is None else first, number))
+            first = None
+            if len(held) > GROUPS and (len(held) == PIECE + GROUPS - 1 or b - held[0][0] > REACH):
+                own = len(held) - GROUPS + 1  # the last ones may have neighbours yet to come
+                yield from _grouped(text, held, own)
+                held = held[own:]
+    yield from _grouped(text, held, len(held))
+
+
+def _grouped(text: str, groups: list[tuple[int, int, int, int]], own: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Proposals of up to six neighbouring groups (start, end, start of a proposal from here on, run) from each of the first own groups
+    on, with the features that features() gives them one by one. Counts over a span are differences of running counts over the
+    groups' surroundings."""
+    if len(groups) <= FEW:  # arrays do not pay
+        some = []
+        for i in range(own):
             n = 0
-            for j in range(i, min(len(groups), i + 6)):
-                a, b = groups[i][0], groups[j][1]
-                n += b - groups[j][0]
-                if 7 <= n <= 19:
-                    out.append((a - lead if i == 0 else a - (text[a - 1] == "("), b))
-    return out
+            for a, b, _, run in groups[i : i + GROUPS]:
+                n += b - a
+                if run == groups[i][3] and DIGITS[0] <= n <= DIGITS[1]:
+                    some.append((groups[i][2], b))
+        if some:
+            starts, ends = np.array(some).T
+            yield starts, ends, np.array([features(text, s, e) for s, e in some], float)
+        return
+    a, b, first, run = np.array(groups).T
+    size = b - a
+    low = max(0, int(first[0]) - CONTEXT - 2)
+    piece = text[low : int(b[-1]) + 2]
+    code = np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.int64)
+    known, of = np.unique(code, return_inverse=True)
+    kind = np.array([_near(chr(c)) for c in known])[of]
+    count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    dots, dashes, spaces, opened = (count(code == ord(c)) for c in ".- (")
+    hinted = count((kind == 2) | np.isin(code, [ord(c) for c in _HINTED]))
+    digit = (code >= 48) & (code <= 57)
+    place = count(digit)
+    value = code[digit] - 48
+    twice = np.where(value > 4, 2 * value - 9, 2 * value)
+    even = np.arange(len(value)) % 2 == 0
+    sums = np.stack([count(np.where(even, value, twice)), count(np.where(even, twice, value))])  # by the parity of the last digit's number
+    back = lambda k: np.where(size > k, code[b - low - 1 - k] - 48, 0)
+    octet = (size <= 3) & (back(0) + 10 * back(1) + 100 * back(2) <= 255)
+    areas = np.array([m.span() for m in _AREA.finditer(piece)]).reshape(-1, 2)
+    hints: dict[int, list[bool]] = {}
+    starts, ends, rows = [], [], []
+    for k in range(GROUPS):
+        i = np.arange(min(own, len(a) - k))
+        if not len(i):
+            break
+        sizes = np.stack([size[i + j] for j in range(k + 1)])
+        n = sizes.sum(0)
+        fit = (n >= DIGITS[0]) & (n <= DIGITS[1]) & (run[i] == run[i + k])
+        if not fit.any():
+            continue
+        i, n, sizes = i[fit], n[fit], sizes[:, fit]
+        s, e = first[i], b[i + k]
+        x, y = s - low, e - low
+        over = lambda c: c[y] - c[x]  # noqa: B023, E731
+        p, q = place[x], place[y]
+        parity = (q - 1) % 2
+        checked = (n >= 13) & ((sums[parity, q] - sums[parity, p]) % 10 == 0)
+        quads = (k == 3) & (over(dots) == 3) & np.all([octet[i + j] for j in range(k + 1)], axis=0)
+        before, after = np.where(x > 0, kind[x - 1], 0), np.where(y < len(code), kind[np.minimum(y, len(code) - 1)], 0)
+        left, right = np.where(x > 0, code[x - 1], 0), np.where(y < len(code), code[np.minimum(y, len(code) - 1)], 0)
+        at = np.searchsorted(areas[:, 0], x) if len(areas) else np.zeros(len(x), np.int64)
+        area = (at < len(areas)) & (np.append(areas[:, 1], 0)[np.minimum(at, len(areas))] <= y) if len(areas) else np.zeros(len(x), bool)
+        row = np.zeros((len(x), FEATURES))
+        row[:, :20] = np.stack([
+            n, np.full(len(x), k + 1), sizes[0], sizes[-1], sizes.max(0), sizes.min(0), e - s, code[x] == ord("+"), over(opened) > 0, over(dots), over(dashes), over(spaces),
+            checked, quads, np.zeros(len(x)), before, after, np.isin(left, [ord(c) for c in "$€£#"]), np.isin(right, [ord(c) for c in "%€$"]), area,
+        ], 1)
+        for j in np.flatnonzero(hinted[x] > hinted[np.maximum(x - CONTEXT, 0)]):
+            if s[j] not in hints:
+                hints[s[j]] = _hints(text[max(0, s[j] - CONTEXT) : s[j]])
+            row[j, 20:] = hints[s[j]]
+        starts.append(s), ends.append(e), rows.append(row)
+    if rows:
+        yield np.concatenate(starts), np.concatenate(ends), np.concatenate(rows)
 
 
 _HINTS = {k: re.compile(v, re.I) for k, v in {
@@ -111,22 +205,32 @@ _HINTS = {k: re.compile(v, re.I) for k, v in {
     "other": r"order|invoice|isbn|version|price|total|no\.|#|id\b|ref|page|\$|€|build",
 }.items()}
 FEATURES = 25
+#: What is not a letter and yet may hint.
+_HINTED = "@#$€"
+_AREA = re.compile(r"\(\d{2,4}\)")
+
+
+def _hints(before: str) -> list[bool]:
+    return [bool(p.search(before)) for p in _HINTS.values()]
+
+
+def _near(c: str) -> int:
+    return 0 if not c else 1 if c.isdigit() else 2 if c.isalpha() else 3 if c.isspace() else 4
 
 
 def features(text: str, s: int, e: int) -> list[float]:
     """Format of the span and what stands around it."""
     x = text[s:e]
-    before, after = text[max(0, s - 24) : s], text[e : e + 12]
+    before, after = text[max(0, s - CONTEXT) : s], text[e : e + 1]
     groups = _GROUP.findall(x)
     d = "".join(groups)
     sizes = [len(g) for g in groups] or [0]
-    near = lambda c: 0 if not c else 1 if c.isdigit() else 2 if c.isalpha() else 3 if c.isspace() else 4
     quads = len(groups) == 4 and x.count(".") == 3 and all(n <= 3 and int(g) <= 255 for n, g in zip(sizes, groups, strict=True))
     return [
         len(d), len(groups), sizes[0], sizes[-1], max(sizes), min(sizes), len(x), x.startswith("+"), "(" in x, x.count("."), x.count("-"), x.count(" "),
-        13 <= len(d) <= 19 and luhn(d), quads, sum(c.isalpha() for c in x), near(before[-1:]), near(after[:1]),
-        before[-1:] in "$€£#" and before != "", after[:1] in "%€$" and after != "", bool(re.search(r"\(\d{2,4}\)", x)),
-        *[bool(p.search(before)) for p in _HINTS.values()],
+        13 <= len(d) <= 19 and luhn(d), quads, sum(c.isalpha() for c in x), _near(before[-1:]), _near(after[:1]),
+        before[-1:] in "$€£#" and before != "", after[:1] in "%€$" and after != "", bool(_AREA.search(x)),
+        *_hints(before),
     ]
 
 
@@ -186,32 +290,48 @@ def _order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _chosen(x: np.ndarray, trees: dict[str, tuple[Boosted, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of features those that pass a threshold: their numbers, scores and kinds. Equal rows are scored once."""
+    rows = np.ascontiguousarray(x)
+    _, some, of = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    scores = np.stack([trees[k][0].probability(x[some]) for k in KINDS], 1)
+    over = scores - np.array([trees[k][1] for k in KINDS])
+    best = over.argmax(1)
+    good = np.flatnonzero((over.max(1) >= 0)[of])
+    return good, scores[np.arange(len(some)), best][of[good]], best[of[good]]
+
+
+def _added(text: str, sure: list[tuple[str, int, int]], trees: dict[str, tuple[Boosted, float]]) -> list[tuple[str, int, int]]:
+    """The best proposals that overlap neither a base span nor a better one. Only proposals that pass are kept."""
+    taken = bytearray(len(text))  # which characters base spans cover
+    for _, s, e in sure:
+        taken[s:e] = b"\1" * (e - s)
+    held = []
+    for starts, ends, x in _proposed(text):
+        if sure:
+            free = np.array([taken.find(1, s, e) < 0 for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], bool)
+            starts, ends, x = starts[free], ends[free], x[free]
+        if len(x):
+            good, score, kind = _chosen(x, trees)
+            held.append(np.stack([score, starts[good], ends[good], kind], 1))
+    out = []
+    if held:
+        score, start, end, kind = np.concatenate(held).T
+        for j in np.lexsort((end, start, start - end, -score)):
+            s, e = int(start[j]), int(end[j])
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
+                out.append((KINDS[int(kind[j])], s, e))
+    return out
+
+
 def detect(texts: list[str], trees: dict[str, tuple[Boosted, float]]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, sorted by kind and start."""
-    sure = [base(t) for t in texts]
-    rows, x = [], []
-    for i, t in enumerate(texts):
-        taken = bytearray(len(t))  # which characters base spans cover
-        for _, s, e in sure[i]:
-            taken[s:e] = b"\1" * (e - s)
-        for s, e in dict.fromkeys(proposals(t)):
-            if taken.find(1, s, e) < 0:
-                rows.append((i, s, e))
-                x.append(features(t, s, e))
-    added: list[list] = [[] for _ in texts]
-    if rows:
-        m = np.array(x, float)
-        scores = np.stack([trees[k][0].probability(m) for k in KINDS], 1)
-        over = scores - np.array([trees[k][1] for k in KINDS])
-        best = over.argmax(1)
-        chosen = [(-float(scores[j, best[j]]), -(rows[j][2] - rows[j][1]), rows[j], KINDS[best[j]]) for j in np.flatnonzero(over.max(1) >= 0)]
-        for i, of in itertools.groupby(sorted(chosen, key=lambda c: (c[2][0], c[0], c[1], c[2])), lambda c: c[2][0]):
-            taken = bytearray(len(texts[i]))
-            for _, _, (_, s, e), k in of:
-                if taken.find(1, s, e) < 0:
-                    taken[s:e] = b"\1" * (e - s)
-                    added[i].append((k, s, e))
-    return [(_order(b), _order(b + a)) for b, a in zip(sure, added, strict=True)]
+    out = []
+    for t in texts:
+        sure = base(t)
+        out.append((_order(sure), _order(sure + _added(t, sure, trees))))
+    return out
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -230,11 +350,11 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def _run(trees, replace: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.by_bytes(batches, "text", BATCH):
             texts = batch.column(1).to_pylist()
             found = detect([t or "" for t in texts], trees)
             of = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
-            columns = [batch.column(0).cast(pa.int64()), pa.array([of(b) for b, _ in found], _SPAN), pa.array([of(a) for _, a in found], _SPAN)]
+            columns = [batch.column(0).cast(pa.int64()).combine_chunks(), pa.array([of(b) for b, _ in found], _SPAN), pa.array([of(a) for _, a in found], _SPAN)]
             names = ["doc_id", "base", "spans"]
             if replace:
                 columns.append(pa.array([None if t is None else redact(t, a) for t, (_, a) in zip(texts, found, strict=True)], pa.string()))
@@ -257,7 +377,8 @@ def find_pii(docs: DataFrame, replace: bool = True, **settings) -> DataFrame:
 
 def _redact_all(trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in common.by_bytes(batches, "text", BATCH):
+            batch = whole.combine_chunks().to_batches()[0]
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             found = detect([t or "" for t in texts], trees)
