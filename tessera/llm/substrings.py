@@ -78,7 +78,7 @@ def _hash_batches(width: int, buckets: int):
             later = (did[doc] != did[doc[group]]) | (at != at[group])
             rows = []
             if later.any():
-                rows.append((-1 - turn % buckets, *_docs(did, th, doc[later], at[later]), b""))
+                rows.append((-1 - turn % buckets, *_docs(did, th, doc[later], at[later], "<i8"), b""))
             send = np.flatnonzero(~later)  # the first and its copies, which get its fate
             bucket = ((deal[send] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order = np.argsort(bucket, kind="stable")  # documents stay in order
@@ -86,7 +86,7 @@ def _hash_batches(width: int, buckets: int):
             cuts = common.starts_of(bucket)
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 s = send[i:j]
-                rows.append((int(bucket[i]), *_docs(did, th, doc[s], at[s]), _seven(code[s])))
+                rows.append((int(bucket[i]), *_docs(did, th, doc[s], at[s], "<i8"), _seven(code[s])))
             for i in range(0, len(rows), 256):
                 yield _pack(_MARKS, rows[i : i + 256])
             turn += 1
@@ -134,7 +134,7 @@ def _undocs(docs: bytes, marks: bytes, counts: bytes, kind="<i4") -> tuple[np.nd
 
 def _count_buckets(teams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for did, th, at, code in _buckets(batches, "<i4", _unseven):
+        for did, th, at, code in _buckets(batches, "<i8", _unseven):
             if code is not None:
                 order = tokens.exact(code, 56)
                 cut = common.starts_of(code[order])
@@ -146,7 +146,7 @@ def _count_buckets(teams: int):
                 keep = (did != did[group]) | (at != at[group])
                 did, th, at = did[keep], th[keep], at[keep]
             if len(did):
-                yield _teamed(did, th, at, teams)
+                yield _teamed(did, th, at, teams, "<i8")
 
     return run
 
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text: bool = True, buck
     rows that are equal get equal results. Texts below width words are never touched; an empty table gives no rows.
     Other columns are ignored.
     """
-    d = docs.select("doc_id", common.row_id().alias("did"), F.hash("text").alias("th"), "text")
+    d = docs.select("doc_id", common.row_id().alias("did"), F.xxhash64(F.sha2("text", 256)).alias("th"), "text")
     if buckets is None:
         size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(16, -(-size // BUCKET))
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text: bool = True, buck
     parts = min(buckets, 50_000)
     found = marks.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_count_buckets(teams), "team int, docs binary, marks binary, counts binary")
     parts = min(teams, 50_000)
-    found = found.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(gathered(), "did long, th int, starts binary")
+    found = found.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(gathered("<i8"), "did long, th long, starts binary")
     both = d.join(found, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts")
     return both.mapInArrow(_remove(width, text), "doc_id long, n_words long, n_removed long, n_spans long, kept string")
 

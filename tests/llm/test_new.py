@@ -268,3 +268,55 @@ def test_statements_of_cases():
     for f in (licenses.scan, codes.op12_vector_codes, manifest.manifest):
         text = f.__doc__.lower()
         assert "null" in text and "empty table" in text and "columns" in text
+
+
+def test_pii_pieces_equal_single_proposals(monkeypatch):
+    """Features by arrays over pieces of any size are those of features(), and no proposal is lost at an edge."""
+    from tessera.llm import pii
+
+    r = random.Random(5)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    w = lambda: "".join(r.choice("aeioué tel#$€@ card") for _ in range(r.randint(1, 9)))
+    texts = ["".join(r.choice((w(), n(r.randint(1, 22)), " ", "(", ")", "-", ".", "+", "(555) ", " card ", "€", "x(at)y.com ", n(3) + "." + n(2) + ".", n(4) + " " + n(4) + " ", "ſ", "१")) for _ in range(r.randint(1, 60))) for _ in range(400)]
+    want = [sorted(set(pii.proposals(t))) for t in texts]
+    trees = pii.model()
+    found = pii.detect(texts, trees)
+    for few, piece, reach in ((0, 2048, 1 << 16), (0, 3, 1 << 16), (0, 50, 30), (10**9, 50, 30)):
+        monkeypatch.setattr(pii, "FEW", few)
+        monkeypatch.setattr(pii, "PIECE", piece)
+        monkeypatch.setattr(pii, "REACH", reach)
+        for t, spans in zip(texts, want, strict=True):
+            blocks = list(pii._proposed(t))
+            assert sorted({(s, e) for a, b, _ in blocks for s, e in zip(a.tolist(), b.tolist(), strict=True)}) == spans
+            for a, b, x in blocks:
+                assert x.tolist() == [[float(v) for v in pii.features(t, s, e)] for s, e in zip(a.tolist(), b.tolist(), strict=True)]
+        assert pii.detect(texts, trees) == found
+
+
+def test_pii_time_and_memory_on_numbers():
+    import resource
+    import time
+
+    from tessera.llm import pii
+
+    r = random.Random(6)
+    trees = pii.model()
+    numbers = lambda groups, size: " ".join("".join(r.choice("0123456789") for _ in range(size)) for _ in range(groups))
+    for texts in ([numbers(333_333, 2)], [numbers(1000, 2) for _ in range(300)], [numbers(200_000, 4)], ["tel " + " tel ".join(numbers(1, 3) + "-" + numbers(1, 4) for _ in range(60_000))]):
+        before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+        pii.detect(texts, trees)
+        assert time.time() - t < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 * 1024  # KB
+
+
+def test_substrings_of_texts_with_equal_short_hashes(spark, tmp_path):
+    """Two texts without an id whose 32-bit hashes are equal are two texts: only the one that repeats a window loses words."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(300_000).select("id", F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(21))).alias("text"))
+    pair = many.withColumn("h", F.hash("text")).groupBy("h").agg(F.collect_list("text").alias("t")).where(F.size("t") > 1).orderBy("h").first()
+    assert pair is not None
+    one, other = pair["t"][:2]
+    rows = [(1, one), (None, one), (None, other)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in queries.QUERIES["op6_substrings"](spark, str(tmp_path)).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    assert got == [(1, 21, 0), (None, 21, 0), (None, 21, 21)]
