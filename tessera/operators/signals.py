@@ -157,8 +157,8 @@ def bridges(facts: DataFrame, known: DataFrame, last: int) -> DataFrame:
     panelists; a fact enters at its own horizon and stays.
     """
     facts = facts.where("descriptor is not null and panelist is not null").join(known, "descriptor", "left")
-    facts = durable(facts.select(F.coalesce("vendor", "descriptor").alias("name"), F.col("vendor").isNull().alias("new"), "panelist", "day", "amount", F.col("since").cast("int").alias("since")).where(F.col("since") <= last))
-    own, new = facts.where("not new"), facts.where("new")
+    facts = durable(facts.select("vendor", "descriptor", "panelist", "day", "amount", F.col("since").cast("int").alias("since")).where(F.col("since") <= last))
+    own, new = facts.where("vendor is not null").withColumn("name", F.col("vendor")), facts.where("vendor is null").withColumn("name", F.col("descriptor"))
     onward = F.explode(F.sequence(F.greatest("since", F.lit(0)), F.lit(last))).alias("horizon")
     key = ["horizon", "name"]
 
