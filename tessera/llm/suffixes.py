@@ -605,7 +605,7 @@ def _answers(batches: DataFrame, replies: DataFrame, name: str) -> DataFrame:
 
 
 def pieces(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """What could repeat, as (bid, size, meta, data): about a megabyte of pieces a row. ids: did, th, each pair once."""
+    """What could repeat, as (bid, size, meta, data): about a megabyte of pieces a row. ids: did, th, own, each once."""
     buckets = max(16, -(-size // BUCKET))
     teams = 16 * math.isqrt(buckets)
     marks = docs.mapInArrow(_mark_batches(buckets, teams), "bucket int, docs binary, marks binary, counts binary, codes binary")
@@ -613,7 +613,7 @@ def pieces(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     marks = marks.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_mark_buckets(teams), "team int, docs binary, marks binary, counts binary")
     parts = min(teams, 50_000)
     marks = marks.repartitionById(parts, F.pmod("team", F.lit(parts))).sortWithinPartitions("team").mapInArrow(substrings.gathered("<i8"), "did long, th long, starts binary")
-    heads = ids.groupBy("th").agg(F.min("did").alias("did"))
+    heads = ids.groupBy("own").agg(F.min(F.struct("did", "th")).alias("x")).select("x.*")
     marks = common.durable(marks.join(heads, ["did", "th"], "left_semi"))
     common.release(docs.sparkSession)
     found = docs.join(marks, ["did", "th"]).select("did", "th", "text", "starts").mapInArrow(_cut_pieces, "key long, did long, th long, off long, piece binary")
@@ -686,17 +686,19 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rows that share a doc_id, which are versions of it; equal rows get equal results. An empty table gives no rows;
     other columns are ignored.
     """
-    d = docs.select("doc_id", common.row_id().alias("did"), F.xxhash64("text").alias("th"), "text")
-    ids = common.durable(d.groupBy("did", "th").agg(F.sum(F.octet_length("text")).alias("size")))  # the only scan for ids and sizes
+    # texts are equal if 128 bits of their SHA-256 are (own); th tells apart the versions of one id only
+    sha = F.sha2("text", 256)
+    d = docs.select("doc_id", common.row_id().alias("did"), F.xxhash64(sha).alias("th"), F.unhex(F.substring(sha, 1, 32)).alias("own"), "text")
+    ids = common.durable(d.groupBy("did", "th").agg(F.min("own").alias("own"), F.sum(F.octet_length("text")).alias("size")))  # the only scan for ids and sizes
     size = ids.agg(F.sum("size")).first()[0] or 0
-    batches = pieces(d.select("did", "th", "text").where("text is not null"), ids.select("did", "th"), size)
+    batches = pieces(d.select("did", "th", "text").where("text is not null"), ids.select("did", "th", "own"), size)
     common.release(docs.sparkSession)
     found = common.durable(repeats(batches, size).groupBy("did", "th").agg(F.collect_list("starts").alias("found")))
     del batches
     common.release(docs.sparkSession)
-    heads = common.durable(ids.groupBy("th").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("th", "head"))
+    heads = common.durable(ids.groupBy("own").agg(F.min("did").alias("head"), F.count("*").alias("n")).where("n > 1").select("own", "head"))
     # no aggregate stands between the shuffles and this join, so a text with many copies can be split
-    copies = ids.select("did", "th").join(heads, "th").where("did > head").select("did", "th")
+    copies = ids.select("did", "th", "own").join(heads, "own").where("did > head").select("did", "th")
     told = found.join(copies.withColumn("copy", F.lit(True)), ["did", "th"], "full")
     out = d.join(told, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
     return out.mapInArrow(_remove(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -70,6 +70,31 @@ def test_suffixes_brute_force(spark, edge, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def colliding(seed=42):
+    """Two different ASCII texts of 128 bytes with equal XXH64: what one lane of a stripe changes, the next takes back."""
+    p1, p2, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    rnd = random.Random(1)
+    one = bytearray(rnd.choices(b"abcdefghijklmnopqrstuvwxyz ", k=128))
+    lane = lambda b: int.from_bytes(b, "little")
+    turn = lambda x: ((x << 31 | x >> 33) & m) * p1 & m
+    start, back = (seed + p1 + p2) & m, pow(p2, -1, 1 << 64)
+    while True:
+        other = bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz ", k=8))
+        moved = turn((start + lane(one[:8]) * p2) & m) - turn((start + lane(other) * p2) & m)
+        second = ((lane(one[32:40]) + moved * back) & m).to_bytes(8, "little")
+        if other != one[:8] and all(0 < c < 128 for c in second):
+            return one.decode(), (other + bytes(one[8:32]) + second + bytes(one[40:])).decode()
+
+
+def test_suffixes_tell_texts_with_equal_hashes_apart(spark):
+    a, b = colliding()
+    assert a != b and xxhash.xxh64_intdigest(a, 42) == xxhash.xxh64_intdigest(b, 42)
+    d = docs(spark, [(1, a, "s"), (2, b, "s"), (3, b, "t"), (None, a, None), (None, b, None)])
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(d).collect()))
+    shared = 128 - 40  # b repeats what stands in a behind its fortieth byte, and nothing before
+    assert got == [(False, 1, 128, 0), (False, 2, 128, shared), (False, 3, 128, 128), (True, 0, 128, 128), (True, 0, 128, 128)]
+
+
 def test_difference_cover_merge():
     r = np.random.default_rng(1)
     data = bytes(r.integers(97, 99, 3000).astype(np.uint8))
