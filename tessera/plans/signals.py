@@ -160,7 +160,8 @@ def html_anchors(s: SparkSession, d: str) -> DataFrame:
 @query()
 def html_links(s: SparkSession, d: str) -> DataFrame:
     """Title, workplace, excerpt and up to 25 labelled links of every page, all links of which count as hints."""
-    p = t(s, d, "pages").select("page_id", boards.page(F.col("html")).alias("p"), boards.links(F.col("html"), ("/",)).alias("links"), boards.board(F.col("url")).alias("b"))
+    read = t(s, d, "pages").select("page_id", "url", boards.parsed(F.col("html")).alias("r"))
+    p = read.select("page_id", boards.page_of(F.col("r")).alias("p"), boards.hinted(F.col("r.links"), ("/",)).alias("links"), boards.board(F.col("url")).alias("b"))
     return p.select("page_id", "p.title", "p.workplace", "p.excerpt", F.size("links").alias("n_links"), F.get(F.col("links"), F.lit(0))["href"].alias("first_href"), "b.platform", "b.token")
 
 
