@@ -40,6 +40,10 @@ class Unavailable(RuntimeError):
     """A source that cannot be asked: no key, or no answer after all attempts."""
 
 
+class Missing(Unavailable):
+    """The server answered that there is no such thing."""
+
+
 def over_http(url: str, headers: dict[str, str]) -> tuple[int, bytes]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT) as r:
@@ -56,7 +60,7 @@ def fetch(url: str, headers: dict[str, str], get: Get = over_http, wait: float =
         if status == 429 or status >= 500:
             sleep(wait * 2**n)
         elif status >= 400:
-            raise Unavailable(f"{url.split('?')[0]}: status {status}")
+            raise (Missing if status == 404 else Unavailable)(f"{url.split('?')[0]}: status {status}")
         else:
             return json.loads(body)
     raise Unavailable(f"{url.split('?')[0]}: status {status} after {ATTEMPTS} attempts")
@@ -142,10 +146,10 @@ def payloads(spark: SparkSession, folder: str | None = None, tickers: list[str]
 
 
 def board(platform: str, token: str, get: Get = over_http, **how) -> object | None:
-    """All postings of a board, or None if there is no such board."""
+    """All postings of a board, or None if the platform says that there is none; a platform that fails raises Unavailable."""
     try:
         return fetch(BOARDS[platform][0].format(token=urllib.parse.quote(token)), {"Accept": "application/json"}, get, **how)
-    except Unavailable:
+    except Missing:
         return None
 
 
@@ -165,3 +169,19 @@ def probe(slugs: list[str], get: Get = over_http, **how) -> tuple[str, str, obje
             if found and (found if isinstance(found, list) else found.get("jobs") or found.get("content")):
                 return platform, token, found
     return None
+
+
+def probed(companies: DataFrame, get: Get = over_http, tasks: int = 1, **how) -> DataFrame:
+    """(company, platform, token, payload) of each row's (company, slugs): the first board with postings; the last three are null
+    without one. Companies are spread over tasks, each of which asks for one thing after another; a failing platform fails its
+    task, so that no company is sent on to a wrong board. Null companies and slugs are asked for nothing."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for company, slugs in zip(pdf["company"], pdf["slugs"], strict=True):
+                hit = probe([x for x in slugs if x], get, **how) if slugs is not None else None
+                rows.append((company, *(hit[:2] if hit else (None, None)), json.dumps(hit[2]) if hit else None))
+            yield pd.DataFrame(rows, columns=["company", "platform", "token", "payload"])
+
+    return companies.select("company", "slugs").repartition(max(1, tasks)).mapInPandas(run, "company string, platform string, token string, payload string")
