@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..functions import boards
 from ..functions import columns as C
-from ..operators import panel, quality, resolve, signals, windows
+from ..operators import panel, quality, resolve, signals, tagging, windows
 from ..sources import filings, postings
 from .catalogue import _DAILY, _DAY, _M, _Q, _UD, daily, orders_q, query, t, user_days
 
@@ -178,6 +182,29 @@ def tagger_tail(s: SparkSession, d: str) -> DataFrame:
     return raw.join(resolve.merge_tags(found, resolve.tag_tail(tail, vendors)), "core", "left").select("p_partkey", "core", "method", "final_method", "final_vendor", "new_vendor_flag")
 
 
+_HOST, _DOMAIN = re.compile(r"^[a-z]+://([^/?#]*)"), re.compile(r"\.([a-z]+)$")
+
+
+def by_host(sent: dict[str, str]) -> list[dict]:
+    """A tagger that guesses from the host of an address only."""
+    out = []
+    for i, url in sent.items():
+        host = _HOST.search(url)
+        host = host[1] if host else ""
+        domain = _DOMAIN.search(host)
+        out.append({"id": i, "vendor_guess": host, "category_guess": domain[1] if domain else "", "confidence": 0.5 if "?" in url else 1.0, "new_vendor_flag": int(host.startswith("m."))})
+    return out
+
+
+@query(r"""WITH x AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages)
+SELECT page_id, h AS vendor_guess, regexp_extract(h, '\.([a-z]+)$', 1) AS category_guess, CASE WHEN contains(url, '?') THEN 0.5 WHEN url IS NOT NULL THEN 1.0 END::DOUBLE AS confidence,
+CASE WHEN h LIKE 'm.%' THEN 1 WHEN h IS NOT NULL THEN 0 END AS new_vendor_flag FROM x""")
+def tagged_pages(s: SparkSession, d: str) -> DataFrame:
+    """The address of every page through the ledger of a tagger, forty requests of 25 a task; a new ledger for each call."""
+    pages = t(s, d, "pages").select("page_id", F.col("url").alias("text"))
+    return tagging.tagged(pages, f"{shared_folder(s)}/tags-{uuid.uuid4().hex}", "host", by_host, requests=40).drop("text")
+
+
 @query("""WITH x AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_name LIKE '%bolt%')
 SELECT p_brand AS token, p_partkey::VARCHAR AS job_id, CASE WHEN p_size % 3 = 0 THEN 'remote' WHEN p_size % 3 = 1 THEN 'hybrid' ELSE 'unknown' END AS workplace,
 CASE WHEN p_size % 3 = 0 THEN 'remote-eligible' WHEN p_size % 3 = 1 THEN 'hybrid' ELSE 'ambiguous' END AS verdict, '2024-01-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') AS posted_at FROM x""")
