@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, looked_up
 
 _PART = "_part"
+#: Cells of a logarithmic scale per factor e, in which values are counted before any of them is looked at.
+CELLS = 128
 
 
 def _joined(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -62,34 +64,62 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: Sequence[str]) -
     return x.groupBy(*by).agg(F.min(value).alias("weighted_median"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], since: str | None = None, last: int = 0) -> DataFrame:
+def _cells(value: Column) -> Column:
+    """Cells that rise with the value, whatever its size or sign; NaN is the last one."""
+    v = value.cast("double")
+    return F.rint(F.signum(v) * F.log1p(F.abs(v)) * CELLS) + 0.0
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], since: str | None = None, last: int = 0, at: DataFrame | None = None) -> DataFrame:
     """A row a group with a column for each named share (0.5: the median), as doubles, linear between neighbouring values. Null
     values count for nothing; a group without others has no row. by may be empty.
 
     With since, a column of whole numbers, there is a row for each group and horizon up to last, over the rows whose since is not
-    above it: a row enters once and never leaves. Rows are not copied for the horizons; only the sums of stretches are, and of
-    the rows those of a stretch that holds a wanted place of that horizon.
+    above it: a row enters once and never leaves. at (by, horizon; distinct) names the horizons that are asked, by group.
+
+    Rows are neither copied for the horizons nor shuffled: they are counted by cell and since, and only rows of cells that hold a
+    wanted place are looked at, in stretches. df is read twice.
     """
     every = [*by] or ["_every"]
     present = df.where(F.col(value).isNotNull()).withColumn("_since", F.lit(0) if since is None else F.col(since).cast("int"))
     if not by:
         present = present.withColumn("_every", F.lit(0))
-    counted = present.where(F.col("_since") <= last).groupBy(*every, value, "_since").agg(F.count("*").alias("_n"))
-    rows = durable(counted.repartitionByRange(*every, value).withColumn(_PART, F.spark_partition_id()))
-    entered = rows.groupBy(*every, _PART, "_since").agg(F.sum("_n").alias("_n"))
-    held = entered.select(*every, _PART, "_n", F.explode(F.sequence(F.greatest("_since", F.lit(0)), F.lit(last))).alias("_horizon")).groupBy(*every, "_horizon", _PART).agg(F.sum("_n").alias("_held"))
+    present = present.where(F.col("_since") <= last).select(*every, value, "_since", _cells(F.col(value)).alias("_cell"))
     group = W.partitionBy(*every, "_horizon")
-    base = F.coalesce(F.sum("_held").over(group.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = held.select(*every, "_horizon", _PART, "_held", base.alias("_base"), F.sum("_held").over(group).alias("_all"))
+
+    def onward(x: DataFrame, keys: Sequence[str], asked: DataFrame | None) -> DataFrame:
+        """Rows of x by keys and horizon, all that have entered by then."""
+        if asked is None:
+            x = x.withColumn("_horizon", F.explode(F.sequence(F.greatest("_since", F.lit(0)), F.lit(last))))
+        else:
+            x = _joined(x, asked, [c for c in keys if c in asked.columns]).where(F.col("_since") <= F.col("_horizon"))
+        return x.groupBy(*keys, "_horizon").agg(F.sum("_n").alias("_held"))
+
+    def before(over: W, order: str) -> Column:
+        return F.coalesce(F.sum("_held").over(over.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    entered = present.groupBy(*every, "_cell", "_since").agg(F.count("*").alias("_n"))
+    sums = onward(entered, [*every, "_cell"], None if at is None else at.select(*by, F.col("horizon").alias("_horizon"), *([] if by else [F.lit(0).alias("_every")])))
+    sums = sums.select(*every, "_cell", "_horizon", "_held", before(group, "_cell").alias("_base"), F.sum("_held").over(group).alias("_all"))
     wanted = []
     for name, share in shares.items():
-        at = F.lit(float(share)) * (F.col("_all") - 1)
-        wanted += [F.struct(F.lit(name).alias("_name"), F.lit(k).alias("_end"), f(at).cast("long").alias("_place"), (at - F.floor(at)).alias("_share")) for k, f in enumerate((F.floor, F.ceil))]
-    want = sums.select(*every, "_horizon", _PART, "_base", "_held", F.inline(F.array(*wanted))).where((F.col("_place") >= F.col("_base")) & (F.col("_place") < F.col("_base") + F.col("_held")))
+        place = F.lit(float(share)) * (F.col("_all") - 1)
+        wanted += [F.struct(F.lit(name).alias("_name"), F.lit(k).alias("_end"), f(place).cast("long").alias("_place"), (place - F.floor(place)).alias("_share")) for k, f in enumerate((F.floor, F.ceil))]
+    inside = (F.col("_place") >= F.col("_base")) & (F.col("_place") < F.col("_base") + F.col("_held"))
+    want = sums.select(*every, "_cell", "_horizon", "_base", "_held", F.inline(F.array(*wanted))).where(inside)
+    want = durable(want.select(*every, "_cell", "_horizon", "_name", "_end", (F.col("_place") - F.col("_base")).alias("_place"), "_share"))
+
+    cell = [*every, "_cell"]
+    held = _joined(present, looked_up(want.select(*cell).distinct()), cell)
+    counted = held.groupBy(*cell, value, "_since").agg(F.count("*").alias("_n"))
+    rows = durable(counted.repartitionByRange(*every, value).withColumn(_PART, F.spark_partition_id()))
+    sums = onward(rows.groupBy(*cell, _PART, "_since").agg(F.sum("_n").alias("_n")), [*cell, _PART], want.select(*cell, "_horizon").distinct())
+    sums = sums.withColumn("_base", before(W.partitionBy(*cell, "_horizon"), _PART))
+    want = _joined(sums, want, [*cell, "_horizon"]).where(inside)
     # the places of a stretch as one row, so that the stretch is read once whatever is asked of it
-    asked = want.groupBy(*every, _PART, "_horizon", "_base").agg(F.collect_list(F.struct("_name", "_end", "_place", "_share")).alias("_asked"))
-    x = _joined(rows, asked, [*every, _PART]).where(F.col("_since") <= F.col("_horizon"))
-    along = W.partitionBy(*every, _PART, "_horizon").orderBy(value, "_since").rowsBetween(W.unboundedPreceding, -1)
+    asked = want.groupBy(*cell, _PART, "_horizon", "_base").agg(F.collect_list(F.struct("_name", "_end", "_place", "_share")).alias("_asked"))
+    x = _joined(rows, asked, [*cell, _PART]).where(F.col("_since") <= F.col("_horizon"))
+    along = W.partitionBy(*cell, _PART, "_horizon").orderBy(value, "_since").rowsBetween(W.unboundedPreceding, -1)
     x = x.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(along), F.lit(0)))
     hit = F.filter("_asked", lambda a: (a["_place"] >= F.col("_before")) & (a["_place"] < F.col("_before") + F.col("_n")))
     x = x.select(*every, "_horizon", F.col(value).cast("double").alias("_v"), F.inline(hit))

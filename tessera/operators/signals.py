@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, looked_up, stored
 from .order import quantiles, sums_before
 from .windows import both_before, percentile_rank
 
@@ -145,7 +145,7 @@ def overlapping(left: DataFrame, right: DataFrame, share: float, fits: Sequence[
     return shared.groupBy("left", "right").agg(F.count("*").alias("n")).join(size, "right").where("n >= _need").select("left", "right", "n", "people")
 
 
-def bridges(facts: DataFrame, known: DataFrame, last: int) -> DataFrame:
+def bridges(facts: DataFrame, known: DataFrame, last: int, kept: bool = False) -> DataFrame:
     """(horizon, descriptor, vendor, overlap, amount_ratio, cadence_ratio): at each horizon up to last the unknown descriptors that
     take over from a fading vendor, by the facts known then.
 
@@ -153,31 +153,42 @@ def bridges(facts: DataFrame, known: DataFrame, last: int) -> DataFrame:
     fades when its last month holds at most seven tenths of the mean of its months before. Of several vendors that fit the
     first by id claims a name. Null names and panelists count for nothing.
 
-    Facts are read once. What a horizon adds to is state: rows and days by name, months by name, first sightings of
-    panelists; a fact enters at its own horizon and stays.
+    Facts are read once and stored, unless they are kept already (cheap to read again). What a horizon adds to is state: rows and
+    days by name and month, first sightings of panelists; a fact enters at its own horizon and stays. Names of vendors are joined
+    to the state, not to the facts. Amounts are looked at only of names and horizons with both a fading vendor and a new name.
     """
-    facts = facts.where("descriptor is not null and panelist is not null").join(known, "descriptor", "left")
-    facts = durable(facts.select("vendor", "descriptor", "panelist", "day", "amount", F.col("since").cast("int").alias("since")).where(F.col("since") <= last))
-    own, new = facts.where("vendor is not null").withColumn("name", F.col("vendor")), facts.where("vendor is null").withColumn("name", F.col("descriptor"))
+    facts = facts.where("descriptor is not null and panelist is not null").select("descriptor", "panelist", "day", "amount", F.col("since").cast("int").alias("since")).where(F.col("since") <= last)
+    facts = facts if kept else stored(facts)
+    known = known.select("descriptor", "vendor")
+    state = facts.groupBy("descriptor", F.trunc("day", "MM").alias("month"), "since").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("final"))
+    state, seen = (durable(x.join(known, "descriptor", "left")) for x in (state, facts.groupBy("descriptor", "panelist").agg(F.min("since").alias("since"))))
+    owned = lambda df: df.where("vendor is not null").withColumn("name", F.col("vendor"))
+    others = lambda df: df.where("vendor is null").withColumn("name", F.col("descriptor"))
     onward = F.explode(F.sequence(F.greatest("since", F.lit(0)), F.lit(last))).alias("horizon")
     key = ["horizon", "name"]
 
-    months = own.groupBy("name", F.trunc("day", "MM").alias("month"), "since").agg(F.count("*").alias("n")).select("name", "month", "n", onward)
+    months = owned(state).groupBy("name", "month", "since").agg(F.sum("n").alias("n")).select("name", "month", "n", onward)
     months = months.groupBy(*key, "month").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.max_by("n", "month").alias("last"), F.sum("n").alias("all"), F.count("*").alias("k"))
     fading = months.where((F.col("k") >= 2) & (F.col("last") <= FADE * (F.col("all") - F.col("last")) / (F.col("k") - 1))).select(*key)
+    fresh = others(state).groupBy("name").agg(F.min("since").alias("since")).select("name", onward)
+    fading = durable(fading.join(fresh.select("horizon").distinct(), "horizon", "left_semi"))
+    fresh = durable(fresh.join(fading.select("horizon").distinct(), "horizon", "left_semi"))
 
-    def stats(df: DataFrame, p: str) -> DataFrame:
-        days = df.groupBy("name", "since").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("final")).select("name", "n", "first", "final", onward)
+    def stats(df: DataFrame, of: DataFrame, p: str) -> DataFrame:
+        days = df.select("name", "n", "first", "final", onward).join(of, key)
         gap = F.datediff(F.max("final"), F.min("first")) / F.when(F.sum("n") > 1, F.sum("n") - 1)
-        mid = quantiles(df, ["name"], "amount", {f"{p}_mid": 0.5}, "since", last)
-        return mid.join(days.groupBy(*key).agg(gap.alias(f"{p}_cadence")), key)
+        at = looked_up(df.select("descriptor", "name").distinct().join(of.groupBy("name").agg(F.collect_set("horizon").alias("at")), "name"))
+        # a fact enters at the first horizon that asks for its name
+        enter = F.array_min(F.filter("at", lambda h: h >= F.col("since")))
+        mid = quantiles(facts.join(at, "descriptor").select("name", "amount", enter.alias("enter")), ["name"], "amount", {f"{p}_mid": 0.5}, "enter", last, of)
+        return durable(mid.join(days.groupBy(*key).agg(gap.alias(f"{p}_cadence")), key))
 
     def side(df: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        seen = df.groupBy("name", "panelist").agg(F.min("since").alias("since")).select("name", "panelist", onward).join(of, key)
-        return seen.withColumns({name: F.struct(*key), "member": F.struct("horizon", "panelist")}).drop(*key, "panelist")
+        first = df.groupBy("name", "panelist").agg(F.min("since").alias("since")).select("name", "panelist", onward).join(of, key)
+        return first.withColumns({name: F.struct(*key), "member": F.struct("horizon", "panelist")}).drop(*key, "panelist")
 
-    a, b = stats(own.join(fading.select("name").distinct(), "name", "left_semi"), "a").join(fading, key, "left_semi"), stats(new, "b")
-    left, right = side(own, a, "left"), side(new, b, "right")
+    a, b = stats(owned(state), fading, "a"), stats(others(state), fresh, "b")
+    left, right = side(owned(seen), a, "left"), side(others(seen), b, "right")
     pairs = overlapping(left, right, OVERLAP, [("a_mid", "b_mid", 0.999 * AMOUNT, 1.001 / AMOUNT), ("a_cadence", "b_cadence", *CADENCE)])
     x = pairs.select("left.horizon", F.col("left.name").alias("vendor"), F.col("right.name").alias("descriptor"), (F.col("n") / F.col("people")).alias("overlap"))
     x = x.join(a.withColumnRenamed("name", "vendor"), ["horizon", "vendor"]).join(b.withColumnRenamed("name", "descriptor"), ["horizon", "descriptor"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..functions import columns as C
 from . import quality, resolve, signals
 from .windows import dense, percentile_rank, trailing, trailing_z
@@ -58,17 +59,18 @@ def spend_features(spend: DataFrame, known: DataFrame, quarters: int, qa: bool =
 
     spend: descriptor, day, amount, panelist; known: descriptor, vendor. Rows are added up by name, quarter and the quarter
     that they come out in; a quarter's horizon asks for five of these sums, and bridged names carry their horizons, so that the
-    feed is read twice, once for each, whatever the number of quarters. A vendor has a row from the first horizon that knows of it within
+    feed is read once, whatever the number of quarters, and stored for what names need. A vendor has a row from the first horizon that knows of it within
     five quarters.
     """
     out = quarter_of(F.add_months(F.trunc("day", "MM"), 1), first_year)
-    s = spend.select("descriptor", "day", "amount", "panelist", out.alias("since"), quarter_of(F.col("day"), first_year).alias("_of"))
+    s = spend.select("descriptor", "day", "amount", "panelist").where("descriptor is not null")
+    s = (stored(s) if qa else s).withColumns({"since": out, "_of": quarter_of(F.col("day"), first_year)})
     sums = s.groupBy("descriptor", "_of", "since").agg(F.sum("amount").alias("_a"), F.count("*").alias("_n"))
     horizons = F.sequence(F.greatest("since", "_of", F.lit(0)), F.least(F.col("_of") + 4, F.lit(quarters - 1)))
     sums = sums.where((F.greatest("since", "_of") <= F.col("_of") + 4) & (F.greatest("since", "_of") < quarters) & (F.col("_of") + 4 >= 0)).withColumn("quarter", F.explode(horizons))
     own = sums.join(known.select("descriptor", "vendor"), "descriptor")
     if qa:
-        found = signals.bridges(s, known, quarters - 1).where("horizon >= 1").select("descriptor", F.col("horizon").alias("quarter"), "vendor")
+        found = signals.bridges(s, known, quarters - 1, kept=True).where("horizon >= 1").select("descriptor", F.col("horizon").alias("quarter"), "vendor")
         own = own.unionByName(sums.join(found, ["descriptor", "quarter"]).select(*own.columns))
     back = F.col("quarter") - F.col("_of")
     n = lambda *ks: F.coalesce(F.sum(F.when(back.isin(*ks), F.col("_n"))), F.lit(0))
