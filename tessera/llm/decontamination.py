@@ -1,16 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. A distributed randomised SVD of TF-IDF passages gives a latent space: tasks multiply their passages with a random
-   matrix and back (the range of the matrix), then with the basis of that range; only sums travel. Passages of the
-   benchmark weigh ten times those of the corpus, so that the space tells items apart rather than common words.
+2. A distributed randomised SVD of the TF-IDF passages of all documents gives a latent space: tasks multiply their
+   passages with a random matrix and back (the range of the matrix), then with the basis of that range; only sums travel.
+   Passages of the benchmark weigh ten times those of the corpus, so that the space tells items apart rather than common
+   words. Only words of items count in a search, so the space is that of their columns.
    A passage's vector counts each word once, so its length is that of its distinct words.
 3. Every passage of every document is compared, as a latent vector, with the passages of all benchmark items; pairs of a
    high cosine are candidates. The cosine divides by the passage's whole TF-IDF length: what the space cannot show of a
    passage speaks against it. Only words of items count above the line, and a passage scores no more with any item than
    its words' best scores together: passages that this sum keeps below the limit, nearly all, are settled without loss.
    A space of fixed rank shows less of an item the more items it serves, so each block of items has a space of its own;
-   tasks read and split a text once for as many blocks as they are sent.
+   tasks read and split a text once for as many blocks as they are sent, to learn as to search.
 4. Runs of words that a document shares with an item, found by rolling hashes, are candidates whatever their cosine:
    an item that is held unchanged is never lost. Items too short for a passage are looked up whole.
 5. A candidate is a leak if the longest common subsequence of the item's words and those around the passage covers
@@ -33,8 +34,8 @@ from . import common, tokens, totals
 
 #: Bits of the word hash that name a feature; rank of the latent space, and what the range finder takes beyond it.
 BITS, RANK, OVER, SEED = 16, 128, 8, 11
-#: The bound on the passages from which the space is learned (whole documents, by a hash of their id), and their words.
-FIT, FIT_WORDS = 100_000, 32
+#: Words of a passage from which the space is learned.
+FIT_WORDS = 32
 #: How much more than the corpus's the benchmark's passages weigh together.
 ITEMS_WEIGH = 10.0
 #: Passage lengths in words; an item is searched with the longest that it fills. Passages overlap by half.
@@ -47,7 +48,7 @@ COSINE, COVER, ANSWER, RUN_WORDS = 0.25, 0.6, 0.5, 13
 #: Items that share a latent space and are sent to the tasks at once: two to a dimension, so that a space of RANK shows
 #: some two thirds of the length of unrelated items. A larger benchmark is searched in blocks of this size.
 BLOCK = 2 * RANK
-#: Blocks that a pass over the documents searches for; each takes a few megabytes in a task.
+#: Blocks that a pass over the documents learns or searches for; each takes a few megabytes in a task.
 AT_ONCE = 16
 #: Words of a shared run that makes a candidate by itself, at most those of the shortest item; factor of the rolling hash.
 SEED_WORDS, FACTOR = LEAST_WORDS, np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ def previous(f: np.ndarray) -> np.ndarray:
 
 
 def _frequency(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-    """Documents with each feature; documents; words."""
+    """Documents with each feature; documents; passages from which a space is learned."""
     out = None
     for t in common.by_bytes(batches, "text", BATCH):
         out = np.zeros((1 << BITS) + 2) if out is None else out
@@ -85,7 +86,7 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         f = features(code)
         new = previous(f) < np.repeat(first[:-1], np.diff(first))
         out[: 1 << BITS] += np.bincount(f[new], minlength=1 << BITS)
-        out[-2:] += t.num_rows, len(code)
+        out[-2:] += t.num_rows, len(blocks(first, FIT_WORDS)[0])
     return out
 
 
@@ -106,53 +107,57 @@ def distinct_passages(texts) -> tuple[np.ndarray, np.ndarray]:
     return f[new], np.concatenate([[0], np.cumsum(new)])[start].astype(np.int64) if len(start) else start
 
 
-def _sums(rows: np.ndarray, idf: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of idf[f] * rows[f] over blocks of words; some blocks at a time, so that long texts need no more memory."""
+def _sums(rows: np.ndarray, of: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of rows[of] over blocks of words; some blocks at a time, so that long texts need no more memory."""
     out = np.zeros((len(start), rows.shape[1]), np.float32)
-    end = np.append(start[1:], len(f))
+    end = np.append(start[1:], len(of))
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + 16384, side="right")))
-        own = f[start[at] : end[to - 1]]
-        out[at:to] = np.add.reduceat(rows[own] * idf[own, None], start[at:to] - start[at])
+        to = max(at + 1, int(np.searchsorted(end, start[at] + 2048, side="right")))
+        out[at:to] = np.add.reduceat(rows[of[start[at] : end[to - 1]]], start[at:to] - start[at])
         at = to
     return out
 
 
-def omega(k: int) -> np.ndarray:
+def omega(n: int, k: int) -> np.ndarray:
     """The random matrix of the range finder; tasks make it rather than receive it."""
-    return np.random.default_rng(SEED).standard_normal((1 << BITS, k), np.float32)
+    return np.random.default_rng(SEED).standard_normal((n, k), np.float32)
 
 
-def _fit(shared, k: int, gram: bool):
-    """Sums of A'(A omega), or of (A basis)'(A basis), over passages A of unit TF-IDF rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        out = None
-        for t in common.by_bytes(batches, "text", BATCH):
-            f, start = distinct_passages(t["text"])
-            if out is None:
-                idf, basis = shared.value if gram else (shared.value, omega(k))
-                out = np.zeros((k, k)) if gram else np.zeros((1 << BITS, k), np.float32)
-            if not len(start):
+def _fit(batches: Iterator[pa.RecordBatch], idf: np.ndarray, known: list[np.ndarray], k: int, bases: list[np.ndarray] | None = None) -> np.ndarray | None:
+    """For each space, one after the other, sums of A'(A omega), or of (A basis)'(A basis) where bases are given, over passages:
+    A has a row of TF-IDF for each, divided by its whole length, and the columns of the features that the space knows."""
+    out = None
+    for t in common.by_bytes(batches, "text", BATCH):
+        f, start = distinct_passages(t["text"])
+        if out is None:
+            place = np.full((len(known), 1 << BITS), -1, np.int32)
+            for p, own in zip(place, known, strict=True):
+                p[own] = np.arange(len(own))
+            right = [(omega(len(own), k) if bases is None else bases[i]) * idf[own, None] for i, own in enumerate(known)]
+            out = [np.zeros((len(own), k), np.float32) if bases is None else np.zeros((k, k)) for own in known]
+        if not len(start):
+            continue
+        norm = np.sqrt(np.maximum(np.add.reduceat(idf[f] ** 2, start), 1e-12)).astype(np.float32)
+        passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(f))))
+        for p, own, x, y in zip(place, known, right, out, strict=True):
+            row = p[f]
+            at = np.flatnonzero(row >= 0)
+            if not len(at):
                 continue
-            norm = np.sqrt(np.maximum(np.add.reduceat(idf[f] ** 2, start), 1e-12))
-            y = _sums(basis, idf, f, start) / norm[:, None]
-            if gram:
-                out += y.T.astype(float) @ y
-            else:
-                order = np.argsort(f, kind="stable")
-                passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(f))))
-                y = (y / norm[:, None]).astype(np.float32)
-                cut = common.starts_of(f[order])
-                for a in range(0, len(cut) - 1, 4096):
-                    b = min(len(cut) - 1, a + 4096)
-                    o = order[cut[a] : cut[b]]
-                    which = f[order[cut[a:b]]]
-                    out[which] += idf[which, None] * np.add.reduceat(y[passage[o]], cut[a:b] - cut[a])
-        return None if out is None else out.ravel()
-
-    return run
+            row, cut = row[at], common.starts_of(passage[at])
+            length = norm[passage[at[cut[:-1]]], None]
+            z = _sums(x, row, cut[:-1]) / length
+            if bases is not None:
+                y += z.T.astype(float) @ z
+                continue
+            z /= length
+            order = np.argsort(row, kind="stable")
+            of = np.repeat(np.arange(len(z)), np.diff(cut))[order]
+            cut = common.starts_of(row[order])
+            which = row[order[cut[:-1]]]
+            y[which] += idf[own[which], None] * _sums(z, of, cut[:-1])
+    return None if out is None else np.concatenate([y.ravel() for y in out])
 
 
 def orthonormal(y: np.ndarray) -> np.ndarray:
@@ -165,38 +170,50 @@ def orthonormal(y: np.ndarray) -> np.ndarray:
     return y
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    return np.array([sum(len(blocks(_words(t["text"])[1], FIT_WORDS)[0]) for t in common.by_bytes(batches, "text", BATCH))], float)
-
-
-def sample(docs: DataFrame, n_words: float, fit: int = FIT) -> DataFrame:
-    """The texts from which latent spaces are learned."""
-    share = min(1.0, fit * FIT_WORDS / max(1.0, n_words))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))
-    # the sample is bounded, so it fits a few tasks; each sends one feature matrix
-    return common.durable(docs.where(chosen).select("text").repartition(1 + int(3 * share * n_words / FIT_WORDS / fit)))
-
-
-def latent_space(some: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """For each feature its weighted place in the space: the leading right singular vectors, a row times its idf."""
-    sc = some.sparkSession.sparkContext
-    items = common.durable(items.select("text").coalesce(2))
-    many = [max(1.0, float(totals.total(x, _passages, 1, slices=1)[0])) for x in (some, items)]
-    k = rank + OVER
-    y = np.zeros(k << BITS, np.float32)
-    shared = sc.broadcast(idf)
-    for x, w in ((some, 1.0), (items, ITEMS_WEIGH * many[0] / many[1])):
-        totals.total(x, _fit(shared, k, False), k << BITS, np.float32, into=y, weight=w)
-    shared.destroy()
-    basis = orthonormal(y.reshape(-1, k))
-    del y
-    shared = sc.broadcast((idf, basis))
-    g = sum(w * totals.total(x, _fit(shared, k, True), k * k) for x, w in ((some, 1.0), (items, ITEMS_WEIGH * many[0] / many[1])))
-    shared.destroy()
-    turn = np.linalg.eigh(g.reshape(k, k))[1][:, ::-1][:, :rank].astype(np.float32)
-    for a in range(0, 1 << BITS, 8192):
-        basis[a : a + 8192, :rank] = basis[a : a + 8192] @ turn * idf[a : a + 8192, None]
-    return basis[:, :rank]
+def latent_spaces(docs: DataFrame, of: list[tuple[pa.Array, np.ndarray]], idf: np.ndarray, n_passages: float, rank: int = RANK) -> list[np.ndarray]:
+    """For each block of items, its texts and the features that its space knows, a row a feature: its weighted place in the
+    space, the leading right singular vectors of the passages of all docs and of the block, a row times its idf.
+
+    Two passes over docs, of which n_passages is the number of passages, serve all blocks.
+    """
+    sc = docs.sparkSession.sparkContext
+    k, known = rank + OVER, [f for _, f in of]
+    own = [[pa.RecordBatch.from_arrays([x], ["text"])] for x, _ in of]
+    weigh = [ITEMS_WEIGH * max(1.0, n_passages) / max(1, len(blocks(_words(x)[1], FIT_WORDS)[0])) for x, _ in of]
+
+    def sums(bases: list[np.ndarray] | None, rows: list[int], kind) -> list[np.ndarray]:
+        edge = np.cumsum([0, *(n * k for n in rows)])
+        shared = sc.broadcast((idf, known, k, bases))
+        total = totals.total(docs, lambda batches: _fit(batches, *shared.value), int(edge[-1]), kind)
+        shared.destroy()
+        out = [total[a:b].reshape(-1, k) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for i, y in enumerate(out):
+            x = _fit(iter(own[i]), idf, [known[i]], k, None if bases is None else [bases[i]])
+            if x is not None:
+                y += kind(weigh[i]) * x.reshape(-1, k).astype(kind)
+        return out
+
+    bases = [orthonormal(y) for y in sums(None, [len(f) for f in known], np.float32)]
+    grams = sums(bases, [k] * len(known), np.float64)
+    out = []
+    for f, basis, g in zip(known, bases, grams, strict=True):
+        turn = np.linalg.eigh(g)[1][:, ::-1][:, :rank].astype(np.float32)
+        out.append(basis @ turn * idf[f, None])
+    return out
+
+
+def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The one space of all features, for items that are few."""
+    n = totals.total(docs, _frequency, (1 << BITS) + 2)[-1]
+    texts = pa.array([r["text"] for r in items.select("text").collect()], pa.string())
+    return latent_spaces(docs, [(texts, np.arange(1 << BITS))], idf, n, rank)[0]
+
+
+def known_features(texts: pa.Array) -> np.ndarray:
+    """Features of the items that are long enough for passages."""
+    code, first = _words(texts)
+    n = np.diff(first)
+    return np.unique(features(code[np.repeat(n >= LEAST_WORDS, n)]))
 
 
 @dataclass
@@ -475,22 +492,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     counts = totals.total(d, _frequency, (1 << BITS) + 2)
     idf = (np.log((2 + counts[-2]) / (1 + counts[: 1 << BITS])) ** 2).astype(np.float32)  # squared: rare words tell passages apart
-    some = sample(d, counts[-1])
     hits = "doc_id long, item_id long, cosine double, cover double, answer double, first_word long"
-    out, spaces = None, []
+    out = None
     shared = spark.sparkContext.broadcast(idf)
     turns = -(-wanted.count() // BLOCK)
-    for block in range(turns):
-        part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == block) if turns > 1 else wanted
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
-        space = space_of(rows, latent_space(some, part, idf)) if rows else None
-        if space and space.items:
-            spaces.append(space)
-        if spaces and (len(spaces) == AT_ONCE or block == turns - 1):
+    for low in range(0, turns, AT_ONCE):
+        parts = []
+        for block in range(low, min(turns, low + AT_ONCE)):
+            part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == block) if turns > 1 else wanted
+            rows = sorted((r["item_id"], r["text"]) for r in part.collect())
+            texts = pa.array([t for _, t in rows], pa.string())
+            parts.append((rows, texts, known_features(texts)))
+        of = [(texts, known) for _, texts, known in parts if len(known)]
+        learned = iter(latent_spaces(d, of, idf, counts[-1]) if of else ())
+        spaces = []
+        for rows, _, known in parts:
+            latent = np.zeros((1 << BITS, RANK), np.float32) if len(known) else None
+            if len(known):
+                latent[known] = next(learned)
+            spaces.append(space_of(rows, latent))
+        spaces = [x for x in spaces if x.items]
+        if spaces:
             found = d.mapInArrow(_search(shared, spark.sparkContext.broadcast(spaces), cosine), hits)
             found = common.durable(found) if turns > AT_ONCE else found  # a pass, and what it was sent, ends here
             out = found if out is None else out.unionByName(found)
-            spaces = []
     return spark.createDataFrame([], hits) if out is None else out
 
 
