@@ -45,3 +45,19 @@ def test_spaces_of_blocks_are_those_of_plain_svds(spark):
         rows, v = rows[:, known], latent / idf[known, None]
         assert np.allclose(v.T @ v, np.eye(8), atol=1e-3)
         assert (np.linalg.norm(rows @ v, axis=1) ** 2).sum() >= 0.99 * (np.linalg.svd(rows)[1][:8] ** 2).sum()
+
+
+def test_the_pipeline_learns_from_all_that_reach_it(spark, tmp_path, monkeypatch):
+    """The stage's spaces and frequencies are of all documents that the stages before kept, and only leaks go."""
+    import corpus_pipeline
+
+    n = 4000
+    words = "transform(sequence(0, 959), x -> concat('w', (xxhash64(id, x) & 4095)))"
+    d = spark.range(n).selectExpr("id AS doc_id", f"array_join({words}, ' ') AS text").repartition(8).persist()
+    item = " ".join(d.where("doc_id = 5").first()["text"].split()[100:140])
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    total, read = D.totals.total, []
+    monkeypatch.setattr(D.totals, "total", lambda df, *a, **k: (read.append(df.count()), total(df, *a, **k))[1])
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, d, str(tmp_path))
+    assert {x["doc_id"] for x in left.select("doc_id").collect()} == set(range(n)) - {5} and read == [n] * 3
+    d.unpersist()
