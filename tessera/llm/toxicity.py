@@ -2,13 +2,14 @@
 
 Features are the hashed 3-, 4- and 5-grams of a lower-cased text, present or not. Naive Bayes counts, over all labelled
 training texts, give each its log-count ratio. A logistic regression over all features that these texts hold, each scaled
-by its ratio and fitted on a bounded sample, gives the weights. A fifth of the labelled texts is kept
-out of both; a line through their scores, at the rate of toxic texts that they have, makes scores probabilities.
+by its ratio and fitted on all of these texts by passes over their packed features, gives the weights. A fifth of the
+labelled texts is kept out of both; a line through the scores of all of these makes scores probabilities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from . import common, totals
 
 #: n-gram lengths, bits of the feature hash, smoothing of the counts, strength of the ridge.
 GRAMS, BITS, ALPHA, RIDGE = (3, 4, 5), 18, 1.0, 1.0
-#: The bound on the regression's sample: labelled rows of each class, by a hash of their id.
-SAMPLE = 2000
+#: Steps of the regression at most, far more than it takes to settle; what losses and slopes are whole numbers of.
+ROUNDS, UNIT = 200, 2.0**-24
+#: Bytes of text whose features make a pack; bytes of packs that a task takes in a pass; passes whose shuffles may be on disk.
+PACK, TASK, PASSES = 1 << 19, 32 << 20, 10
 #: Labels are sent to all tasks up to this many rows (16 MB); beyond it they are joined by a shuffle.
 SENT_LABELS = 1_000_000
 BATCH = 2 << 20
@@ -55,99 +58,136 @@ def grams(texts: list[str | None]) -> Iterator[np.ndarray]:
         at += len(t)
 
 
+def _squeezed(f: np.ndarray) -> bytes:
+    """Sorted features as bytes."""
+    return np.sort(f).astype("<i4").tobytes()
+
+
+class Rows:
+    """Sorted features of many texts in two bytes each."""
+
+    def __init__(self, rows: list[bytes]):
+        f = np.frombuffer(b"".join(rows), "<i4")
+        text = np.repeat(np.arange(len(rows)), [len(r) // 4 for r in rows])
+        #: Features of a text by their two upper bits.
+        self.many = np.bincount(4 * text + (f >> 16), minlength=4 * len(rows)).reshape(-1, 4)
+        self.low = f.astype(np.uint16)
+
+    def packed(self) -> bytes:
+        """About a byte a feature of long texts: the steps between features, and their upper bytes where these are not zero."""
+        step = np.diff(self.low, prepend=np.uint16(0))
+        high = (step >> 8).astype(np.uint8)
+        return b"".join(x.tobytes() for x in (self.many.astype("<i4"), step.astype(np.uint8), np.packbits(high > 0), high[high > 0]))
+
+    @classmethod
+    def unpacked(cls, b: bytes, texts: int, features: int) -> Rows:
+        own = cls.__new__(cls)
+        own.many = np.frombuffer(b, "<i4", 4 * texts).reshape(-1, 4)
+        rest = np.frombuffer(b, np.uint8, offset=16 * texts)
+        bits = -(-features // 8)
+        step = rest[:features].astype(np.uint16)
+        step[np.flatnonzero(np.unpackbits(rest[features : features + bits], count=features))] += rest[features + bits :].astype(np.uint16) << 8
+        own.low = np.cumsum(step, dtype=np.uint16)  # wraps around, as the steps do
+        return own
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features of all texts, one text after the other; how many each text has."""
+        feature = np.repeat(np.tile(np.arange(4) << 16, len(self.many)), self.many.ravel())
+        feature |= self.low
+        return feature, self.many.sum(1)
+
+
+_PACKS = pa.schema([("toxic", pa.binary()), ("features", pa.int32()), ("pack", pa.binary())])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of some hundred texts a row, with the texts' labels as bytes."""
+    for t in common.by_bytes(batches, "text", PACK):
+        rows = Rows([_squeezed(f) for f in grams(t["text"].to_pylist())])
+        own = t["toxic"].to_numpy().astype(np.uint8).tobytes(), len(rows.low), rows.packed()
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(own, _PACKS, strict=True)], schema=_PACKS)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Rows, np.ndarray]]:
+    for batch in batches:
+        for toxic, features, pack in zip(*batch.columns, strict=True):
+            y = np.frombuffer(toxic.as_py(), np.uint8)
+            yield Rows.unpacked(pack.as_py(), len(y), features.as_py()), y
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
     """Texts with each feature, of class 0 and then of class 1, and the texts of each class."""
     out = None
-    for t in common.by_bytes(batches, "text", BATCH):
+    for rows, y in _unpacked(batches):
         out = np.zeros((2 << BITS) + 2) if out is None else out
-        label = t["toxic"].to_numpy()
-        out[-2:] += np.bincount(label, minlength=2)[:2]
-        for f, y in zip(grams(t["text"].to_pylist()), label.tolist(), strict=True):
-            out[f + (y << BITS)] += 1
+        out[-2:] += np.bincount(y, minlength=2)
+        feature, many = rows.features()
+        out[:-2] += np.bincount(feature + np.repeat(y.astype(int) << BITS, many), minlength=2 << BITS)
     return out
 
 
-def _squeezed(f: np.ndarray) -> bytes:
-    """Features as compressed steps: the driver gets a byte or so for each."""
-    step = np.diff(np.sort(f), prepend=0).astype("<i4").tobytes()
-    return len(step).to_bytes(4, "little") + pa.compress(step, codec="zstd", asbytes=True)
-
+def slopes(rows: Rows, y: np.ndarray, u: np.ndarray, b: float) -> np.ndarray:
+    """Sums over texts of the logistic loss's derivatives by the weight of each feature and by the intercept, and of the loss.
+    Each text's share is a whole number of UNIT: such sums are exact, so no split of the texts among tasks changes them."""
+    feature, many = rows.features()
+    sign, some = 2.0 * y - 1, many > 0
+    margin = np.full(len(y), b)
+    if len(feature):
+        margin[some] += np.add.reduceat(u[feature], (np.cumsum(many) - many)[some])
+    margin *= sign
+    slope = np.rint(-sign / (1 + np.exp(np.clip(margin, -500, 500))) / UNIT)
+    loss = np.rint(np.logaddexp(0, -margin) / UNIT)
+    return np.append(np.bincount(feature, np.repeat(slope, many), len(u)), (slope.sum(), loss.sum()))
+
+
+def _slopes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        out = None
+        for rows, y in _unpacked(batches):
+            own = slopes(rows, y, *shared.value)
+            out = own if out is None else out + own
+        return out
 
-def _unsqueezed(b: bytes) -> np.ndarray:
-    step = pa.decompress(memoryview(b)[4:], int.from_bytes(b[:4], "little"), codec="zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(step, "<i4"), dtype=np.int32)
+    return run
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in common.by_bytes(batches, "text", BATCH):
-        own = [_squeezed(f) for f in grams(t["text"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(t["fold"].to_pylist(), pa.int32()), pa.array(t["toxic"].to_pylist(), pa.int32()), pa.array(own, pa.binary())], names=["fold", "toxic", "features"])
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Without the threads of a linear algebra library, which take more time than they save."""
+    return float((a * b).sum())
 
 
-class Rows:
-    """Sorted features of many texts in two bytes each: the driver holds a sample of some ten million."""
-
-    def __init__(self, rows: list[bytes]):
-        """Takes compressed rows out of the list as it goes."""
-        self.many = np.zeros((len(rows), 4), np.int64)  # features of a text by their two upper bits
-        self.low = np.empty(sum(int.from_bytes(r[:4], "little") for r in rows) // 4, np.uint16)
-        at = 0
-        for i in range(len(rows)):
-            f = _unsqueezed(rows[i])
-            rows[i] = b""
-            self.many[i] = np.bincount(f >> 16, minlength=4)
-            self.low[at : at + len(f)] = f & 0xFFFF
-            at += len(f)
-        self.edge = np.concatenate([[0], np.cumsum(self.many.sum(1))])
-
-    def block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(features, number of features of each text) of texts a to b."""
-        n = self.many[a:b]
-        high = np.repeat(np.tile(np.arange(4, dtype=np.int32) << 16, len(n)), n.ravel())
-        return high | self.low[self.edge[a] : self.edge[min(b, len(self.many))]], n.sum(1)
-
-
-def logistic(rows: Rows, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS. scale is the value that each
-    feature takes where a text has it. Rows are gone through some at a time."""
-    size, sign = len(scale), 2 * y - 1
-    block = 256
+def least(sums: Callable[[np.ndarray, float], np.ndarray], scale: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-penalised logistic regression by limited-memory BFGS, from what slopes() sums over
+    all texts. scale is the value that each feature takes where a text has it."""
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        total, g, u = 0.0, np.zeros(size + 1), w[:-1] * scale
-        for a in range(0, len(y), block):
-            col, n = rows.block(a, a + block)
-            own = np.repeat(np.arange(len(n)), n)
-            margin = sign[a : a + block] * (np.bincount(own, u[col], len(n)) + w[-1])
-            slope = -sign[a : a + block] / (1 + np.exp(np.clip(margin, -500, 500)))
-            g[:-1] += np.bincount(col, slope[own], size)
-            g[-1] += slope.sum()
-            total += float(np.logaddexp(0, -margin).sum())
+        total = sums(w[:-1] * scale, float(w[-1])) * UNIT
+        g = total[:-1]
         g[:-1] = g[:-1] * scale + ridge * w[:-1]
-        return total + ridge / 2 * float(w[:-1] @ w[:-1]), g
+        return float(total[-1]) + ridge / 2 * dot(w[:-1], w[:-1]), g
 
-    w = np.zeros(size + 1)
+    w = np.zeros(len(scale) + 1)
     f, g = loss(w)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         d = -g
         kept = []
         for s, z in reversed(past):
-            a = (s @ d) / (s @ z)
+            a = dot(s, d) / dot(s, z)
             kept.append(a)
             d = d - a * z
-        d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else d / max(1.0, np.abs(g).sum())
+        d = d * dot(*past[-1]) / dot(past[-1][1], past[-1][1]) if past else d / max(1.0, np.abs(g).sum())
         for (s, z), a in zip(past, reversed(kept), strict=True):
-            d = d + (a - (z @ d) / (s @ z)) * s
+            d = d + (a - dot(z, d) / dot(s, z)) * s
         step = 1.0
         while True:
             f2, g2 = loss(w + step * d)
-            if f2 <= f + 1e-4 * step * (g @ d) or step < 1e-8:
+            if f2 <= f + 1e-4 * step * dot(g, d) or step < 1e-8:
                 break
             step /= 2
         s, z = step * d, g2 - g
         w = w + s
-        if s @ z > 1e-12:
+        if dot(s, z) > 1e-12:
             past = [*past[-7:], (s, z)]
         done = abs(f - f2) <= 1e-6 * max(1.0, abs(f))
         f, g = f2, g2
@@ -156,18 +196,40 @@ def logistic(rows: Rows, scale: np.ndarray, y: np.ndarray, ridge: float, rounds:
     return w[:-1], float(w[-1])
 
 
-def calibration(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of the line through which scores z become log-odds of y, by Newton's method; the slope is
-    shrunk slightly to one."""
+def logistic(rows: Rows, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """The regression over texts that are at hand."""
+    return least(lambda u, b: slopes(rows, y, u, b), scale, ridge, rounds)
+
+
+def logistic_of(packs: DataFrame, scale: np.ndarray, ridge: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """The regression over all texts of packs: a pass over them for each step, in which only sums travel."""
+    spark, passes = packs.sparkSession, itertools.count(1)
+
+    def sums(u: np.ndarray, b: float) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((u, b))
+        out = totals.total(packs, _slopes(shared), len(u) + 2, slices=8)
+        shared.destroy()
+        if next(passes) % PASSES == 0:
+            common.release(spark)
+        return out
+
+    return least(sums, scale, ridge, rounds)
+
+
+def calibration(scored: DataFrame, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of the line through which numbers z become log-odds of toxic, by Newton's method over all rows;
+    the slope is shrunk slightly to one. Terms are whole numbers of UNIT, as in slopes()."""
     a = np.array([1.0, 0.0])
-    x = np.stack([z, np.ones(len(z))], 1)
+    z = F.col("z")
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -500, 500)))
-        g = x.T @ (weight * (p - y)) + 0.5 * (a - [1, 0])
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
-        step = np.linalg.solve(h, g)
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z * float(a[0]) + float(a[1])))))
+        off, bend = p - F.col("toxic"), p * (1 - p)
+        r = scored.agg(*[F.sum(F.round(x / UNIT).cast("long")).alias(f"x{i}") for i, x in enumerate((off * z, off, bend * z * z, bend * z, bend))]).first()
+        gz, g1, hzz, hz1, h11 = (float(x) * UNIT for x in r)
+        g = np.array([gz, g1]) + 0.5 * (a - [1, 0])
+        step = np.linalg.solve(np.array([[hzz, hz1], [hz1, h11]]) + 0.5 * np.eye(2), g)
         a = a - step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
@@ -188,52 +250,53 @@ class Model:
     def __init__(self, weight: np.ndarray, intercept: float):
         self.weight, self.intercept = weight, intercept
 
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([self.weight[f].sum() for f in grams(texts)]) + self.intercept
+
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = np.array([self.weight[f].sum() for f in grams(texts)]) + self.intercept
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ridge: float = RIDGE) -> Model:
-    """Learn from the labelled rows of docs that are not held out. Labels other than 0 and 1 are ignored, and of several
-    labels of a document the highest counts; of several texts of a sampled document the last by its bytes counts. With no
+def _logits(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for t in common.by_bytes(batches, "text", BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(m.logits(t["text"].to_pylist()), pa.float64()), t["toxic"].combine_chunks()], names=["z", "toxic"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
+    """Learn from all labelled rows of docs that are not held out. Labels other than 0 and 1 are ignored, and of several
+    labels of a document the highest counts; repeated rows and several texts of a document count each. With no
     labelled row of either class every score is the rate of the other."""
+    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").alias("_id"), "toxic", fold(F.col("doc_id")).alias("fold")).where("toxic in (0, 1) and fold > 0")
     own = own.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     own = common.durable(own.groupBy("_id", "fold").agg(F.max("toxic").cast("int").alias("toxic")))
-    size = {(r["check"], r["toxic"]): r["n"] for r in own.groupBy((F.col("fold") == 1).alias("check"), "toxic").agg(F.count("*").alias("n")).collect()}
-    sent = F.broadcast(own) if sum(size.values()) <= SENT_LABELS else own
-    joined = docs.select("doc_id", "text").join(sent.where("fold > 1"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    counts = totals.total(joined, _count, (2 << BITS) + 2)
+    sent = F.broadcast(own) if own.count() <= SENT_LABELS else own
+
+    def joined(which: str) -> DataFrame:
+        return docs.select("doc_id", "text").join(sent.where(which), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+
+    packs = common.durable(joined("fold > 1").mapInArrow(_packs, "toxic binary, features int, pack binary"))
+    # a pass sends an array a task, so tasks are no more than the packs' size asks for
+    held = packs.agg(F.sum(F.length("pack"))).first()[0] or 0
+    packs = packs.coalesce(max(spark.sparkContext.defaultParallelism, int(held // TASK)))
+    counts = totals.total(packs, _count, (2 << BITS) + 2)
     rate, (n0, n1) = counts[: 2 << BITS].reshape(2, -1), counts[-2:]
     if not n0 or not n1:
         p = min(max(n1 / max(1.0, n0 + n1), 1e-6), 1 - 1e-6) if n0 + n1 else 1e-9
         return Model(np.zeros(1 << BITS), float(np.log(p / (1 - p))))
     q, p = (rate[0] + ALPHA) / (n0 + 2 * ALPHA), (rate[1] + ALPHA) / (n1 + 2 * ALPHA)
-    ratio = np.log(p / q)
-    wanted = rate.sum(0) > 0
-    order = F.md5(F.col("_id").cast("string"))
-    chosen = None
-    for y in (0, 1):
-        for check in (False, True):
-            some = own.where((F.col("toxic") == y) & ((F.col("fold") == 1) == F.lit(check))).orderBy(order).limit(sample // (1 + check))
-            chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.groupBy("_id", "fold", "toxic").agg(F.max("text").alias("text"))  # one text a label: the sample's bound holds
-    rows = rows.select("text", "fold", "toxic").mapInArrow(_sampled, "fold int, toxic int, features binary").collect()
-    rows.sort(key=lambda r: (r["fold"], r["toxic"], bytes(r["features"])))
-    own, held = [r for r in rows if r["fold"] != 1], [r for r in rows if r["fold"] == 1]
-    y, check = (np.array([r["toxic"] for r in x], float) for x in (own, held))
-    own, held = ([bytes(r["features"]) for r in x] for x in (own, held))
-    del rows
-    scale = np.where(wanted, ratio, 0.0)
-    w, b = logistic(Rows(own), scale, y, ridge)
+    scale = np.where(rate.sum(0) > 0, np.log(p / q), 0.0)
+    w, b = logistic_of(packs, scale, ridge)
     w = w * scale
-    b += float(np.log(n1 / n0) - np.log(y.sum() / (1 - y).sum()))  # from the sample's rate to that of all
+    shared = spark.sparkContext.broadcast(Model(w, b))
+    scored = common.durable(joined("fold = 1").mapInArrow(_logits(shared), "z double, toxic int"))
     a, c = 1.0, 0.0
-    if 0 < check.sum() < len(check):
-        z = np.array([w[_unsqueezed(r)].sum() for r in held]) + b
-        share = np.array([size[True, int(v)] for v in check]) / np.where(check > 0, check.sum(), (1 - check).sum())
-        a, c = calibration(z, check, share)
+    if len(scored.select("toxic").distinct().collect()) == 2:
+        a, c = calibration(scored)
     return Model(a * w, a * b + c)
 
 
